@@ -11,7 +11,7 @@ from tidefuse.functions.timeops import block_start, micros, us_of
 from tidefuse.operators.align import (
     SLOT, RUN_START, combine, is_numeric, metric_types, run_key, stretch,
 )
-from tidefuse.operators.blocks import BLOCK, DEFAULT_BLOCK_SLOTS, scan
+from tidefuse.operators.blocks import BLOCK, DEFAULT_BLOCK_SLOTS, range_blocks, scan
 from tidefuse.session import require_utc
 
 
@@ -126,3 +126,18 @@ def interpolate_linear(df: DataFrame, columns: Sequence[str], granularity: float
         ).alias(c)
 
     return scanned.select(*[line(c) if c in columns else F.col(c) for c in df.columns])
+
+
+def fill_rows(df: DataFrame, columns: Sequence[str], order: Sequence[str],
+              keys: Sequence[str] = ("run_id",)) -> DataFrame:
+    """Fill rows of any density forward, then backward, in the given order."""
+    blocked = range_blocks(df, keys, order)
+    scanned = scan(
+        blocked, keys, order,
+        last={f"_last_{c}": F.col(c) for c in columns},
+        following={f"_next_{c}": F.col(c) for c in columns},
+    )
+    return scanned.select(*[
+        F.coalesce(f"_last_{c}", f"_next_{c}").alias(c) if c in columns else F.col(c)
+        for c in df.columns
+    ])

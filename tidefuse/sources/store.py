@@ -211,7 +211,19 @@ def store_info(spark: SparkSession, root: str) -> DataFrame:
     return totals.select("*", one).join(files.select("*", one), "_one").drop("_one")
 
 
-def drop_batches(spark: SparkSession, root: str, batch_ids: Sequence[str], target: str) -> None:
-    """Copy a dataset without some batches to a new place, data and index."""
-    keep = ~F.col("batch_id").isin(*batch_ids)
-    append(read(spark, root).where(keep), target)
+def _delete(spark: SparkSession, path: str) -> bool:
+    """Remove a folder on whatever file system holds it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.delete(target, True)
+
+
+def drop_batches(spark: SparkSession, root: str, batch_ids: Sequence[str]) -> None:
+    """Drop the partitions of some batches; no other data is touched."""
+    for batch in batch_ids:
+        for part in ("index", "data"):
+            _delete(spark, f"{root}/{part}/batch_id={batch}")
+
+
+def drop_dataset(spark: SparkSession, root: str) -> bool:
+    return _delete(spark, root)
