@@ -201,5 +201,4 @@ def rule_hits(lines: DataFrame, line: str = "line", rules: Sequence[Rule] = DEFA
         F.struct(F.lit(r.name).alias("rule"), group(F.col(line), r.pattern, r.group).alias("value"))
         for r in rules
     ])
-    found = F.filter(cells, lambda c: c["value"].isNotNull())
-    return lines.select(*kept, F.inline(found))
+    return lines.select(*kept, F.inline(cells)).where(F.col("value").isNotNull())

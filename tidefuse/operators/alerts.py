@@ -52,19 +52,21 @@ def sustained_thresholds(
     ``series`` is an aligned grid that is not filled: an empty slot breaks a
     stretch. A stretch is named by the last slot before it that broke the rule.
     """
-    blocked = slot_series(series, granularity, block_slots)
+    columns = list(dict.fromkeys(r.column for r in rules))
+    tested = slot_series(series.select("run_id", "timestamp", *columns), granularity, block_slots)
+    tested = tested.withColumns({f"_on{i}": r.crossed() for i, r in enumerate(rules)}).drop(*columns)
     scanned = scan(
-        blocked, ["run_id"], [SLOT],
-        last={f"_break{i}": F.when(~r.crossed(), F.col(SLOT)) for i, r in enumerate(rules)},
+        tested, ["run_id"], [SLOT],
+        last={f"_break{i}": F.when(~F.col(f"_on{i}"), F.col(SLOT)) for i in range(len(rules))},
     )
     held = F.array(*[
         F.struct(
             F.lit(r.name).alias("rule"), F.lit(us_of(r.seconds)).cast("long").alias("need"),
-            r.crossed().alias("on"), F.col(f"_break{i}").alias("since"),
+            F.col(f"_on{i}").alias("on"), F.col(f"_break{i}").alias("since"),
         )
         for i, r in enumerate(rules)
     ])
-    hits = scanned.select("run_id", SLOT, F.inline(F.filter(held, lambda h: h["on"])))
+    hits = scanned.select("run_id", SLOT, F.inline(held)).where("on")
     span = F.max(SLOT) - F.min(SLOT)
     g = us_of(granularity)
     wait = F.col("need") + F.pmod(-F.col("need"), F.lit(g))

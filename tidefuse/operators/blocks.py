@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidefuse.functions.timeops import floor_us
@@ -45,10 +45,6 @@ def range_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     return cut.checkpoint()
 
 
-def _ordering(order: Sequence[str]) -> Column:
-    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
-
-
 def scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -70,90 +66,61 @@ def scan(
     low        smallest value up to and including the row
     total      running sum up to and including the row
     """
-    kinds = {
-        "last": dict(last or {}), "previous": dict(previous or {}),
-        "following": dict(following or {}), "low": dict(low or {}), "total": dict(total or {}),
-    }
-    names = [name for group in kinds.values() for name in group]
-    inputs = {f"_in_{n}": c for group in kinds.values() for n, c in group.items()}
-    part = [f"_key{i}" for i in range(len(keys))]
-
-    # Key copies that cannot be null keep null keys in the join, and keep the
-    # optimizer from adding null filters to only one of its two sides. The one
-    # opaque cell gives both passes the same columns. So they share one shuffle.
-    shown = [*df.columns]
-    key_copies = [
-        F.coalesce(F.col(k).cast("string"), F.lit("\u0000")).alias(p)
+    groups = {"last": last, "previous": previous, "following": following, "low": low, "total": total}
+    wanted = [(kind, name) for kind, group in groups.items() for name in group or ()]
+    inputs = {f"_in_{n}": c for group in groups.values() for n, c in (group or {}).items()}
+    # Both passes read one shuffle. For that they must ask for the same columns,
+    # so all columns travel in one cell that the optimizer cannot prune, and for
+    # the same rows, so they are keyed by columns that cannot be null and attract
+    # no null filter: the keys themselves, or copies of keys that can be null.
+    solid = {f.name for f in df.schema.fields if not f.nullable}
+    part = [k if k in solid else f"_key{i}" for i, k in enumerate(keys)]
+    shown = [c for c in df.columns if c != block]
+    in_cell = [c for c in shown if c not in part]
+    copies = [
+        F.col(k) if k == p else F.coalesce(F.col(k).cast("string"), F.lit("\u0000")).alias(p)
         for k, p in zip(keys, part, strict=True)
     ]
-    cells = F.array(
-        F.struct(*[F.col(c) for c in shown if c != block], *[c.alias(n) for n, c in inputs.items()])
-    )
-    packed = df.select(*key_copies, F.coalesce(F.col(block), F.lit(0)).cast("long").alias(block),
-                       cells.alias("_cell")).repartition(*part, block)
-    cell = F.col("_cell")[0]
-    rows = packed.select(
-        *part, block,
-        *[cell[c].alias(c) for c in shown if c != block],
-        *[cell[n].alias(n) for n in inputs],
+    cell = F.array(F.struct(*in_cell, *[c.alias(n) for n, c in inputs.items()]))
+    rows = (
+        df.select(*copies, F.coalesce(F.col(block), F.lit(0)).cast("long").alias(block),
+                  cell.alias("_cell"))
+        .repartition(*part, block)
+        .select(*part, block, F.inline("_cell"))
     )
 
-    ordering = _ordering(order)
-    sums = []
-    for kind, group in kinds.items():
-        for name in group:
-            value = F.col(f"_in_{name}")
-            known = F.when(value.isNotNull(), ordering)
-            if kind in ("last", "previous"):
-                summary = F.max_by(value, known)
-            elif kind == "following":
-                summary = F.min_by(value, known)
-            elif kind == "low":
-                summary = F.min(value)
-            else:
-                summary = F.sum(value)
-            sums.append(summary.alias(f"_sum_{name}"))
-    summaries = rows.groupBy(*part, block).agg(*sums)
-
-    by_block = Window.partitionBy(*part).orderBy(block)
-    before = by_block.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_block.rowsBetween(1, Window.unboundedFollowing)
-    carries = []
-    for kind, group in kinds.items():
-        for name in group:
-            value = F.col(f"_sum_{name}")
-            if kind in ("last", "previous"):
-                carried = F.last(value, ignorenulls=True).over(before)
-            elif kind == "following":
-                carried = F.first(value, ignorenulls=True).over(after)
-            elif kind == "low":
-                carried = F.min(value).over(before)
-            else:
-                carried = F.sum(value).over(before)
-            carries.append(carried.alias(f"_carry_{name}"))
-    carried = summaries.select(*part, block, *carries)
-
-    local = Window.partitionBy(*part, block).orderBy(*order)
-    upto = local.rowsBetween(Window.unboundedPreceding, 0)
-    strictly = local.rowsBetween(Window.unboundedPreceding, -1)
-    onward = local.rowsBetween(0, Window.unboundedFollowing)
-    out = []
-    for kind, group in kinds.items():
-        for name in group:
-            value, carry = F.col(f"_in_{name}"), F.col(f"_carry_{name}")
-            if kind == "last":
-                full = F.coalesce(F.last(value, ignorenulls=True).over(upto), carry)
-            elif kind == "previous":
-                full = F.coalesce(F.last(value, ignorenulls=True).over(strictly), carry)
-            elif kind == "following":
-                full = F.coalesce(F.first(value, ignorenulls=True).over(onward), carry)
-            elif kind == "low":
-                full = F.least(F.min(value).over(upto), carry)
-            else:
-                full = F.coalesce(F.sum(value).over(upto), F.lit(0)) + F.coalesce(carry, F.lit(0))
-            out.append(full.alias(name))
-    kept = [c for c in shown if c not in names and (keep_block or c != block)]
-    return rows.join(carried, [*part, block], "left").select(*kept, *out)
+    ordering = f"`{order[0]}`" if len(order) == 1 else f"struct({', '.join(f'`{o}`' for o in order)})"
+    by_key = ", ".join(part)
+    before = f"OVER (PARTITION BY {by_key} ORDER BY {block} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    after = f"OVER (PARTITION BY {by_key} ORDER BY {block} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+    local = f"PARTITION BY {by_key}, {block} ORDER BY {', '.join(f'`{o}`' for o in order)} ROWS BETWEEN"
+    upto = f"OVER ({local} UNBOUNDED PRECEDING AND CURRENT ROW)"
+    earlier = f"OVER ({local} UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    onward = f"OVER ({local} CURRENT ROW AND UNBOUNDED FOLLOWING)"
+
+    sums, carries, out = [], [], []
+    for kind, name in wanted:
+        value, summed, carry = f"`_in_{name}`", f"`_sum_{name}`", f"`_carry_{name}`"
+        known = f"CASE WHEN {value} IS NOT NULL THEN {ordering} END"
+        summary, carried, running = {
+            "last": (f"max_by({value}, {known})", f"last({summed}, true) {before}",
+                     f"coalesce(last({value}, true) {upto}, {carry})"),
+            "previous": (f"max_by({value}, {known})", f"last({summed}, true) {before}",
+                         f"coalesce(last({value}, true) {earlier}, {carry})"),
+            "following": (f"min_by({value}, {known})", f"first({summed}, true) {after}",
+                          f"coalesce(first({value}, true) {onward}, {carry})"),
+            "low": (f"min({value})", f"min({summed}) {before}",
+                    f"least(min({value}) {upto}, {carry})"),
+            "total": (f"sum({value})", f"sum({summed}) {before}",
+                      f"coalesce(sum({value}) {upto}, 0) + coalesce({carry}, 0)"),
+        }[kind]
+        sums.append(F.expr(f"{summary} AS {summed}"))
+        carries.append(f"{carried} AS {carry}")
+        out.append(f"{running} AS `{name}`")
+    names = {name for _, name in wanted}
+    summaries = rows.groupBy(*part, block).agg(*sums).selectExpr(*part, block, *carries)
+    kept = [f"`{c}`" for c in shown if c not in names] + ([block] if keep_block else [])
+    return rows.join(summaries, [*part, block], "left").selectExpr(*kept, *out)
 
 
 def with_halo(df: DataFrame, us: Column, width: int, halo: int) -> DataFrame:

@@ -42,17 +42,16 @@ def fill_series(df: DataFrame, order: Sequence[str], event_fill: str = "zero",
         following={f"_next_{c}": F.col(c) for c in carried},
         keep_block=True,
     )
-    filled: list[Column] = []
+    filled = []
     for c in df.columns:
         if c in zeroed:
-            filled.append(F.coalesce(F.col(c), F.lit(0)).alias(c))
+            filled.append(f"coalesce(`{c}`, 0) AS `{c}`")
         elif c in carried:
-            known = [F.col(f"_last_{c}"), F.col(f"_next_{c}")]
-            rest = [F.lit(0)] if is_numeric(types[c]) else []
-            filled.append(F.coalesce(*known, *rest).alias(c))
+            rest = ", 0" if is_numeric(types[c]) else ""
+            filled.append(f"coalesce(`_last_{c}`, `_next_{c}`{rest}) AS `{c}`")
         else:
-            filled.append(F.col(c))
-    return scanned.select(*filled)
+            filled.append(f"`{c}`")
+    return scanned.selectExpr(*filled)
 
 
 def fill_missing(

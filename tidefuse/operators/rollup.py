@@ -21,11 +21,15 @@ def add_prefix(df: DataFrame, prefix: str, keep: Sequence[str] = KEYS) -> DataFr
 
 
 def device_rollup(samples: DataFrame) -> DataFrame:
-    """Mean, sum and number of devices per timestamp, columns prefixed ``gpu_``."""
+    """Mean, sum and number of devices per timestamp, columns prefixed ``gpu_``.
+
+    The set of device ids keeps this to one shuffle of partial aggregates; it
+    holds each device of the run once, however many samples there are.
+    """
     means = [F.avg(c).alias(c) for c in DEVICE_MEANS]
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in DEVICE_SUMS]
     rolled = samples.groupBy(*KEYS).agg(
-        *means, *sums, F.count_distinct("gpu_id").alias("gpu_count")
+        *means, *sums, F.size(F.collect_set("gpu_id")).cast("long").alias("gpu_count")
     )
     return add_prefix(rolled, "gpu_")
 

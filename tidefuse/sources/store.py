@@ -191,6 +191,9 @@ def export(df: DataFrame, path: str, fmt: str = "parquet", by: Sequence[str] = (
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt}, use one of {FORMATS}")
     writer = df.write.mode("overwrite").format(fmt)
+    if fmt != "parquet":
+        # Text formats would cut times to milliseconds.
+        writer = writer.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     if fmt == "csv":
         writer = writer.option("header", True)
     if by:

@@ -50,9 +50,10 @@ def slot_counts(stream: DataFrame, granularity: float, late: str = "10 minutes",
                 kind: str = "event_type") -> DataFrame:
     """Events per run, slot and kind; rows later than the watermark are left to the batch job."""
     width = f"{us_of(granularity)} microseconds"
+    timed = stream.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
     return (
-        stream.withWatermark("timestamp", late)
+        timed.withWatermark("timestamp", late)
         .groupBy(F.window("timestamp", width), "run_id", kind)
         .agg(F.count("*").alias("n"))
-        .select("run_id", F.col("window.start").alias("slot"), kind, "n")
+        .select("run_id", F.col("window.start").cast("timestamp_ntz").alias("slot"), kind, "n")
     )
