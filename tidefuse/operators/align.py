@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidefuse.functions.timeops import (
@@ -99,12 +99,12 @@ def slot_dedupe(
 
 
 def _slot_aggregates(types: dict[str, str], order: Sequence[str]) -> list[Column]:
-    position = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    position = f"struct({', '.join(order)})" if len(order) > 1 else order[0]
     return [
-        (
-            F.avg(c) if is_numeric(t)
-            else F.max_by(c, F.when(F.col(c).isNotNull(), position))
-        ).alias(c)
+        F.expr(
+            f"avg(`{c}`) AS `{c}`" if is_numeric(t)
+            else f"max_by(`{c}`, CASE WHEN `{c}` IS NOT NULL THEN {position} END) AS `{c}`"
+        )
         for c, t in types.items()
     ]
 
@@ -156,29 +156,39 @@ def combine(
     )
 
 
-def stretch(combined: DataFrame, granularity: float, copied: Sequence[str] = ()) -> DataFrame:
+def stretch(
+    combined: DataFrame, granularity: float, copied: Sequence[str] = (), zeroed: Sequence[str] = ()
+) -> DataFrame:
     """Unfold known slots over the empty slots after them.
 
-    Empty slots copy the columns named in ``copied`` and are null in the others.
+    Empty slots copy the columns in ``copied``, are 0 in those in ``zeroed``, and
+    null in the others.
     """
     g = us_of(granularity)
     metrics = list(metric_types(combined, skip=["_start"]))
-    per_block = Window.partitionBy("run_id", BLOCK)
-    known = combined.select(
-        "run_id", BLOCK, SLOT, *metrics,
-        F.lead(SLOT).over(per_block.orderBy(SLOT)).alias("_next"),
-        F.max(_END).over(per_block).alias("_stop"),
-        F.max("_start").over(per_block).alias("_start"),
+    named = [f"`{c}`" for c in metrics]
+    known = combined.selectExpr(
+        "run_id", BLOCK, SLOT, *named,
+        f"lead({SLOT}) OVER (PARTITION BY run_id, {BLOCK} ORDER BY {SLOT}) AS _next",
+        f"max({_END}) OVER (PARTITION BY run_id, {BLOCK}) AS _stop",
+        f"max(_start) OVER (PARTITION BY run_id, {BLOCK}) AS _start",
     )
-    slots = F.sequence(F.col(SLOT), F.coalesce("_next", "_stop") - g, F.lit(g))
-    unfolded = known.select(
-        "run_id", BLOCK, "_start", *metrics, F.posexplode(slots).alias("_pos", "_us")
+    unfolded = known.selectExpr(
+        "run_id", BLOCK, "_start", *named,
+        f"posexplode(sequence({SLOT}, coalesce(_next, _stop) - {g}L, {g}L)) AS (_pos, _us)",
     )
+
+    def cell(c: str) -> str:
+        if c in copied:
+            return f"`{c}`"
+        empty = " ELSE 0" if c in zeroed else ""
+        return f"CASE WHEN _pos = 0 THEN `{c}`{empty} END AS `{c}`"
+
     return unfolded.select(
         "run_id",
         from_micros(F.col("_us")).alias("timestamp"),
         from_micros(F.col("_start")).alias(RUN_START),
-        *[F.col(c) if c in copied else F.when(F.col("_pos") == 0, F.col(c)).alias(c) for c in metrics],
+        *[F.expr(cell(c)) for c in metrics],
     )
 
 

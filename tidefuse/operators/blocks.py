@@ -50,16 +50,18 @@ def scan(
     keys: Sequence[str],
     order: Sequence[str],
     *,
-    last: Mapping[str, Column] | None = None,
-    following: Mapping[str, Column] | None = None,
-    previous: Mapping[str, Column] | None = None,
-    low: Mapping[str, Column] | None = None,
-    total: Mapping[str, Column] | None = None,
+    last: Mapping[str, Column | str] | None = None,
+    following: Mapping[str, Column | str] | None = None,
+    previous: Mapping[str, Column | str] | None = None,
+    low: Mapping[str, Column | str] | None = None,
+    total: Mapping[str, Column | str] | None = None,
     block: str = BLOCK,
     keep_block: bool = False,
 ) -> DataFrame:
     """Add running columns to a series that has a block column.
 
+    Inputs are columns or SQL expressions, by the name of their result.
+
     last       last non-null value up to and including the row
     previous   last non-null value before the row
     following  next non-null value from the row on
@@ -69,28 +71,31 @@ def scan(
     groups = {"last": last, "previous": previous, "following": following, "low": low, "total": total}
     wanted = [(kind, name) for kind, group in groups.items() for name in group or ()]
     inputs = {f"_in_{n}": c for group in groups.values() for n, c in (group or {}).items()}
+    shown = [c for c in df.columns if c != block]
+    computed = {n: c for n, c in inputs.items() if isinstance(c, Column)}
+    df = df.withColumns(computed) if computed else df
+
     # Both passes read one shuffle. For that they must ask for the same columns,
     # so all columns travel in one cell that the optimizer cannot prune, and for
     # the same rows, so they are keyed by columns that cannot be null and attract
     # no null filter: the keys themselves, or copies of keys that can be null.
     solid = {f.name for f in df.schema.fields if not f.nullable}
     part = [k if k in solid else f"_key{i}" for i, k in enumerate(keys)]
-    shown = [c for c in df.columns if c != block]
-    in_cell = [c for c in shown if c not in part]
-    copies = [
-        F.col(k) if k == p else F.coalesce(F.col(k).cast("string"), F.lit("\u0000")).alias(p)
+    in_cell = [f"`{c}`" for c in shown if c not in part]
+    in_cell += [f"`{n}`" if n in computed else f"{c} AS `{n}`" for n, c in inputs.items()]
+    key_cells = [
+        f"`{k}`" if k == p else f"coalesce(CAST(`{k}` AS STRING), '\\0') AS {p}"
         for k, p in zip(keys, part, strict=True)
     ]
-    cell = F.array(F.struct(*in_cell, *[c.alias(n) for n, c in inputs.items()]))
     rows = (
-        df.select(*copies, F.coalesce(F.col(block), F.lit(0)).cast("long").alias(block),
-                  cell.alias("_cell"))
+        df.selectExpr(*key_cells, f"CAST(coalesce({block}, 0) AS BIGINT) AS {block}",
+                      f"array(struct({', '.join(in_cell)})) AS _cell")
         .repartition(*part, block)
-        .select(*part, block, F.inline("_cell"))
+        .selectExpr(*[f"`{p}`" for p in part], block, "inline(_cell)")
     )
 
     ordering = f"`{order[0]}`" if len(order) == 1 else f"struct({', '.join(f'`{o}`' for o in order)})"
-    by_key = ", ".join(part)
+    by_key = ", ".join(f"`{p}`" for p in part)
     before = f"OVER (PARTITION BY {by_key} ORDER BY {block} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     after = f"OVER (PARTITION BY {by_key} ORDER BY {block} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
     local = f"PARTITION BY {by_key}, {block} ORDER BY {', '.join(f'`{o}`' for o in order)} ROWS BETWEEN"
@@ -118,7 +123,7 @@ def scan(
         carries.append(f"{carried} AS {carry}")
         out.append(f"{running} AS `{name}`")
     names = {name for _, name in wanted}
-    summaries = rows.groupBy(*part, block).agg(*sums).selectExpr(*part, block, *carries)
+    summaries = rows.groupBy(*part, block).agg(*sums).selectExpr(*[f"`{p}`" for p in part], block, *carries)
     kept = [f"`{c}`" for c in shown if c not in names] + ([block] if keep_block else [])
     return rows.join(summaries, [*part, block], "left").selectExpr(*kept, *out)
 

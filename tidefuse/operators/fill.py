@@ -38,8 +38,8 @@ def fill_series(df: DataFrame, order: Sequence[str], event_fill: str = "zero",
     carried = [c for c in types if c not in zeroed]
     scanned = scan(
         df, ["run_id"], order,
-        last={f"_last_{c}": F.col(c) for c in carried},
-        following={f"_next_{c}": F.col(c) for c in carried},
+        last={f"_last_{c}": f"`{c}`" for c in carried},
+        following={f"_next_{c}": f"`{c}`" for c in carried},
         keep_block=True,
     )
     filled = []
@@ -85,9 +85,7 @@ def fuse(
     filled = fill_series(known, [SLOT], event_fill, skip=["_start"])
     names = metric_types(filled, skip=["_start"])
     copied = [c for c in names if not is_event(c) or event_fill == "carry"]
-    dense = stretch(filled, granularity, copied)
-    events = [c for c in names if c not in copied]
-    return dense.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in events}) if events else dense
+    return stretch(filled, granularity, copied, zeroed=[c for c in names if c not in copied])
 
 
 def forward_fill(df: DataFrame, columns: Sequence[str], granularity: float,

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefuse.functions.measures import finite
 from tidefuse.functions.timeops import SECOND, micros
 from tidefuse.operators.fill import is_event
 from tidefuse.operators.labels import label_points
@@ -34,11 +33,17 @@ def feature_names(df: DataFrame) -> list[str]:
 def clean_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """NaN, infinite and missing numbers become 0."""
     types = dict(df.dtypes)
-    cleaned = {}
-    for c in columns:
-        value = finite(F.col(c)) if types[c] in ("float", "double") else F.col(c)
-        cleaned[c] = F.coalesce(value, F.lit(0).cast(types[c]))
-    return df.withColumns(cleaned) if cleaned else df
+    infinite = "abs(`{0}`) = double('infinity')"
+    cells = []
+    for c in df.columns:
+        if c not in columns:
+            cells.append(f"`{c}`")
+        elif types[c] in ("float", "double"):
+            bad = f"`{c}` IS NULL OR isnan(`{c}`) OR {infinite.format(c)}"
+            cells.append(f"CASE WHEN {bad} THEN CAST(0 AS {types[c]}) ELSE `{c}` END AS `{c}`")
+        else:
+            cells.append(f"coalesce(`{c}`, CAST(0 AS {types[c]})) AS `{c}`")
+    return df.selectExpr(*cells)
 
 
 def clean_values(df: DataFrame) -> DataFrame:
@@ -62,19 +67,17 @@ def matrix_stats(matrix: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFr
     columns = [c for c in matrix.columns if c not in (*KEYS, "is_anomaly")]
     parts = []
     for c in columns:
-        v = F.col(c).cast("double")
-        parts += [
-            F.avg(v).alias(f"{c}|mean"), F.stddev_samp(v).alias(f"{c}|std"),
-            F.min(v).alias(f"{c}|min"), F.max(v).alias(f"{c}|max"),
-            F.count_if(v.isNull()).alias(f"{c}|missing"),
-        ]
+        v = f"CAST(`{c}` AS DOUBLE)"
+        parts += [F.expr(f"{call} AS `{c}|{name}`") for name, call in (
+            ("mean", f"avg({v})"), ("std", f"stddev_samp({v})"), ("min", f"min({v})"),
+            ("max", f"max({v})"), ("missing", f"count_if({v} IS NULL)"),
+        )]
     wide = matrix.groupBy(*keys).agg(*parts)
     fields = ("mean", "std", "min", "max", "missing")
-    long = F.array(*[
-        F.struct(F.lit(c).alias("feature"), *[F.col(f"`{c}|{f}`").alias(f) for f in fields])
-        for c in columns
-    ])
-    return wide.select(*keys, F.inline(long))
+    long = ", ".join(
+        f"struct('{c}' AS feature, {', '.join(f'`{c}|{f}` AS {f}' for f in fields)})" for c in columns
+    )
+    return wide.selectExpr(*keys, f"inline(array({long}))")
 
 
 def matrix_metadata(matrix: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:

@@ -14,6 +14,7 @@ KEYS = ("run_id", "timestamp")
 # How device columns combine over the devices of a timestamp.
 DEVICE_MEANS = ("utilization_gpu", "utilization_memory", "memory_percent", "temperature")
 DEVICE_SUMS = ("memory_total", "memory_used", "memory_free", "power_draw")
+STEP_COLUMNS = ("step", "loss", "learning_rate", "throughput", "step_time")
 
 
 def add_prefix(df: DataFrame, prefix: str, keep: Sequence[str] = KEYS) -> DataFrame:
@@ -38,9 +39,9 @@ def host_samples(samples: DataFrame) -> DataFrame:
     return add_prefix(samples, "sys_")
 
 
-def last_known(column: str, order: str):
-    """Last non-null value in file order."""
-    return F.max_by(column, F.when(F.col(column).isNotNull(), F.col(order)))
+def last_known(column: str, order: str) -> str:
+    """Aggregate for the last non-null value in file order."""
+    return f"max_by(`{column}`, CASE WHEN `{column}` IS NOT NULL THEN `{order}` END)"
 
 
 def training_rollup(records: DataFrame, order: str) -> DataFrame:
@@ -49,24 +50,23 @@ def training_rollup(records: DataFrame, order: str) -> DataFrame:
     Conditional aggregates in one pass replace three roll-ups and their joins.
     ``order`` is the column giving the records' order in the log.
     """
-    is_step = F.col("metric_type") == "training_step"
-    is_eval = F.col("metric_type") == "evaluation"
-    tagged = records
-    step_columns = ["step", "loss", "learning_rate", "throughput", "step_time"]
-    eval_columns = [c for c in records.columns if c.startswith("eval_")]
-    event_columns = [c for c in records.columns if c.startswith("event_")]
-    only = {c: F.when(is_step, F.col(c)) for c in step_columns}
-    only |= {c: F.when(is_eval, F.col(c)) for c in eval_columns}
-    tagged = records.withColumns(only)
-    return tagged.groupBy(*KEYS).agg(
-        F.max("step").alias("train_step"),
-        last_known("loss", order).alias("train_loss"),
-        last_known("learning_rate", order).alias("train_learning_rate"),
-        F.avg("throughput").alias("train_throughput"),
-        F.avg("step_time").alias("train_step_time"),
-        *[last_known(c, order).alias(c) for c in eval_columns],
-        *[F.max(c).alias(c) for c in event_columns],
-    )
+    kinds = {c: "training_step" for c in STEP_COLUMNS}
+    kinds |= {c: "evaluation" for c in records.columns if c.startswith("eval_")}
+    tagged = records.selectExpr(*[
+        f"CASE WHEN metric_type = '{kinds[c]}' THEN `{c}` END AS `{c}`" if c in kinds else f"`{c}`"
+        for c in records.columns
+    ])
+    parts = [
+        "max(step) AS train_step", f"{last_known('loss', order)} AS train_loss",
+        f"{last_known('learning_rate', order)} AS train_learning_rate",
+        "avg(throughput) AS train_throughput", "avg(step_time) AS train_step_time",
+    ]
+    for c in records.columns:
+        if c.startswith("eval_"):
+            parts.append(f"{last_known(c, order)} AS `{c}`")
+        elif c.startswith("event_"):
+            parts.append(f"max(`{c}`) AS `{c}`")
+    return tagged.groupBy(*KEYS).agg(*map(F.expr, parts))
 
 
 def split_by_metric_type(records: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -49,8 +49,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, so that both engines' summation orders give one value."""
-    return df.select(*[
-        F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes
+    return df.selectExpr(*[
+        f"round(`{c}`, {digits}) AS `{c}`" if t == "double" else f"`{c}`" for c, t in df.dtypes
     ])
 
 

@@ -19,21 +19,21 @@ NUMBERS = DEVICE_COLUMNS + HOST_NUMBERS + RECORD_NUMBERS
 SLOT_TS = "make_timestamp(slot) AS timestamp"
 
 
-def rolled(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+def rolled(spark: SparkSession, sf_dir: str) -> tuple[list[DataFrame], DataFrame]:
+    """The three rolled-up sources, and the time span of the raw ones."""
     dev, host, rec = routed(events(spark, sf_dir))
-    return [rollup.device_rollup(dev), rollup.host_samples(host), rollup.training_rollup(rec, "line_no")]
-
-
-def raw_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.time_span(routed(events(spark, sf_dir)))
+    sources = [rollup.device_rollup(dev), rollup.host_samples(host), rollup.training_rollup(rec, "line_no")]
+    return sources, align.time_span([dev, host, rec])
 
 
 def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.align(rolled(spark, sf_dir), HOUR, BLOCK_SLOTS, raw_span(spark, sf_dir))
+    sources, span = rolled(spark, sf_dir)
+    return align.align(sources, HOUR, BLOCK_SLOTS, span)
 
 
 def filled(spark: SparkSession, sf_dir: str, event_fill: str = "zero") -> DataFrame:
-    return fill.fuse(rolled(spark, sf_dir), HOUR, event_fill, BLOCK_SLOTS, raw_span(spark, sf_dir))
+    sources, span = rolled(spark, sf_dir)
+    return fill.fuse(sources, HOUR, event_fill, BLOCK_SLOTS, span)
 
 
 # --- roll-ups ---------------------------------------------------------------
@@ -156,7 +156,7 @@ def time_span(spark, sf_dir):
 
 @query("time_grid", f"WITH {SQL_ALIGNED} SELECT run_id, {SLOT_TS} FROM grid")
 def time_grid(spark, sf_dir):
-    return align.time_grid(raw_span(spark, sf_dir), HOUR, BLOCK_SLOTS)
+    return align.time_grid(align.time_span(routed(events(spark, sf_dir))), HOUR, BLOCK_SLOTS)
 
 
 @query("align_sources", f"""WITH {SQL_ALIGNED}
@@ -173,7 +173,7 @@ SELECT run_id, {SLOT_TS}, {', '.join(r6(c) for c in HOST_NUMBERS + RECORD_NUMBER
 FROM two LEFT JOIN host_slot USING (run_id, slot) LEFT JOIN rec_slot USING (run_id, slot)""")
 def align_two_sources(spark, sf_dir):
     """The device source is absent; the others are aligned all the same."""
-    _, host, rec = rolled(spark, sf_dir)
+    (_, host, rec), _ = rolled(spark, sf_dir)
     out = align.align([host, rec], HOUR, BLOCK_SLOTS)
     return rounded(out.select("run_id", "timestamp", *HOST_NUMBERS, *RECORD_NUMBERS))
 
