@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidefuse.functions.measures import TYPE_NAMES, coerce, type_default
 from tidefuse.operators.blocks import range_blocks, scan
@@ -104,14 +105,20 @@ def append(df: DataFrame, root: str, chunk_rows: int = CHUNK_ROWS) -> None:
     )
 
 
+def _read(spark: SparkSession, path: str, **options: object) -> DataFrame:
+    """Parquet by batch, with batch ids as the text they were written as ('007' is no 7)."""
+    found = spark.read.options(**options).parquet(path).schema
+    fields = [T.StructField("batch_id", T.StringType()) if f.name == "batch_id" else f for f in found]
+    return spark.read.options(**options).schema(T.StructType(fields)).parquet(path)
+
+
 def read(spark: SparkSession, root: str, ignore_corrupt: bool = False) -> DataFrame:
-    """All batches; batch ids stay text whatever they look like."""
-    raw = spark.read.option("ignoreCorruptFiles", ignore_corrupt).parquet(f"{root}/data")
-    return raw.withColumn("batch_id", F.col("batch_id").cast("string"))
+    """All batches; corrupt files fail unless they are to be skipped."""
+    return _read(spark, f"{root}/data", ignoreCorruptFiles=ignore_corrupt)
 
 
 def read_index(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/index").withColumn("batch_id", F.col("batch_id").cast("string"))
+    return _read(spark, f"{root}/index")
 
 
 def scan_batch(spark: SparkSession, root: str, batch_id: str, columns: Sequence[str]) -> DataFrame:
