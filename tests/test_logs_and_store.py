@@ -35,7 +35,8 @@ def parsed(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("log")
     (folder / "train.log").write_text("\n".join(LINES) + "\n", encoding="utf-8")
     records = logparse.parse_lines(logs.read_lines(spark, str(folder)))
-    return logparse.carry_timestamps(records, ["file"], list(logs.LINE_ORDER)).orderBy(*logs.LINE_ORDER).collect()
+    one_run = records.withColumn("run", F.lit("a"))
+    return logparse.carry_timestamps(one_run, ["run"], list(logs.LINE_ORDER)).orderBy(*logs.LINE_ORDER).collect()
 
 
 def test_log_file(parsed):
@@ -99,6 +100,21 @@ def test_store_keeps_batch_names_and_prunes(spark):
     assert store.drop_dataset(spark, root)
 
 
+def test_catalog(spark):
+    root = scratch_path(spark, "catalog")
+    folder = store.create_dataset(spark, root, "tse", store.MATRIX_SCHEMA, "all runs", ["anomaly"])
+    store.create_dataset(spark, root, "other", {"x": "int"})
+    raw = spark.createDataFrame([("b", "2024-01-01 00:00:05", "7.9", "inf")],
+                                "batch_id string, timestamp string, train_step string, train_loss string")
+    store.append(store.prepare(raw, store.MATRIX_SCHEMA), folder)
+    row = store.read(spark, folder).first()
+    assert (row.timestamp, row.train_step, row.train_loss, row.is_anomaly) == (at(5), 7, 0.0, 0)
+    entries = {r["name"]: r for r in store.catalog(spark, root).collect()}
+    assert entries["tse"]["schema"]["train_loss"] == "float" and entries["tse"]["tags"] == ["anomaly"]
+    assert store.drop_entry(spark, root, "tse")
+    assert [r["name"] for r in store.catalog(spark, root).collect()] == ["other"]
+
+
 def test_unknown_filter_and_format(spark):
     df = spark.createDataFrame([(1,)], "a int")
     with pytest.raises(ValueError):

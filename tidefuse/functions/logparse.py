@@ -55,7 +55,11 @@ def line_timestamp(line: Column) -> Column:
 
 
 def step_fields(line: Column) -> dict[str, Column]:
-    """Step number and its four measures; a field that is no number is null."""
+    """Step number and its four measures; a field that is no number is null.
+
+    Lines without a word that every match contains skip the five extractions.
+    """
+    line = F.when(line.contains("Throughput:"), line)
     kinds = (("step", "long"), ("loss", "double"), ("learning_rate", "double"),
              ("throughput", "double"), ("step_time", "double"))
     return {
@@ -77,7 +81,7 @@ def eval_map(line: Column) -> Column:
 
 
 def eval_fields(line: Column) -> dict[str, Column]:
-    pairs = eval_map(line)
+    pairs = eval_map(F.when(line.contains("eval_"), line))
     return {f"eval_{m}": F.try_element_at(pairs, F.lit(m)) for m in EVAL_METRICS}
 
 

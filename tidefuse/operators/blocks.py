@@ -97,11 +97,16 @@ def scan(
     ordering = f"`{order[0]}`" if len(order) == 1 else f"struct({', '.join(f'`{o}`' for o in order)})"
     by_key = ", ".join(f"`{p}`" for p in part)
     before = f"OVER (PARTITION BY {by_key} ORDER BY {block} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    after = f"OVER (PARTITION BY {by_key} ORDER BY {block} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
     local = f"PARTITION BY {by_key}, {block} ORDER BY {', '.join(f'`{o}`' for o in order)} ROWS BETWEEN"
     upto = f"OVER ({local} UNBOUNDED PRECEDING AND CURRENT ROW)"
     earlier = f"OVER ({local} UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    onward = f"OVER ({local} CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    # Looking ahead is looking back in reversed order: frames that end with the
+    # partition are evaluated anew for every row, frames that begin with it are not.
+    after = (f"OVER (PARTITION BY {by_key} ORDER BY {block} DESC"
+             " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+    reverse = ", ".join(f"`{o}` DESC NULLS LAST" for o in order)
+    onward = (f"OVER (PARTITION BY {by_key}, {block} ORDER BY {reverse}"
+              " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 
     sums, carries, out = [], [], []
     for kind, name in wanted:
@@ -112,8 +117,8 @@ def scan(
                      f"coalesce(last({value}, true) {upto}, {carry})"),
             "previous": (f"max_by({value}, {known})", f"last({summed}, true) {before}",
                          f"coalesce(last({value}, true) {earlier}, {carry})"),
-            "following": (f"min_by({value}, {known})", f"first({summed}, true) {after}",
-                          f"coalesce(first({value}, true) {onward}, {carry})"),
+            "following": (f"min_by({value}, {known})", f"last({summed}, true) {after}",
+                          f"coalesce(last({value}, true) {onward}, {carry})"),
             "low": (f"min({value})", f"min({summed}) {before}",
                     f"least(min({value}) {upto}, {carry})"),
             "total": (f"sum({value})", f"sum({summed}) {before}",

@@ -20,6 +20,8 @@ def local_session(name: str = "tidefuse", cores: str | int = "*", partitions: in
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        # Call sites of column expressions are recorded otherwise, at a cost per call.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

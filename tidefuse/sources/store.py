@@ -221,6 +221,37 @@ def store_info(spark: SparkSession, root: str) -> DataFrame:
     return totals.select("*", one).join(files.select("*", one), "_one").drop("_one")
 
 
+CATALOG = (
+    "name string, created timestamp, schema map<string,string>, description string, tags array<string>"
+)
+
+
+def create_dataset(
+    spark: SparkSession, root: str, name: str, schema: Mapping[str, str],
+    description: str = "", tags: Sequence[str] = (),
+) -> str:
+    """Enter a dataset in the catalog below ``root`` and return its own folder.
+
+    The catalog is a table like any other, so every later session sees it.
+    """
+    entry = spark.createDataFrame(
+        [(name, datetime.now(), dict(schema), description, list(tags))], CATALOG
+    )
+    entry.write.mode("overwrite").json(f"{root}/catalog/{name}")
+    return f"{root}/datasets/{name}"
+
+
+def catalog(spark: SparkSession, root: str) -> DataFrame:
+    """Catalog entries of all datasets below ``root``."""
+    return spark.read.schema(CATALOG).option("recursiveFileLookup", True).json(f"{root}/catalog")
+
+
+def drop_entry(spark: SparkSession, root: str, name: str) -> bool:
+    """Drop a dataset's data and its catalog entry."""
+    drop_dataset(spark, f"{root}/datasets/{name}")
+    return _delete(spark, f"{root}/catalog/{name}")
+
+
 def _delete(spark: SparkSession, path: str) -> bool:
     """Remove a folder on whatever file system holds it."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

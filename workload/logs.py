@@ -68,10 +68,7 @@ def rx(pattern: str, group: int = 1, column: str = "line") -> str:
     return f"nullif(regexp_extract({column}, '{pattern}', {group}), '')"
 
 
-SQL_NUMBER = r"([\d.e-]+)"
-SQL_STEP = (rf"Step\s+(\d+)\s*\|\s*Loss:\s*{SQL_NUMBER}\s*\|\s*LR:\s*{SQL_NUMBER}\s*\|\s*Throughput:\s*"
-            rf"{SQL_NUMBER}\s*samples/s\s*\|\s*Step Time:\s*{SQL_NUMBER}s")
-SQL_TIME = r"(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2})"
+SQL_NUMBER, SQL_STEP, SQL_TIME = logparse.NUMBER, logparse.STEP, logparse.TIMESTAMP
 TIME_CELL = f"TRY_CAST({rx(SQL_TIME)} AS TIMESTAMP)"
 STEP_CELLS = ", ".join(
     f"TRY_CAST({rx(SQL_STEP, i)} AS {t}) AS {c}" for i, (c, t) in enumerate(
@@ -85,11 +82,9 @@ def sql_eval(name: str) -> str:
 
 
 EVAL_CELLS = ", ".join(sql_eval(n) for n in ("loss", "accuracy", "f1", "precision", "recall"))
-TYPE_CELL = (rf"CASE WHEN regexp_matches(line, 'eval_\w+:\s*[\d.e-]+') THEN 'evaluation' "
+TYPE_CELL = (f"CASE WHEN regexp_matches(line, '{logparse.EVAL}') THEN 'evaluation' "
              f"WHEN regexp_matches(line, '{SQL_STEP}') THEN 'training_step' END AS metric_type")
-SQL_NAN = r"(?i)\[ANOMALY DETECTED\]\s*NaN/Inf Loss.*?step\s+(\d+).*?:\s*([\d.e-]*)"
-SQL_HIGH = r"(?i)\[ANOMALY DETECTED\]\s*High Loss.*?step\s+(\d+).*?:\s*([\d.e-]+)"
-SQL_OOM = r"(?i)(CUDA.*out of memory|OutOfMemoryError|\bOOM\b)"
+SQL_NAN, SQL_HIGH, SQL_OOM = logparse.NAN_LOSS, logparse.HIGH_LOSS, logparse.OUT_OF_MEMORY
 NAN_HIT, HIGH_HIT, OOM_HIT = (f"regexp_matches(line, '{p}')" for p in (SQL_NAN, SQL_HIGH, SQL_OOM))
 EVENT_CELLS = f"""CASE WHEN {NAN_HIT} THEN 1 END AS event_nan_loss, CASE WHEN {OOM_HIT} THEN 1 END AS event_oom,
   CASE WHEN {HIGH_HIT} THEN 1 END AS event_high_loss, CASE WHEN lower(line) LIKE '%error%' THEN 1 END AS event_error,
@@ -97,10 +92,9 @@ EVENT_CELLS = f"""CASE WHEN {NAN_HIT} THEN 1 END AS event_nan_loss, CASE WHEN {O
   CASE WHEN {HIGH_HIT} THEN 'high_loss' WHEN {OOM_HIT} THEN 'oom_error' WHEN {NAN_HIT} THEN 'nan_loss' END AS anomaly_type,
   CAST(CASE WHEN {HIGH_HIT} THEN {rx(SQL_HIGH)} WHEN {NAN_HIT} THEN {rx(SQL_NAN)} END AS BIGINT) AS anomaly_step,
   CASE WHEN {HIGH_HIT} THEN {rx(SQL_HIGH, 2)} WHEN {NAN_HIT} THEN coalesce({rx(SQL_NAN, 2)}, 'NaN') END AS anomaly_value"""
-PHASE_CELL = """CASE WHEN regexp_matches(line, '(?i)训练开始|Training.*begin') THEN 'train_begin'
-  WHEN regexp_matches(line, '(?i)训练结束|Training.*end|Training.*complete') THEN 'train_end'
-  WHEN regexp_matches(line, '(?i)评估.*开始|Evaluation.*begin') THEN 'eval_begin'
-  WHEN regexp_matches(line, '(?i)评估.*结束|Evaluation.*end') THEN 'eval_end' END AS phase"""
+PHASE_CELL = "CASE " + " ".join(
+    f"WHEN regexp_matches(line, '{pattern}') THEN '{name}'" for name, pattern in logparse.PHASES
+) + " END AS phase"
 RECORD_CELLS = f"{STEP_CELLS}, {EVAL_CELLS}, {TYPE_CELL}, {PHASE_CELL}, {EVENT_CELLS}, trim(line) AS raw_line"
 CARRIED = f"last_value({TIME_CELL} IGNORE NULLS) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS timestamp"
 
@@ -119,11 +113,10 @@ def write_logs(spark: SparkSession, sf_dir: str) -> str:
 def scan_log(spark, sf_dir):
     """Text files back to records; the time of a line without one comes from the line before."""
     path = write_logs(spark, sf_dir)
-    name = F.regexp_extract("file", r"file=([^/]+)/", 1)
-    raw = log_files.read_lines(spark, path).withColumn("file", name)
-    parsed = logparse.parse_lines(raw)
+    run = F.regexp_extract("file", r"file=([^/]+)/", 1)
+    parsed = logparse.parse_lines(log_files.read_lines(spark, path).withColumn("run", run))
     order = list(log_files.LINE_ORDER)
-    return logparse.carry_timestamps(parsed, ["file"], order).drop(*order)
+    return logparse.carry_timestamps(parsed, ["run"], order).drop(*order).withColumnRenamed("run", "file")
 
 
 @query("log_timestamp", f"WITH {SQL_LINES} SELECT file, line_no, {CARRIED} FROM lines")
@@ -142,8 +135,7 @@ def log_step_parse(spark, sf_dir):
 
 
 @query("log_eval_parse", f"""WITH {SQL_LINES} SELECT line_no, {EVAL_CELLS}, {TYPE_CELL},
-  len(list_distinct(regexp_extract_all(line, 'eval_(\\w+):\\s*[\\d.e-]+', 1))) AS n_metrics,
-  TRY_CAST(nullif(regexp_extract(line, 'eval_custom:\\s*([\\d.e-]+)', 1), '') AS DOUBLE) AS eval_custom FROM lines""")
+  len(list_distinct(regexp_extract_all(line, '{logparse.EVAL}', 1))) AS n_metrics, {sql_eval('custom')} FROM lines""")
 def log_eval_parse(spark, sf_dir):
     line = F.col("line")
     pairs = logparse.eval_map(line)
@@ -167,10 +159,10 @@ def log_phase(spark, sf_dir):
 
 @query("log_simple_parse", f"""WITH {SQL_LINES} SELECT line_no,
   CASE WHEN trim(line) LIKE '% - %' THEN TRY_CAST(split_part(trim(line), ' - ', 1) AS TIMESTAMP) END AS timestamp,
-  TRY_CAST({rx(r'Loss:\s*([0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?|nan)')} AS DOUBLE) AS loss,
-  TRY_CAST({rx(r'Accuracy:\s*([0-9]*\.?[0-9]+)')} AS DOUBLE) AS accuracy,
-  TRY_CAST({rx(r'LR:\s*([0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?)')} AS DOUBLE) AS learning_rate,
-  TRY_CAST({rx(r'Step\s*(\d+)')} AS BIGINT) AS step, TRY_CAST({rx(r'Epoch\s*(\d+)')} AS BIGINT) AS epoch,
+  TRY_CAST({rx(logparse.SIMPLE_LOSS)} AS DOUBLE) AS loss,
+  TRY_CAST({rx(logparse.SIMPLE_ACCURACY)} AS DOUBLE) AS accuracy,
+  TRY_CAST({rx(logparse.SIMPLE_RATE)} AS DOUBLE) AS learning_rate,
+  TRY_CAST({rx(logparse.SIMPLE_STEP)} AS BIGINT) AS step, TRY_CAST({rx(logparse.SIMPLE_EPOCH)} AS BIGINT) AS epoch,
   CASE WHEN line LIKE '%ERROR%' OR line LIKE '%CRITICAL%' THEN 'error' WHEN line LIKE '%WARNING%' THEN 'warning'
     WHEN lower(line) LIKE '%nan%' THEN 'anomaly' ELSE 'info' END AS event_type FROM lines""")
 def log_simple_parse(spark, sf_dir):
