@@ -90,7 +90,7 @@ def test_store_keeps_batch_names_and_prunes(spark):
         [(b, at(i * 100 + j), j % 2) for i, b in enumerate(("007", "8", "9")) for j in range(5)],
         "batch_id string, timestamp timestamp_ntz, is_anomaly int")
     store.append(df, root, chunk_rows=2)
-    store.append(df.where("batch_id = '8'"), root)
+    store.append(df.where("batch_id = '8'"), root, batch_ids=["8"])
     assert store.read(spark, root).count() == 15
     got = store.query(spark, root, start=at(100), end=at(103))
     assert rows(got, "batch_id", "timestamp") == [("8", at(100 + j)) for j in range(4)]

@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from helpers import at, rows
 from tidefuse.functions import measures, timeops
-from tidefuse.operators import align, blocks, features, fill
+from tidefuse.operators import align, blocks, features, fill, rollup
 
 
 def series(spark, cells, columns="x double"):
@@ -124,6 +125,19 @@ def test_scan_over_range_blocks_equals_window(spark):
     assert rows(got, *names) == rows(want, *names)
 
 
+def test_device_counts_agree(spark):
+    names = rollup.DEVICE_MEANS + rollup.DEVICE_SUMS
+    src = spark.range(4000).select(
+        F.lit("r").alias("run_id"), F.timestamp_seconds(F.col("id") % 50).cast("timestamp_ntz").alias("timestamp"),
+        F.when(F.col("id") % 7 != 0, (F.col("id") * 37) % 130).cast("int").alias("gpu_id"),
+        *[F.col("id").cast("double").alias(c) for c in names],
+    )
+    free, bits = rollup.device_rollup(src), rollup.device_rollup(src, 130)
+    assert rows(free, *free.columns) == rows(bits, *free.columns)
+    with pytest.raises(Exception, match="device id not below 100"):
+        rollup.device_rollup(src, 100).collect()
+
+
 def test_counter_reset_is_null(spark):
     src = spark.createDataFrame(
         [("r", 1, at(0), 100), ("r", 1, at(2), 300), ("r", 1, at(3), 10), ("r", 1, at(3), 20), ("r", 2, at(9), 5)],

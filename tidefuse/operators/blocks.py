@@ -55,6 +55,7 @@ def scan(
     previous: Mapping[str, Column | str] | None = None,
     low: Mapping[str, Column | str] | None = None,
     total: Mapping[str, Column | str] | None = None,
+    first: Mapping[str, Column | str] | None = None,
     block: str = BLOCK,
     keep_block: bool = False,
 ) -> DataFrame:
@@ -67,8 +68,10 @@ def scan(
     following  next non-null value from the row on
     low        smallest value up to and including the row
     total      running sum up to and including the row
+    first      first non-null value of the whole series
     """
-    groups = {"last": last, "previous": previous, "following": following, "low": low, "total": total}
+    groups = {"last": last, "previous": previous, "following": following, "low": low,
+              "total": total, "first": first}
     wanted = [(kind, name) for kind, group in groups.items() for name in group or ()]
     inputs = {f"_in_{n}": c for group in groups.values() for n, c in (group or {}).items()}
     shown = [c for c in df.columns if c != block]
@@ -104,6 +107,8 @@ def scan(
     # partition are evaluated anew for every row, frames that begin with it are not.
     after = (f"OVER (PARTITION BY {by_key} ORDER BY {block} DESC"
              " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+    whole = (f"OVER (PARTITION BY {by_key} ORDER BY {block}"
+             " ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
     reverse = ", ".join(f"`{o}` DESC NULLS LAST" for o in order)
     onward = (f"OVER (PARTITION BY {by_key}, {block} ORDER BY {reverse}"
               " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
@@ -123,6 +128,7 @@ def scan(
                     f"least(min({value}) {upto}, {carry})"),
             "total": (f"sum({value})", f"sum({summed}) {before}",
                       f"coalesce(sum({value}) {upto}, 0) + coalesce({carry}, 0)"),
+            "first": (f"min_by({value}, {known})", f"first({summed}, true) {whole}", carry),
         }[kind]
         sums.append(F.expr(f"{summary} AS {summed}"))
         carries.append(f"{carried} AS {carry}")

@@ -30,7 +30,10 @@ def is_event(name: str) -> bool:
 
 def fill_series(df: DataFrame, order: Sequence[str], event_fill: str = "zero",
                 skip: Sequence[str] = ()) -> DataFrame:
-    """Fill a series that has a block column; see ``fill_missing``."""
+    """Fill a series that has a block column; see ``fill_missing``.
+
+    Where nothing is known yet, the next known value is the first of the series.
+    """
     if event_fill not in ("zero", "carry"):
         raise ValueError("event_fill is 'zero' or 'carry'")
     types = metric_types(df, skip=[*order, *skip])
@@ -39,7 +42,7 @@ def fill_series(df: DataFrame, order: Sequence[str], event_fill: str = "zero",
     scanned = scan(
         df, ["run_id"], order,
         last={f"_last_{c}": f"`{c}`" for c in carried},
-        following={f"_next_{c}": f"`{c}`" for c in carried},
+        first={f"_first_{c}": f"`{c}`" for c in carried},
         keep_block=True,
     )
     filled = []
@@ -48,7 +51,7 @@ def fill_series(df: DataFrame, order: Sequence[str], event_fill: str = "zero",
             filled.append(f"coalesce(`{c}`, 0) AS `{c}`")
         elif c in carried:
             rest = ", 0" if is_numeric(types[c]) else ""
-            filled.append(f"coalesce(`_last_{c}`, `_next_{c}`{rest}) AS `{c}`")
+            filled.append(f"coalesce(`_last_{c}`, `_first_{c}`{rest}) AS `{c}`")
         else:
             filled.append(f"`{c}`")
     return scanned.selectExpr(*filled)
@@ -132,9 +135,9 @@ def fill_rows(df: DataFrame, columns: Sequence[str], order: Sequence[str],
     scanned = scan(
         blocked, keys, order,
         last={f"_last_{c}": F.col(c) for c in columns},
-        following={f"_next_{c}": F.col(c) for c in columns},
+        first={f"_first_{c}": F.col(c) for c in columns},
     )
     return scanned.select(*[
-        F.coalesce(f"_last_{c}", f"_next_{c}").alias(c) if c in columns else F.col(c)
+        F.coalesce(f"_last_{c}", f"_first_{c}").alias(c) if c in columns else F.col(c)
         for c in df.columns
     ])

@@ -14,6 +14,7 @@ KEYS = ("run_id", "timestamp")
 # How device columns combine over the devices of a timestamp.
 DEVICE_MEANS = ("utilization_gpu", "utilization_memory", "memory_percent", "temperature")
 DEVICE_SUMS = ("memory_total", "memory_used", "memory_free", "power_draw")
+WORD = 64
 STEP_COLUMNS = ("step", "loss", "learning_rate", "throughput", "step_time")
 
 
@@ -21,17 +22,27 @@ def add_prefix(df: DataFrame, prefix: str, keep: Sequence[str] = KEYS) -> DataFr
     return df.select(*[F.col(c) if c in keep else F.col(c).alias(prefix + c) for c in df.columns])
 
 
-def device_rollup(samples: DataFrame) -> DataFrame:
+def device_rollup(samples: DataFrame, device_ids: int | None = None) -> DataFrame:
     """Mean, sum and number of devices per timestamp, columns prefixed ``gpu_``.
 
-    The set of device ids keeps this to one shuffle of partial aggregates; it
-    holds each device of the run once, however many samples there are.
+    Counting distinct devices costs a second shuffle of all samples. Where ids
+    are known to be 0 to ``device_ids - 1``, they are counted as bits in the same
+    pass; an id outside then is an error, never a wrong count.
     """
     means = [F.avg(c).alias(c) for c in DEVICE_MEANS]
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in DEVICE_SUMS]
-    rolled = samples.groupBy(*KEYS).agg(
-        *means, *sums, F.size(F.collect_set("gpu_id")).cast("long").alias("gpu_count")
-    )
+    if device_ids is None:
+        count = F.count_distinct("gpu_id")
+    else:
+        samples = samples.withColumn("gpu_id", F.expr(
+            f"CASE WHEN gpu_id IS NULL OR gpu_id BETWEEN 0 AND {device_ids - 1} THEN gpu_id"
+            f" ELSE raise_error('device id not below {device_ids}') END"))
+        count = F.expr(" + ".join(
+            f"coalesce(bit_count(bit_or(CASE WHEN gpu_id BETWEEN {low} AND {low + WORD - 1}"
+            f" THEN shiftleft(1L, CAST(gpu_id - {low} AS INT)) END)), 0)"
+            for low in range(0, device_ids, WORD)
+        )).cast("long")
+    rolled = samples.groupBy(*KEYS).agg(*means, *sums, count.alias("gpu_count"))
     return add_prefix(rolled, "gpu_")
 
 

@@ -17,11 +17,12 @@ def fused_series(
     granularity: float = 1.0,
     event_fill: str = "zero",
     block_slots: int = DEFAULT_BLOCK_SLOTS,
+    device_ids: int | None = None,
 ) -> DataFrame:
     """Rolled up, aligned, filled and derived series of the sources that are given."""
     sources = []
     if devices is not None:
-        sources.append(rollup.device_rollup(devices))
+        sources.append(rollup.device_rollup(devices, device_ids))
     if hosts is not None:
         sources.append(rollup.host_samples(hosts))
     if records is not None:
@@ -40,7 +41,10 @@ def labelled_matrix(
     granularity: float = 1.0,
     event_fill: str = "zero",
     block_slots: int = DEFAULT_BLOCK_SLOTS,
+    device_ids: int | None = None,
 ) -> DataFrame:
     """Feature matrix with ``is_anomaly`` from fault windows and events."""
-    series = fused_series(devices, hosts, records, order, granularity, event_fill, block_slots)
+    series = fused_series(
+        devices, hosts, records, order, granularity, event_fill, block_slots, device_ids
+    )
     return matrix.build_matrix(series, windows)

@@ -84,10 +84,14 @@ def global_index(index: DataFrame) -> DataFrame:
     )
 
 
-def append(df: DataFrame, root: str, chunk_rows: int = CHUNK_ROWS) -> None:
+def append(
+    df: DataFrame, root: str, chunk_rows: int = CHUNK_ROWS, batch_ids: Sequence[str] | None = None
+) -> None:
     """Write the batches of ``df``; a batch written again replaces itself.
 
-    Rebalancing splits a dominant batch over tasks and joins up small ones.
+    Rebalancing splits a dominant batch over tasks and joins up small ones. The
+    index is made from the written batches alone. A caller who knows their ids
+    names them, else ``df`` is asked for them a second time.
     """
     (
         df.hint("rebalance", "batch_id").write.mode("overwrite")
@@ -95,9 +99,11 @@ def append(df: DataFrame, root: str, chunk_rows: int = CHUNK_ROWS) -> None:
         .option("maxRecordsPerFile", chunk_rows).option("compression", "zstd")
         .partitionBy("batch_id").parquet(f"{root}/data")
     )
-    written = read(df.sparkSession, root).join(
-        df.select("batch_id").distinct(), "batch_id", "left_semi"
-    )
+    written = read(df.sparkSession, root)
+    if batch_ids is not None:
+        written = written.where(F.col("batch_id").isin(*batch_ids))
+    else:
+        written = written.join(df.select("batch_id").distinct(), "batch_id", "left_semi")
     (
         batch_index(written).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -22,7 +22,7 @@ SLOT_TS = "make_timestamp(slot) AS timestamp"
 def rolled(spark: SparkSession, sf_dir: str) -> tuple[list[DataFrame], DataFrame]:
     """The three rolled-up sources, and the time span of the raw ones."""
     dev, host, rec = routed(events(spark, sf_dir))
-    sources = [rollup.device_rollup(dev), rollup.host_samples(host), rollup.training_rollup(rec, "line_no")]
+    sources = [rollup.device_rollup(dev, 4), rollup.host_samples(host), rollup.training_rollup(rec, "line_no")]
     return sources, align.time_span([dev, host, rec])
 
 
@@ -431,7 +431,7 @@ SQL_MATRIX = f"""{SQL_DERIVED}, clean AS (
 
 def event_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     dev, host, rec = routed(events(spark, sf_dir))
-    return labelled_matrix(dev, host, rec, granularity=HOUR, block_slots=BLOCK_SLOTS)
+    return labelled_matrix(dev, host, rec, granularity=HOUR, block_slots=BLOCK_SLOTS, device_ids=4)
 
 
 @query("feature_matrix", f"""{SQL_MATRIX}

@@ -140,7 +140,7 @@ def store_append(spark, sf_dir):
     root = scratch_path(spark, "store")
     rows = stored_rows(spark, sf_dir)
     store.append(rows.where((F.col("batch_id") != "day_20240102") | (F.col("train_step") > 50)), root)
-    store.append(rows.where(F.col("batch_id") == "day_20240102"), root)
+    store.append(rows.where(F.col("batch_id") == "day_20240102"), root, batch_ids=["day_20240102"])
     return store.read(spark, root)
 
 
