@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidefuse.llm.common import kept, slices, text_bytes
 from tidefuse.llm.components import connected
@@ -201,6 +202,21 @@ def postings(documents: DataFrame, classes) -> DataFrame:
     return chosen(documents).mapInArrow(run, "shingle long, node long, size int, place int")
 
 
+def with_digest(documents: DataFrame, digest: str, size: str) -> DataFrame:
+    """``documents`` with the digest and the size of each text's shingle set."""
+    place = documents.columns.index("text")
+    schema = T.StructType([*documents.schema.fields, T.StructField(digest, T.LongType()),
+                           T.StructField(size, T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sizes, digests, *_ = batch_sets(batch, place)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests), pa.array(sizes)],
+                                             [*batch.schema.names, digest, size])
+
+    return documents.mapInArrow(run, schema)
+
+
 def segments(documents: DataFrame, wanted: DataFrame, profile: DataFrame, classes) -> DataFrame:
     """node, fragment, shingles of each wanted node."""
     of = profile.where("kind = 0 AND b > 0").groupBy(F.col("c").alias("node")).agg(
