@@ -43,8 +43,8 @@ REPEATS = 3
 COUNTED = 1 << 22
 FRAGMENTS = 8
 HASH_BITS = 56
-#: All pairs left between components are verified at once below so many per posting.
-PAIRS_PER_POSTING = 2
+#: All pairs left between components are looked at in one round once they are so many per document.
+PAIRS_PER_DOCUMENT = 16
 
 M1, M2, M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
@@ -271,6 +271,7 @@ def link_components(documents: DataFrame, profile: DataFrame) -> DataFrame:
     shared = found.withColumn("_low", F.min("node").over(same)).withColumn("_high", F.max("node").over(same))
     lists = kept(shared.where("_low <> _high").drop("_low", "_high").distinct(), "postings")
     parts = kept(segments(documents, lists.select("node").distinct(), profile, classes), "segments")
+    total = profile.where("kind = 0").count()
     links, roots, turn = [], None, 0
     while True:
         lists = component_of(lists.drop("root"), roots)
@@ -282,7 +283,7 @@ def link_components(documents: DataFrame, profile: DataFrame) -> DataFrame:
         rows, pairs = left.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2)).first()
         if not rows:
             break
-        last = pairs <= PAIRS_PER_POSTING * rows
+        last = pairs <= PAIRS_PER_DOCUMENT * total
         a = lists.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("node", "size", "place", "root")])
         b = lists.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "place", "root")])
         if last:

@@ -36,11 +36,11 @@ ORACLES["op2_ngram_jaccard_join"] = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-sets AS (
+sets AS MATERIALIZED (
   SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
-items AS (SELECT doc_id, unnest(s) AS x FROM sets),
-links AS (
+items AS MATERIALIZED (SELECT doc_id, unnest(s) AS x FROM sets),
+links AS MATERIALIZED (
   SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id
   JOIN sets p ON p.doc_id = a.doc_id JOIN sets q ON q.doc_id = b.doc_id
   GROUP BY a.doc_id, b.doc_id, len(p.s), len(q.s)
