@@ -42,6 +42,8 @@ REPEATS = 3
 #: Tasks count this many shingles together.
 COUNTED = 1 << 22
 FRAGMENTS = 8
+#: Bits of the filter of documents whose sets are compared.
+BITS = 1 << 23
 HASH_BITS = 56
 #: All pairs left between components are looked at in one round once they are so many per document.
 PAIRS_PER_DOCUMENT = 16
@@ -217,15 +219,32 @@ def with_digest(documents: DataFrame, digest: str, size: str) -> DataFrame:
     return documents.mapInArrow(run, schema)
 
 
-def segments(documents: DataFrame, wanted: DataFrame, profile: DataFrame, classes) -> DataFrame:
+def bitmap(wanted: DataFrame) -> np.ndarray:
+    """Bits of the wanted nodes' digests, of a fixed size; other nodes may share a bit."""
+    bit = F.col("node").bitwiseAND(BITS - 1)
+    words = wanted.groupBy(F.shiftright(bit, 5).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(node & 31 AS int))")).alias("b")).toArrow()
+    bits = np.zeros(BITS // 32, np.int64)
+    bits[words["w"].to_numpy()] = words["b"].to_numpy()
+    return bits
+
+
+def segments(documents: DataFrame, wanted: DataFrame, classes) -> DataFrame:
     """node, fragment, shingles of each wanted node."""
-    of = profile.where("kind = 0 AND b > 0").groupBy(F.col("c").alias("node")).agg(
-        F.min("a").alias("doc_id")).join(wanted, "node", "left_semi")
-    texts = chosen(documents).join(of, "doc_id", "left_semi")
+    # Texts stay where they are: tasks leave out most other documents by a bitmap of a fixed 2 MB.
+    bits = documents.sparkSession.sparkContext.broadcast(bitmap(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 256):
+        seen: set[int] = set()
+        for batch in slices(batches):
             sizes, digest, owner, hashes = batch_sets(batch, 1)
+            hit = (sizes > 0) & (bits.value[(digest & (BITS - 1)) >> 5] >> (digest & 31) & 1 == 1)
+            for k in np.flatnonzero(hit).tolist():
+                hit[k] = (d := int(digest[k])) not in seen
+                seen.add(d)
+            owner, hashes = owner[hit[owner]], hashes[hit[owner]]
+            if not len(owner):
+                continue
             keys = ordered(owner, hashes, classes.value)
             part = fragment(keys)
             first = np.ones(len(keys), bool)
@@ -236,7 +255,7 @@ def segments(documents: DataFrame, wanted: DataFrame, profile: DataFrame, classe
                 [pa.array(digest[owner[starts]]), pa.array(part[starts].astype(np.int32)), lists],
                 ["node", "fragment", "shingles"])
 
-    cut = texts.mapInArrow(run, "node long, fragment int, shingles array<long>")
+    cut = chosen(documents).mapInArrow(run, "node long, fragment int, shingles array<long>")
     return cut.join(wanted, "node", "left_semi").dropDuplicates(["node", "fragment"])
 
 
@@ -270,7 +289,6 @@ def link_components(documents: DataFrame, profile: DataFrame) -> DataFrame:
     same = Window.partitionBy("shingle")
     shared = found.withColumn("_low", F.min("node").over(same)).withColumn("_high", F.max("node").over(same))
     lists = kept(shared.where("_low <> _high").drop("_low", "_high").distinct(), "postings")
-    parts = kept(segments(documents, lists.select("node").distinct(), profile, classes), "segments")
     total = profile.where("kind = 0").count()
     links, roots, turn = [], None, 0
     while True:
@@ -297,7 +315,9 @@ def link_components(documents: DataFrame, profile: DataFrame) -> DataFrame:
         met = reachable(met.where("root_a <> root_b")).select(
             F.col("node_a").alias("a"), F.col("node_b").alias("b"),
             F.col("size_a").alias("size_a"), F.col("size_b").alias("size_b")).dropDuplicates(["a", "b"])
-        links.append(kept(linked(met, parts), "links"))
+        met = kept(met, "pairs")
+        ends = met.select(F.col("a").alias("node")).union(met.select("b")).distinct()
+        links.append(kept(linked(met, kept(segments(documents, ends, classes), "segments")), "links"))
         if last:
             break
         lists = lists.join(pivot.select("shingle", F.col("node_a").alias("node")), ["shingle", "node"], "left_anti")

@@ -36,9 +36,16 @@ ORACLES["op2_ngram_jaccard_join"] = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+placed AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words),
+grams AS (
+  SELECT doc_id, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o
+    || ' ' || lead(word, 4) OVER o AS x FROM placed WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+shingles AS (
+  SELECT doc_id, x FROM grams WHERE x IS NOT NULL UNION
+  SELECT doc_id, array_to_string(w, ' ') FROM words WHERE len(w) BETWEEN 1 AND 4),
 sets AS MATERIALIZED (
-  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
+  SELECT d.doc_id, coalesce(list(x) FILTER (x IS NOT NULL), []) AS s
+  FROM documents d LEFT JOIN shingles g ON g.doc_id = d.doc_id GROUP BY d.doc_id),
 items AS MATERIALIZED (SELECT doc_id, unnest(s) AS x FROM sets),
 links AS MATERIALIZED (
   SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id
