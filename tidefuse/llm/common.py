@@ -37,12 +37,12 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``rows`` rows, and fewer where texts are long."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             part = batch.slice(start, rows)
-            if part.nbytes > 1 << 26 and part.num_rows > 1:
+            if part.nbytes > 1 << 23 and part.num_rows > 1:
                 for k in range(part.num_rows):
                     yield part.slice(k, 1)
             else:

@@ -46,7 +46,7 @@ FRAGMENTS = 8
 BITS = 1 << 23
 HASH_BITS = 56
 #: All pairs left between components are looked at in one round once they are so many per document.
-PAIRS_PER_DOCUMENT = 16
+PAIRS_PER_DOCUMENT = 256
 
 M1, M2, M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
