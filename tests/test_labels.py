@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -77,3 +79,27 @@ def test_draws_are_even_and_repeatable(spark):
     u = spark.range(20000).select(faults.draw(1, F.col("id")).alias("u"))
     low = u.where("u < 0.5").count()
     assert 9500 < low < 10500 and low == u.where("u < 0.5").count()
+
+
+def test_windows_of_one_fault_add_up(spark):
+    points = spark.createDataFrame([("r", at(i)) for i in range(30)], "run_id string, timestamp timestamp_ntz")
+    windows = spark.createDataFrame(
+        [("r", "oom", at(0), at(4)), ("r", "oom", at(10), at(14))],
+        "run_id string, fault_id string, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    assert rows(labels.fault_coverage(points, windows), "fault_id", "points") == [("oom", 10)]
+
+
+def test_open_and_far_windows(spark):
+    points = spark.createDataFrame([("r", at(i)) for i in range(4)], "run_id string, timestamp timestamp_ntz")
+    windows = spark.createDataFrame(
+        [("r", at(2), None), ("r", at(3), datetime(9999, 1, 1))],
+        "run_id string, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    flagged = rows(labels.label_windows(points, windows), "timestamp", "is_anomaly")
+    assert [f for _, f in flagged] == [0, 0, 1, 1]
+
+
+def test_fault_without_a_run_applies_to_every_run(spark):
+    schedule = faults.normalize(flat=spark.createDataFrame([("oom", 5.0)], "type string, injection_time double"))
+    starts = spark.createDataFrame([("a", at(0)), ("b", at(9))], "run_id string, run_start timestamp_ntz")
+    found = rows(faults.time_windows(schedule, starts), "run_id", "start_ts")
+    assert found == [("a", at(5)), ("b", at(14))]

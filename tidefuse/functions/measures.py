@@ -111,7 +111,7 @@ def coerce(value: Column, word: str, source_type: str) -> Column:
         if source_type in ("tinyint", "smallint", "int", "bigint"):
             return F.coalesce(value.cast("long"), F.lit(0).cast("long"))
         number = value.try_cast("double")
-        whole = F.when(~F.isnan(number) & (F.abs(number) < 9.2e18), number.try_cast("long"))
+        whole = F.when(~F.isnan(number), number.try_cast("long"))
         exact = value.try_cast("long") if source_type == "string" else whole
         return F.coalesce(exact, whole, F.lit(0).cast("long"))
     if word == "float":

@@ -56,12 +56,16 @@ def faults_of_type(schedule: DataFrame, fault_type: str) -> DataFrame:
 
 
 def time_windows(schedule: DataFrame, run_starts: DataFrame) -> DataFrame:
-    """Closed windows [start_ts, end_ts] of time-based faults, per run start."""
+    """Closed windows [start_ts, end_ts] of time-based faults, per run start.
+
+    A fault without a run applies to every run. ``unstarted`` tells the faults
+    whose run has no start.
+    """
     us = F.lit(1_000_000)
     length = F.when(F.col("duration") > 0, F.col("duration")).otherwise(F.lit(INSTANT_SECONDS))
     begin = micros("run_start") + F.round(F.col("delay") * us).cast("long")
     return (
-        schedule.where(F.col("basis") == "time")
+        every_run(schedule.where(F.col("basis") == "time"), run_starts)
         .join(run_starts, "run_id")
         .withColumn("_begin", begin)
         .select(
@@ -72,8 +76,26 @@ def time_windows(schedule: DataFrame, run_starts: DataFrame) -> DataFrame:
     )
 
 
-def step_windows(schedule: DataFrame) -> DataFrame:
-    """Half-open windows [start_step, end_step); no end for open-ended faults."""
+def every_run(schedule: DataFrame, runs: DataFrame) -> DataFrame:
+    """The schedule with each fault that names no run repeated for every run."""
+    common = schedule.where("run_id IS NULL").drop("run_id")
+    # The product is the meaning: one schedule for all runs.
+    repeated = runs.select("run_id").distinct().crossJoin(common).select(*schedule.columns)
+    return schedule.where("run_id IS NOT NULL").unionByName(repeated)
+
+
+def unstarted(schedule: DataFrame, run_starts: DataFrame) -> DataFrame:
+    """Time-based faults that name a run without a start; they have no window."""
+    named = schedule.where((F.col("basis") == "time") & F.col("run_id").isNotNull())
+    return named.join(run_starts.where("run_start IS NOT NULL"), "run_id", "left_anti")
+
+
+def step_windows(schedule: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Half-open windows [start_step, end_step); no end for open-ended faults.
+
+    Faults without a run apply to every run of ``runs``.
+    """
+    schedule = schedule if runs is None else every_run(schedule, runs)
     start = F.col("injection_step")
     length = F.coalesce(F.col("duration"), F.lit(DEFAULT_STEPS)).cast("long")
     end = F.when(~F.col("fault_type").isin(*OPEN_ENDED), start + length)

@@ -41,6 +41,10 @@ def _pieces(windows: DataFrame, width: int) -> DataFrame:
 
 
 def _flag(points: DataFrame, position: Column, windows: DataFrame, width: int, name: str) -> DataFrame:
+    # Windows are clipped to their run's points first: an open or far end unfolds no further than these.
+    reach = points.groupBy("run_id").agg(F.min(position).cast("long").alias("_first"), F.max(position).cast("long").alias("_last"))
+    windows = windows.join(reach, "run_id").select(
+        "run_id", F.greatest("_lo", "_first").alias("_lo"), F.least("_hi", "_last").alias("_hi"))
     pieces = _pieces(windows, width).withColumnRenamed("run_id", "_run")
     placed = points.withColumn("_pos", position.cast("long")).withColumn(
         "_at", floor_us(F.col("_pos"), width)
@@ -107,7 +111,7 @@ def label_points(df: DataFrame, windows: DataFrame | None = None) -> DataFrame:
 
 
 def fault_coverage(points: DataFrame, windows: DataFrame) -> DataFrame:
-    """Points inside each single window, 0 included; windows carry a ``fault_id``.
+    """Points inside the windows of each ``fault_id``, 0 included; windows of one id add up.
 
     Counts are differences of one running count at the two ends of a window, so
     the work is linear however many windows overlap.
@@ -126,6 +130,5 @@ def fault_coverage(points: DataFrame, windows: DataFrame) -> DataFrame:
     blocked = range_blocks(counted.unionByName(window), ["run_id"], ["_us", "_end"])
     running = scan(blocked, ["run_id"], ["_us", "_end"], total={"_sum": F.col("_n")})
     return running.where("_end > 0").groupBy("run_id", "fault_id").agg(
-        (F.max(F.when(F.col("_end") == 2, F.col("_sum")))
-         - F.max(F.when(F.col("_end") == 1, F.col("_sum")))).alias("points")
+        F.sum(F.when(F.col("_end") == 2, F.col("_sum")).otherwise(-F.col("_sum"))).alias("points")
     )

@@ -61,8 +61,14 @@ def to_run(plan: DataFrame, skip_completed: bool = True) -> DataFrame:
 
 
 def update(plan: DataFrame, results: DataFrame) -> DataFrame:
-    """Fold results into the plan by experiment id; others keep their status."""
+    """Fold results into the plan by experiment id; others keep their status.
+
+    Of several results of one experiment the last one counts.
+    """
     outcome = [c for c in results.columns if c != "experiment_id"]
+    last = results.withColumn("_at", F.monotonically_increasing_id()).groupBy("experiment_id").agg(
+        F.max_by(F.struct(*outcome), "_at").alias("_last"))
+    results = last.select("experiment_id", *[F.col("_last")[c].alias(c) for c in outcome])
     kept = plan.select(*[c for c in plan.columns if c not in outcome])
     joined = kept.join(results, "experiment_id", "left")
     status = (

@@ -49,11 +49,13 @@ def load_dataset(
     """Rows of a registered dataset, only its columns, optionally capped per split."""
     if name not in REGISTRY:
         raise ValueError(f"unknown dataset {name}")
+    if split_sizes and not order:
+        raise ValueError("split sizes need an order that says which rows stay")
     spec = REGISTRY[name]
     raw = spark.read.parquet(path)
     wanted = [split, *spec.inputs, *([spec.label] if spec.label else []), *([order] if order else [])]
     rows = check_columns(raw, wanted).select(*dict.fromkeys(wanted))
-    return cap_splits(rows, split_sizes, split, order) if split_sizes and order else rows
+    return cap_splits(rows, split_sizes, split, order) if split_sizes else rows
 
 
 def check_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:

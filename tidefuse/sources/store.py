@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import datetime
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,11 +69,13 @@ def chunk_numbers(df: DataFrame, order: Sequence[str], chunk_rows: int = CHUNK_R
 
 
 def batch_index(df: DataFrame) -> DataFrame:
-    """Time range, rows and anomalies per batch."""
+    """Time range, rows and anomalies per batch; null where the dataset has no such column."""
+    time = F.col("timestamp") if "timestamp" in df.columns else F.lit(None).cast("timestamp_ntz")
+    anomaly = F.col("is_anomaly") if "is_anomaly" in df.columns else F.lit(None)
     return df.groupBy("batch_id").agg(
-        F.min("timestamp").alias("min_timestamp"), F.max("timestamp").alias("max_timestamp"),
+        F.min(time).alias("min_timestamp"), F.max(time).alias("max_timestamp"),
         F.count("*").alias("record_count"),
-        F.sum(F.col("is_anomaly").cast("long")).alias("anomaly_count"),
+        F.sum(anomaly.cast("long")).alias("anomaly_count"),
     )
 
 
@@ -91,8 +94,12 @@ def append(
 
     Rebalancing splits a dominant batch over tasks and joins up small ones. The
     index is made from the written batches alone. A caller who knows their ids
-    names them, else ``df`` is asked for them a second time.
+    names them, else ``df`` is asked for them a second time. Rows without a
+    batch, or outside of the named ones, are an error.
     """
+    known = F.col("batch_id").isin(*batch_ids) if batch_ids is not None else F.lit(True)
+    df = df.withColumn("batch_id", F.when(F.col("batch_id").isNotNull() & known, F.col("batch_id")).otherwise(
+        F.raise_error(F.concat(F.lit("batch not named: "), F.coalesce(F.col("batch_id").cast("string"), F.lit("null"))))))
     (
         df.hint("rebalance", "batch_id").write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -113,7 +120,7 @@ def append(
 
 def _read(spark: SparkSession, path: str, **options: object) -> DataFrame:
     """Parquet by batch, with batch ids as the text they were written as ('007' is no 7)."""
-    found = spark.read.options(**options).parquet(path).schema
+    found = spark.read.options(mergeSchema=True, **options).parquet(path).schema
     fields = [T.StructField("batch_id", T.StringType()) if f.name == "batch_id" else f for f in found]
     return spark.read.options(**options).schema(T.StructType(fields)).parquet(path)
 
@@ -165,12 +172,16 @@ def query(
     """Query a stored dataset; batches outside the time range are not listed for reading."""
     rows = read(spark, root)
     if start is not None or end is not None:
-        index = read_index(spark, root)
+        # The index only leaves out: a batch that it lacks is read.
+        outside = F.lit(False)
         if start is not None:
-            index = index.where(F.col("max_timestamp") >= F.lit(start).cast("timestamp_ntz"))
+            outside |= F.col("max_timestamp") < F.lit(start).cast("timestamp_ntz")
         if end is not None:
-            index = index.where(F.col("min_timestamp") <= F.lit(end).cast("timestamp_ntz"))
-        rows = rows.join(index.select("batch_id"), "batch_id", "left_semi")
+            outside |= F.col("min_timestamp") > F.lit(end).cast("timestamp_ntz")
+        # Partition values alone say which batches there are; the semi-join prunes their folders at run time.
+        outside_ids = read_index(spark, root).where(outside).select("batch_id")
+        inside = rows.select("batch_id").distinct().join(outside_ids, "batch_id", "left_anti")
+        rows = rows.join(inside, "batch_id", "left_semi")
     return select_rows(rows, start, end, **selection)
 
 
@@ -266,10 +277,17 @@ def _delete(spark: SparkSession, path: str) -> bool:
 
 
 def drop_batches(spark: SparkSession, root: str, batch_ids: Sequence[str]) -> None:
-    """Drop the partitions of some batches; no other data is touched."""
-    for batch in batch_ids:
-        for part in ("index", "data"):
-            _delete(spark, f"{root}/{part}/batch_id={batch}")
+    """Drop the partitions of some batches; no other data is touched. An unknown batch is an error."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for part in ("index", "data"):
+        folder = hadoop.Path(f"{root}/{part}")
+        system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        # Folder names are escaped; they are compared as the ids they stand for.
+        found = {unquote(s.getPath().getName().removeprefix("batch_id=")): s.getPath() for s in system.listStatus(folder)}
+        if missing := [b for b in batch_ids if b not in found]:
+            raise ValueError(f"no batches {missing} below {root}/{part}")
+        for batch in batch_ids:
+            system.delete(found[batch], True)
 
 
 def drop_dataset(spark: SparkSession, root: str) -> bool:
