@@ -25,11 +25,13 @@ from tidefuse.llm.common import slices, text_bytes
 from tidefuse.llm.language import letters
 
 GRAM = 5
-BITS = 18
+#: Bytes of the beginnings of words that count too, their leading space included.
+BEGINNINGS = (6, 7, 8, 9, 10, 12)
+BITS = 19
 SAMPLE = 20_000
 FEATURES = 4096
 LEAST_DOCUMENTS = 3
-LEAST_ODDS, LEAST_Z = 1.5, 3.0
+LEAST_ODDS, LEAST_Z = 2.0, 3.5
 STEPS = 400
 OFFENDING = 0.5
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -46,20 +48,29 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams with a letter, and their places."""
-    n = len(data) - GRAM + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """Hashed n-grams with a letter, and longer beginnings of words, with their places in order."""
     plain = letters(data)
-    code = np.zeros(n, np.uint64)
-    blank = np.ones(n, bool)
-    for k in range(GRAM):
-        part = plain[k:n + k]
-        code = (code << np.uint64(8)) | part
-        blank &= part == 32
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    at = np.flatnonzero(~blank & (owner[:n] == owner[GRAM - 1:]))
-    return ((code[at] * FACTOR) >> np.uint64(64 - BITS)).astype(np.int64), at
+    codes, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for size in (GRAM, *BEGINNINGS):
+        n = len(data) - size + 1
+        if n <= 0:
+            continue
+        use = owner[:n] == owner[size - 1:]
+        if size == GRAM:
+            use &= np.convolve(plain != 32, np.ones(size, np.int8))[size - 1:][:n] > 0
+        else:
+            use &= (plain[:n] == 32) & (plain[1:n + 1] != 32)
+        at = np.flatnonzero(use)
+        code = np.full(len(at), size, np.uint64)
+        for k in range(size):
+            code = (code ^ plain[at + k]) * FACTOR
+            code ^= code >> np.uint64(29)
+        codes.append(((code * FACTOR) >> np.uint64(64 - BITS)).astype(np.int64))
+        places.append(at)
+    at = np.concatenate(places)
+    order = np.argsort(at, kind="stable")
+    return np.concatenate(codes)[order], at[order]
 
 
 def labelled(documents: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
