@@ -45,7 +45,7 @@ def decide(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     target = target.where("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = captured.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
     joined = salted.join(target.drop("n"), ["digest", "size", "salt"], "left")
-    return joined.withColumn("refers_to", F.when(F.col("target") != F.col("page_id"), F.col("target"))) \
+    return joined.withColumn("refers_to", F.when(~F.col("target").eqNullSafe(F.col("page_id")), F.col("target"))) \
         .drop("salt", "target")
 
 
