@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tidefuse.session import scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
+#: Spark removes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -28,7 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: no lineage, safe from lost executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    # The table stands for its plan from now on, so that plan's shuffle files can go.
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -230,7 +230,10 @@ def bitmap(wanted: DataFrame) -> np.ndarray:
 
 
 def segments(documents: DataFrame, wanted: DataFrame, classes) -> DataFrame:
-    """node, fragment, shingles of each wanted node."""
+    """node, fragment, shingles of each wanted node, once per task that holds a document of it.
+
+    Nodes that share a bit with a wanted one may come along.
+    """
     # Texts stay where they are: tasks leave out most other documents by a bitmap of a fixed 2 MB.
     bits = documents.sparkSession.sparkContext.broadcast(bitmap(wanted))
 
@@ -255,16 +258,21 @@ def segments(documents: DataFrame, wanted: DataFrame, classes) -> DataFrame:
                 [pa.array(digest[owner[starts]]), pa.array(part[starts].astype(np.int32)), lists],
                 ["node", "fragment", "shingles"])
 
-    cut = chosen(documents).mapInArrow(run, "node long, fragment int, shingles array<long>")
-    return cut.join(wanted, "node", "left_semi").dropDuplicates(["node", "fragment"])
+    return chosen(documents).mapInArrow(run, "node long, fragment int, shingles array<long>")
 
 
 def linked(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs (a, b, size_a, size_b) that reach the threshold: partial overlaps per fragment, summed."""
-    left = parts.select(F.col("node").alias("a"), "fragment", F.col("shingles").alias("left"))
-    right = parts.select(F.col("node").alias("b"), "fragment", F.col("shingles").alias("right"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select(
-        "a", "b", "size_a", "size_b", F.size(F.array_intersect("left", "right")).alias("n"))
+    """The pairs (a, b, size_a, size_b) that reach the threshold: partial overlaps per fragment, summed.
+
+    Both joins have the keys by which copies from several tasks are reduced to one, so that
+    segments are shuffled once.
+    """
+    parts = parts.repartition("node", "fragment").dropDuplicates(["node", "fragment"])
+    pairs = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
+    left, right = (parts.select(F.col("node").alias(end), "fragment", F.col("shingles").alias(f"shingles_{end}"))
+                   for end in ("a", "b"))
+    met = pairs.join(left, ["a", "fragment"]).join(right, ["b", "fragment"])
+    partial = met.select("a", "b", "size_a", "size_b", F.size(F.array_intersect("shingles_a", "shingles_b")).alias("n"))
     total = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"))
     return total.where("100 * n >= 75 * (size_a + size_b - n)").select("a", "b")
 
@@ -317,7 +325,7 @@ def link_components(documents: DataFrame, profile: DataFrame) -> DataFrame:
             F.col("size_a").alias("size_a"), F.col("size_b").alias("size_b")).dropDuplicates(["a", "b"])
         met = kept(met, "pairs")
         ends = met.select(F.col("a").alias("node")).union(met.select("b")).distinct()
-        links.append(kept(linked(met, kept(segments(documents, ends, classes), "segments")), "links"))
+        links.append(kept(linked(met, segments(documents, ends, classes)), "links"))
         if last:
             break
         lists = lists.join(pivot.select("shingle", F.col("node_a").alias("node")), ["shingle", "node"], "left_anti")
