@@ -14,6 +14,7 @@ from tidefuse.plans import experiments
 from tidefuse.session import require_utc, scratch_path
 from tidefuse.sources import files, logs, registry, samples, store
 from tidefuse.streaming import tail
+from workload import storage
 
 LINES = [
     "2024-01-01 00:00:10 - INFO - Step 10 | Loss: 0.693147 | LR: 2.00e-05 | Throughput: 16.50 samples/s | Step Time: 0.970s",
@@ -162,6 +163,15 @@ def test_plan_document(spark, tmp_path):
     assert (report.total_experiments, report.pending, report.success_rate, report.average_duration) == (8, 8, 0.0, 0.0)
 
 
+def test_plan_documents_hold_every_combination(spark, monkeypatch):
+    read, unfold = [], experiments.plan_rows
+    monkeypatch.setattr(experiments, "plan_rows", lambda plans: read.append(plans) or unfold(plans))
+    found = storage.plan_rows(spark, "/root/testdata/sf0.001")
+    sizes = read[0].select(F.size("experiment_combinations").alias("n")).groupBy("n").count().collect()
+    assert [r.n for r in sizes] == [len(storage.DATASETS)]
+    assert found.count() == sizes[0]["count"] * len(storage.DATASETS)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     (tmp_path / "a.log").write_text("\n".join(LINES), encoding="utf-8")
     out = scratch_path(spark, "s")

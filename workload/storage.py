@@ -467,16 +467,15 @@ def training_outcomes(spark, sf_dir):
 
 @query("plan_rows", f"WITH {SQL_PLAN} SELECT 'plan_' || fault_type AS plan_name, experiment_id, model_type, dataset_type, fault_type, status FROM plan")
 def plan_rows(spark, sf_dir):
-    """Plans written as nested JSON documents, one per model, and unfolded again."""
+    """Plans written as nested JSON documents, one per plan and model with all its combinations, and unfolded again."""
     rows = plan(spark, sf_dir)
     entry = F.struct(
         "experiment_id", F.struct("model_type", "model_name").alias("model_config"),
         F.struct("dataset_type").alias("dataset_config"), F.struct("fault_type").alias("fault_config"), "status",
     )
-    documents_ = rows.select(
-        F.concat(F.lit("plan_"), F.col("fault_type")).alias("plan_name"),
-        F.array(entry).alias("experiment_combinations"),
-    )
+    documents_ = rows.groupBy(F.concat(F.lit("plan_"), F.col("fault_type")).alias("plan_name"), "model_name").agg(
+        F.collect_list(entry).alias("experiment_combinations")
+    ).drop("model_name")
     path = scratch_path(spark, "plans")
     documents_.write.json(path)
     read = spark.read.schema(experiments.PLAN_SCHEMA).json(path)
