@@ -103,3 +103,15 @@ def test_fault_without_a_run_applies_to_every_run(spark):
     starts = spark.createDataFrame([("a", at(0)), ("b", at(9))], "run_id string, run_start timestamp_ntz")
     found = rows(faults.time_windows(schedule, starts), "run_id", "start_ts")
     assert found == [("a", at(5)), ("b", at(14))]
+
+
+def test_window_without_a_start_labels_nothing(spark):
+    schedule = faults.normalize(flat=spark.createDataFrame(
+        [("a", "oom", 1.0, 1.0), ("b", "oom", 1.0, 1.0)], "run_id string, type string, delay double, duration double"))
+    starts = spark.createDataFrame([("a", at(0)), ("b", None)], "run_id string, run_start timestamp_ntz")
+    points = spark.createDataFrame([(r, at(i)) for r in "ab" for i in range(4)], POINT)
+    flagged = labels.label_windows(points, faults.time_windows(schedule, starts))
+    assert rows(flagged.where("is_anomaly = 1"), "run_id", "timestamp") == [("a", at(1)), ("a", at(2))]
+    steps = spark.createDataFrame([("a", None, 5)], "run_id string, start_step long, end_step long")
+    numbered = spark.createDataFrame([("a", i) for i in range(4)], "run_id string, train_step long")
+    assert labels.label_steps(numbered, steps).where("is_anomaly = 1").count() == 0

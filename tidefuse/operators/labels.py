@@ -43,7 +43,8 @@ def _pieces(windows: DataFrame, width: int) -> DataFrame:
 def _flag(points: DataFrame, position: Column, windows: DataFrame, width: int, name: str) -> DataFrame:
     # Windows are clipped to their run's points first: an open or far end unfolds no further than these.
     reach = points.groupBy("run_id").agg(F.min(position).cast("long").alias("_first"), F.max(position).cast("long").alias("_last"))
-    windows = windows.join(reach, "run_id").select(
+    # Only an end may be open; a window without a start labels nothing.
+    windows = windows.where(F.col("_lo").isNotNull()).join(reach, "run_id").select(
         "run_id", F.greatest("_lo", "_first").alias("_lo"), F.least("_hi", "_last").alias("_hi"))
     pieces = _pieces(windows, width).withColumnRenamed("run_id", "_run")
     placed = points.withColumn("_pos", position.cast("long")).withColumn(
