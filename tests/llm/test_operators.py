@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -20,7 +21,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import corpus_pipeline  # noqa: E402
 from helpers import database, same_result  # noqa: E402
 from tidefuse.llm import bpe, graph, jaccard, language, packing, quality, secrets, topk, toxicity, warc  # noqa: E402
-from tidefuse.llm.common import fold, vocabulary_path  # noqa: E402
+from tidefuse.llm.common import fold, text_bytes, vocabulary_path  # noqa: E402
 from tidefuse.llm.queries import ORACLES, QUERIES  # noqa: E402
 from tidefuse.session import scratch_path  # noqa: E402
 
@@ -175,6 +176,23 @@ def test_quality_and_toxicity(spark, edges):
     assert all(r.score == 0 for r in toxicity.score(edges, toxic, held_out).where("doc_id in (1, 2)").collect())
 
 
+def test_long_clean_text_is_good(spark):
+    rng = np.random.default_rng(3)
+    names = np.array(["".join(map(chr, rng.integers(97, 123, rng.integers(2, 10)))) for _ in range(30000)])
+    share = 1 / np.arange(1, 30001)
+    words = rng.choice(names, 100_000, p=share / share.sum())
+    prose = ". ".join(" ".join(words[k:k + 12]).capitalize() for k in range(0, len(words), 12))
+    loop = " ".join(words[:400].tolist() * 50)
+    m = quality.measures(*text_bytes(pa.array([prose, loop])))
+    few, ordinary, varied = quality.LABELLERS.index("few_words"), -2, -1
+    v = quality.votes(m)
+    assert [v[0, k] for k in (few, ordinary, varied)] == [quality.NONE, quality.GOOD, quality.GOOD]
+    assert [v[1, k] for k in (few, ordinary, varied)] == [quality.BAD, quality.NONE, quality.NONE]
+    model = quality.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    got = quality.classify(spark.createDataFrame([(1, prose)], "doc_id long, text string"), model).first()
+    assert got.weak_label > 0.95
+
+
 @pytest.mark.parametrize("name", ["op8_warc_transactions", "op9_norm_bucketed_top_k", "op2_ngram_jaccard_join"])
 def test_same_as_sql(spark, name):
     same_result(QUERIES[name](spark, SF_DIR), database(SF_DIR), ORACLES[name])

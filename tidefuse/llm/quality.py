@@ -26,6 +26,10 @@ from tidefuse.llm.jaccard import word_hashes
 
 SAMPLE = 6000
 BUCKETS = 1024
+#: Words are compared inside windows of about so many, as any prose repeats more words the longer it is.
+WINDOW_WORDS = 512
+#: Passages of so many words are compared in the whole text; prose of any length hardly repeats them.
+PASSAGE_WORDS = 5
 ROUNDS = 60
 STEPS = 250
 #: Weight of the assumed accuracy beside the estimated one.
@@ -60,6 +64,25 @@ def distinct(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(owner[first], minlength=n)
 
 
+def repeated_words(words: np.ndarray, owner: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Share of words seen before in their window, or of passages seen before in the text if that is more."""
+    n = len(count)
+    windows = np.maximum(1, np.rint(count / WINDOW_WORDS).astype(np.int64))
+    first = np.concatenate([[0], np.cumsum(windows)])
+    place = np.arange(len(words)) - (np.cumsum(count) - count)[owner]
+    window = first[owner] + place * windows[owner] // np.maximum(1, count)[owner]
+    new = np.concatenate([[0], np.cumsum(distinct(window, words, int(first[-1])))])
+    near = 1 - (new[first[1:]] - new[first[:-1]]) / np.maximum(1, count)
+    starts = max(0, len(words) - PASSAGE_WORDS + 1)
+    passage = np.zeros(starts, np.uint64)
+    for k in range(PASSAGE_WORDS):
+        passage = passage * np.uint64(0x9E3779B97F4A7C15) + words[k:k + starts]
+    inside = owner[:starts] == owner[len(owner) - starts:]
+    total = np.bincount(owner[:starts][inside], minlength=n)
+    far = np.where(total > 0, 1 - distinct(owner[:starts][inside], passage[inside], n) / np.maximum(1, total), 0)
+    return np.maximum(near, far)
+
+
 def measures(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """Shares and means per text, with the number of words."""
     n = len(offsets) - 1
@@ -98,7 +121,7 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         "upper": per_text(upper, offsets) / np.maximum(1, per_text(lower | upper, offsets)),
         "bare": np.bincount(owner[~has_letter], minlength=n) / some if len(starts) else np.zeros(n),
         "echo": np.bincount(owner[echo], minlength=n) / some,
-        "repeated": 1 - distinct(owner, words, n) / some * (count > 0) - (count == 0),
+        "repeated": np.where(count > 0, repeated_words(words, owner, count), 0.0),
         "word_length": per_text(inside, offsets) / some,
         "lines": 1 - distinct(line_owner, line_hash, n) / np.maximum(1, lines) - (lines == 0),
     }
