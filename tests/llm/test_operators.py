@@ -10,6 +10,7 @@ import sys
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -225,6 +226,20 @@ def test_top_k_edges(spark):
     assert topk.search(topk.whole(df.limit(0)), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_repeated_ids(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(int(i), rng.normal(size=8).tolist()) for i in rng.integers(0, 120, 600)]
+    # A third of the rows carries one id, long vectors of equal norm among them; copies of a candidate and of a query.
+    rows += [(7, np.roll([9.0, 1, 2, 3, 4, 5, 6, 7 + k // 8], k % 8).tolist()) for k in range(300)]
+    rows += [(8, [4.0] * 8)] * 7 + [(50, rows[0][1])] * 3
+    df = spark.createDataFrame(rows, VECTOR)
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    name = "op9_norm_bucketed_top_k"
+    same_result(QUERIES[name](spark, str(tmp_path)), con, ORACLES[name])
+
+
 def test_graph(spark):
     df = spark.createDataFrame(VECTORS, VECTOR)
     got = sorted((r.vec_id, r.n_links, r.component_id) for r in graph.near_duplicates(df).collect())

@@ -11,9 +11,10 @@ products are computed in full.
 
 Queries are a set stated by the caller, against all rows, in blocks. Null
 vectors and those with null or non-finite components take no part; only vectors
-of equal dimension meet. Exact repeated rows count once, and rows that carry a
-query's own id are never its results. Products must fit a long, else it is an
-error. Ties go to the smaller id.
+of equal dimension meet. Every row is a candidate, also where several rows share
+an id; rows that carry a query's own id are never its results. Exact repeated rows
+count once, or each with ``repeats``; they are searched once and unfolded among the
+results. Products must fit a long, else it is an error. Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -46,17 +47,18 @@ def whole(vectors: DataFrame, vector: str = "embedding", scale: int = 256) -> Da
 
 
 def packed(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per block: its keys, ids and vectors as bytes, longest first."""
+    """One row per block: its keys, ids, numbers of equal rows and vectors as bytes, longest first."""
 
     def run(block: pa.Table) -> pa.Table:
         order = np.argsort(-block["norm"].to_numpy(), kind="stable")
         v = np.array(block["v"].to_pylist(), np.float64).reshape(block.num_rows, -1)[order]
         return pa.table({k: block[k][:1] for k in keys} | {
             "ids": pa.array([block["vec_id"].to_numpy()[order].tobytes()], pa.binary()),
+            "copies": pa.array([block["copies"].to_numpy()[order].tobytes()], pa.binary()),
             "data": pa.array([v.tobytes()], pa.binary())})
 
     kinds = ", ".join(f"{k} int" for k in keys)
-    return rows.groupBy(*keys).applyInArrow(run, f"{kinds}, ids binary, data binary")
+    return rows.groupBy(*keys).applyInArrow(run, f"{kinds}, ids binary, copies binary, data binary")
 
 
 def unpacked(ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -72,11 +74,11 @@ def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return as_int(q) @ as_int(v).T
 
 
-def best(q_ids, q, ids, v, least: np.ndarray, k: int) -> tuple[list, list, list]:
-    """The k best of a block for each query, of those that reach its threshold."""
+def best(q_ids, q, q_copies, ids, v, copies, least: np.ndarray, k: int) -> tuple[list, list, list, list]:
+    """The k best of a block for each query, of those that reach its threshold, and how often each counts."""
     q_norm, norm = np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1)
     unit = v / np.maximum(norm, 1e-300)[:, None]
-    out = ([], [], [])
+    out = ([], [], [], [])
     for i in range(len(q)):
         use = slice(None)
         if least[i] > 0:
@@ -92,18 +94,24 @@ def best(q_ids, q, ids, v, least: np.ndarray, k: int) -> tuple[list, list, list]
                 use = use[np.abs(unit[use, f] - local * x) <= spread] if abs(x) <= local else \
                     use[np.sign(x) * unit[use, f] >= abs(local * x) - spread]
         score = products(q[i:i + 1], v[use])[0]
-        own = ids[use]
+        own, times = ids[use], copies[use]
         good = np.flatnonzero((own != q_ids[i]) & (score >= least[i]))
         good = good[np.lexsort((own[good], -score[good]))[:k]]
         out[0].extend([int(q_ids[i])] * len(good))
         out[1].extend(own[good].tolist())
         out[2].extend(int(s) for s in score[good])
+        out[3].extend(np.minimum(k, q_copies[i] * times[good]).tolist())
     return out
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score from whole-number vectors (vec_id, v)."""
-    shape = vectors.dropDuplicates(["vec_id", "v"]).withColumn("dim", F.size("v"))
+def search(vectors: DataFrame, is_query: Column, k: int = 5, repeats: bool = False) -> DataFrame:
+    """query_id, rank, vec_id, score from whole-number vectors (vec_id, v).
+
+    With ``repeats`` exact repeated rows, of queries too, count each.
+    """
+    # More than k equal rows cannot be results of one query.
+    copies = F.least(F.count(F.lit(1)), F.lit(k)) if repeats else F.lit(1)
+    shape = vectors.groupBy("vec_id", "v").agg(copies.cast("long").alias("copies")).withColumn("dim", F.size("v"))
     shape = kept(shape.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))), "vectors")
     cuts = [i / BUCKETS for i in range(BUCKETS - 1, 0, -1)]
     borders = shape.agg(F.percentile_approx("norm", cuts, 1000)).first()[0] or []
@@ -119,12 +127,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     for r in sizes:
         blocks = F.when((F.col("dim") == r["dim"]) & (F.col("bucket") == r["bucket"]), -(-r["n"] // BLOCK)) \
             .otherwise(blocks)
-    numbered = shape.withColumn("block", F.pmod(F.xxhash64("vec_id", "norm"), blocks).cast("int"))
+    numbered = shape.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), blocks).cast("int"))
     base = kept(packed(numbered, ["dim", "bucket", "block"]), "blocks")
     asked = shape.where(is_query)
     groups = -(-asked.count() // QUERY_BLOCK) or 1
-    queries = packed(asked.withColumn("group", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int")),
-                     ["dim", "group"]).withColumnsRenamed({"ids": "q_ids", "data": "q_data"})
+    queries = packed(asked.withColumn("group", F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), F.lit(groups)).cast("int")),
+                     ["dim", "group"]).withColumnsRenamed({"ids": "q_ids", "copies": "q_copies", "data": "q_data"})
     queries = kept(queries, "queries")
 
     def threshold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,9 +149,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
                 norm = np.maximum(np.linalg.norm(q, axis=1), 1e-300)
                 r["least"], r["shortest"] = least.tobytes(), float((least * SLACK / norm).min())
             yield pa.RecordBatch.from_pylist(
-                [{x: r[x] for x in ("dim", "group", "q_ids", "q_data", "least", "shortest")} for r in rows],
+                [{x: r[x] for x in ("dim", "group", "q_ids", "q_copies", "q_data", "least", "shortest")} for r in rows],
                 pa.schema([("dim", pa.int32()), ("group", pa.int32()), ("q_ids", pa.binary()),
-                           ("q_data", pa.binary()), ("least", pa.binary()), ("shortest", pa.float64())]))
+                           ("q_copies", pa.binary()), ("q_data", pa.binary()), ("least", pa.binary()),
+                           ("shortest", pa.float64())]))
 
     # The fullest bucket of long vectors of each dimension gives the first thresholds.
     lead = {}
@@ -153,28 +162,31 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     for dim, at in lead.items():
         first = first | ((F.col("dim") == dim) & (F.col("bucket") == at) & (F.col("block") == 0))
     seeded = queries.join(base.where(first).select("dim", "ids", "data"), "dim", "left")
-    bounded = kept(seeded.mapInArrow(threshold, "dim int, group int, q_ids binary, q_data binary, least binary, "
-                                                "shortest double"), "thresholds")
+    bounded = kept(seeded.mapInArrow(threshold, "dim int, group int, q_ids binary, q_copies binary, q_data binary, "
+                                                "least binary, shortest double"), "thresholds")
     # Buckets in which some query of the group can still find something, then all their blocks.
     tried = bounded.withColumn("at", F.explode(F.array(*[
         F.struct(F.lit(r["dim"]).alias("of"), F.lit(r["bucket"]).alias("bucket"),
                  F.lit(-(-r["n"] // BLOCK)).alias("blocks"), F.lit(float(r["longest"])).alias("longest"))
         for r in sizes]))).where("at.of = dim AND at.longest >= shortest")
-    tried = tried.select("dim", "group", "q_ids", "q_data", "least", F.col("at.bucket").alias("bucket"),
+    tried = tried.select("dim", "group", "q_ids", "q_copies", "q_data", "least", F.col("at.bucket").alias("bucket"),
                          F.explode(F.sequence(F.lit(0), F.col("at.blocks") - 1)).alias("block"))
 
+    sides = ["q_ids", "q_copies", "q_data", "ids", "copies", "data", "least"]
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                row = {x: batch.column(x)[r].as_py() for x in ("q_ids", "q_data", "ids", "data", "least")}
-                found = best(*unpacked(row["q_ids"], row["q_data"]), *unpacked(row["ids"], row["data"]),
+                row = {x: batch.column(x)[r].as_py() for x in sides}
+                found = best(*unpacked(row["q_ids"], row["q_data"]), np.frombuffer(row["q_copies"], np.int64),
+                             *unpacked(row["ids"], row["data"]), np.frombuffer(row["copies"], np.int64),
                              np.frombuffer(row["least"], np.float64), k)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found],
-                                                 ["query_id", "vec_id", "score"])
+                                                 ["query_id", "vec_id", "score", "n"])
 
-    met = tried.join(base, ["dim", "bucket", "block"]).select("q_ids", "q_data", "ids", "data", "least")
-    found = met.mapInArrow(meet, "query_id long, vec_id long, score long")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    met = tried.join(base, ["dim", "bucket", "block"]).select(*sides)
+    found = met.mapInArrow(meet, "query_id long, vec_id long, score long, n long")
+    found = found.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("n"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
