@@ -125,6 +125,11 @@ def test_language(spark, edges):
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
     odd = {r.doc_id: r for r in language.predict(edges, model, held_out).collect()}
     assert [odd[k].lang_pred for k in (1, 2, 7)] == ["und"] * 3 and odd[1].score == 0
+    bare = ["🙂🙂 🎉", "— – ―", "12 € 34 €", "٠١٢٣٤", "…"]
+    rows = spark.createDataFrame(list(enumerate([*bare, "€ é", "Ω ✓", "1 a"])), "doc_id long, text string")
+    odd = sorted(map(tuple, language.predict(rows, model, held_out).select("doc_id", "lang_pred", "score").collect()))
+    assert [r[1:] for r in odd[:len(bare)]] == [("und", 0.0)] * len(bare)
+    assert all(r[1] != "und" for r in odd[len(bare):])
     half = documents.where("lang = 'en'").limit(1).select("text").first()[0][:500]
     other = documents.where("lang = 'de'").limit(1).select("text").first()[0][:500]
     mixed = language.predict(spark.createDataFrame([(1, half + " " + other)], "doc_id long, text string"), model, held_out)

@@ -114,14 +114,14 @@ def predict(documents: DataFrame, model: dict, held_out: Column) -> DataFrame:
         p = model["p"].astype(np.float64)
         for batch in slices(batches):
             texts = batch.column(2)
+            lettered = batch.column(3).to_pylist()
             gram, owner = grams(*text_bytes(texts))
             key, counts = np.unique(owner * BUCKETS + gram, return_counts=True)
             ends = np.searchsorted(key, np.arange(batch.num_rows + 1) * BUCKETS)
             best, score, all_ = [], [], []
             for k, (a, b) in enumerate(zip(ends, ends[1:])):
-                if a == b or not named:
-                    text = texts[k].as_py()
-                    some = bool(named) and text is not None and any(c.isalpha() for c in text)
+                if a == b or not named or not lettered[k]:
+                    some = bool(named) and lettered[k]
                     # Too short for an n-gram: the most common language.
                     best.append(named[model["common"]] if some else UNKNOWN)
                     score.append(1.0 / len(named) if some else 0.0)
@@ -139,5 +139,7 @@ def predict(documents: DataFrame, model: dict, held_out: Column) -> DataFrame:
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"),
                             F.col("text").cast("string").alias("text"))
+    # N-grams hold any byte outside ASCII; whether a text has a letter is asked of its characters.
+    rows = rows.withColumn("lettered", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, "
                                 "languages array<struct<lang:string,share:double>>")
