@@ -258,6 +258,20 @@ def test_graph(spark):
     assert graph.audit(df, graph.near_duplicates(df)) >= 0.9
 
 
+@pytest.mark.parametrize("shard", [2048, 16])
+def test_graph_counts_a_link_found_from_one_end_at_both(spark, monkeypatch, shard):
+    monkeypatch.setattr(graph, "SHARD", shard)
+    # Each pair is found from one end only.
+    monkeypatch.setattr(graph, "range_search", lambda u, near, q, least: (q @ u.T >= least) & (q[:, :1] < u[:, 0]))
+    rng = np.random.default_rng(2)
+    v = np.concatenate([rng.normal(size=(1, 8)) + 0.05 * rng.normal(size=(40, 8)), rng.normal(size=(60, 8))])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    wanted = (unit @ unit.T >= graph.LEAST).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in graph.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(v))] == wanted.tolist()
+
+
 def test_empty_tables(spark, edges):
     none = edges.limit(0)
     held_out = fold(F.col("doc_id"), 5) == 0

@@ -5,7 +5,8 @@ a number of centroids, so clusters overlap; a cluster is cut into shards of
 bounded size. Each shard builds a pruned neighbour graph; the adjacency lists of
 a class from its shards are united. Every class then searches the shards of its
 clusters greedily from the medoid, and the search expands on through all
-vertices within the range. Pairs found are verified in double precision.
+vertices within the range. Pairs found are verified in double precision, and count
+at both ends whichever of the two searches found them.
 
 Centroids are fitted on at most ``SAMPLE`` classes, those with the smallest
 hashed ids; all vectors are indexed. A pair that meets in two clusters counts in
@@ -20,6 +21,8 @@ dimension never link. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -165,6 +168,8 @@ def build(shards: DataFrame) -> DataFrame:
     """node, neighbours: adjacency lists of all shards, united per class."""
 
     def run(shard: pa.Table) -> pa.Table:
+        # Ordered as in the search, whose medoids are then those that all vertices are reached from.
+        shard = shard.sort_by("node")
         nodes = shard["node"].to_numpy()
         lists = [nodes[x] for x in pruned(units(shard["v"]))]
         return pa.table({"node": nodes, "near": pa.array(lists, pa.list_(pa.int64()))})
@@ -210,63 +215,62 @@ def range_search(u: np.ndarray, near: np.ndarray, q: np.ndarray, least: float) -
 def shard_links(shards: DataFrame, graph: DataFrame, least: float) -> DataFrame:
     """node, links (number of other vectors), root (a local component of the shard's links)."""
     rows = shards.join(graph, "node", "left")
-    each = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
-    # A cluster of several shards: every shard's vertices meet every shard's queries.
-    vertices = rows.withColumn("part", each).withColumn("query", F.lit(False))
-    queries = rows.withColumn("part", F.col("shard")).drop("shard").withColumn("shard", each) \
-        .withColumn("query", F.lit(True)).withColumn("near", F.lit(None).cast("array<long>"))
-    groups = vertices.unionByName(queries).groupBy("dim", "cluster", "shard", "part")
-
-    def run(group: pa.Table) -> pa.Table:
-        asks = group["query"].to_numpy()
-        base, asked = group.filter(pa.array(~asks)), group.filter(pa.array(asks))
-        empty = pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64()),
-                          "root": pa.array([], pa.int64())})
-        if not base.num_rows or not asked.num_rows:
-            return empty
-        nodes, own = base["node"].to_numpy(), asked["node"].to_numpy()
-        order = np.argsort(nodes)
-        base, nodes = base.take(pa.array(order)), nodes[order]
-        u, q = units(base["v"]), units(asked["v"])
+    # A cluster of several shards: every two shards meet once, and each is searched for the other.
+    other = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
+    rows = rows.withColumn("other", other).withColumns({
+        "low": F.least("shard", "other"), "high": F.greatest("shard", "other")})
+    groups = rows.groupBy("dim", "cluster", "low", "high")
+
+    def side(group: pa.Table, shard: int) -> tuple:
+        base = group.filter(pa.array(group["shard"].to_numpy() == shard)).sort_by("node")
+        nodes = base["node"].to_numpy()
         lists = [np.array(x or [], np.int64) for x in base["near"].to_pylist()]
-        width = max(map(len, lists), default=0) or 1
-        near = np.repeat(np.arange(len(u))[:, None], width, axis=1)
+        near = np.repeat(np.arange(len(nodes))[:, None], max(map(len, lists), default=0) or 1, axis=1)
         for i, x in enumerate(lists):
             at = np.minimum(np.searchsorted(nodes, x), len(nodes) - 1)
             here = at[nodes[at] == x]
             near[i, :len(here)] = here
-        cluster = base["cluster"][0].as_py()
-        pairs = [base[c].to_numpy() for c in ("first", "second")], [asked[c].to_numpy() for c in ("first", "second")]
-        place = {x: i for i, x in enumerate(nodes.tolist())}
-        copies = base["copies"].to_numpy()
-        links, joined = np.zeros(len(q), np.int64), []
+        return nodes, units(base["v"]) if len(nodes) else None, near, base["copies"].to_numpy(), \
+            [base[c].to_numpy() for c in ("first", "second")]
+
+    def hits(u: np.ndarray, near: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return np.concatenate([range_search(u, near, q[k:k + 256], least) for k in range(0, len(q), 256)])
+
+    def run(group: pa.Table) -> pa.Table:
+        cluster, low, high = (group[c][0].as_py() for c in ("cluster", "low", "high"))
+        own, q, q_near, q_copies, q_pair = side(group, low)
+        nodes, u, near, copies, pair = side(group, high) if high != low else (own, q, q_near, q_copies, q_pair)
+        if not len(own) or not len(nodes):
+            return pa.table({x: pa.array([], pa.int64()) for x in ("node", "links", "root")})
+        found = hits(u, near, q)
+        found = found | (found if high == low else hits(q, q_near, u)).T
+        joined = []
         for start in range(0, len(q), 256):
-            part = slice(start, start + 256)
-            found = range_search(u, near, q[part], least)
-            i, j = np.nonzero(found)
+            i, j = np.nonzero(found[start:start + 256])
+            i += start
             # Verified in double precision, from the vectors themselves.
-            good = (np.einsum("ij,ij->i", q[part][i], u[j]) >= least) & (own[part][i] != nodes[j])
-            i, j = i[good] + start, j[good]
-            shared = np.stack([np.where((pairs[1][a][i] == pairs[0][b][j]), pairs[1][a][i], 1 << 30)
+            good = (np.einsum("ij,ij->i", q[i], u[j]) >= least) & (own[i] != nodes[j])
+            i, j = i[good], j[good]
+            shared = np.stack([np.where(q_pair[a][i] == pair[b][j], q_pair[a][i], 1 << 30)
                                for a in (0, 1) for b in (0, 1)]).min(axis=0)
             mine = shared == cluster
-            links += np.bincount(i[mine], copies[j[mine]], minlength=len(q)).astype(np.int64)
             joined.append((i[mine], j[mine]))
-        root = local_roots(joined, own, nodes, place)
-        name = np.unique(np.concatenate([own, nodes[np.concatenate([j for _, j in joined])]]))
-        count = dict(zip(own.tolist(), links.tolist(), strict=True))
-        return pa.table({"node": pa.array(name), "links": pa.array([count.get(x, 0) for x in name.tolist()], pa.int64()),
-                         "root": pa.array([root.get(x, x) for x in name.tolist()], pa.int64())})
+        i, j = (np.concatenate(x) for x in zip(*joined))
+        links = Counter()
+        for names, count in ((own, np.bincount(i, copies[j], minlength=len(own))),
+                             *([] if high == low else [(nodes, np.bincount(j, q_copies[i], minlength=len(nodes)))])):
+            links.update(dict(zip(names.tolist(), count.astype(np.int64).tolist(), strict=True)))
+        root = local_roots(own[i], nodes[j])
+        return pa.table({"node": pa.array(list(links), pa.int64()), "links": pa.array(list(links.values()), pa.int64()),
+                         "root": pa.array([root.get(x, x) for x in links], pa.int64())})
 
     return groups.applyInArrow(run, "node long, links long, root long")
 
 
-def local_roots(joined, own: np.ndarray, nodes: np.ndarray, place: dict) -> dict[int, int]:
-    """Smallest node of each local component, of the nodes that have a link."""
-    if not sum(len(i) for i, _ in joined):
+def local_roots(a: np.ndarray, b: np.ndarray) -> dict[int, int]:
+    """Smallest node of each local component, of the nodes that have a link; links go from a to b."""
+    if not len(a):
         return {}
-    a = own[np.concatenate([i for i, _ in joined])]
-    b = nodes[np.concatenate([j for _, j in joined])]
     names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
     a, b = ends[:len(a)], ends[len(a):]
     label = np.arange(len(names))
