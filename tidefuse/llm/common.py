@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidefuse.session import scratch_path
@@ -41,6 +41,31 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def positions(df: DataFrame, group: list[str], order: list[str], name: str = "pos") -> DataFrame:
+    """``df`` with the place of each row in its group (from 0, in ascending order) and the group's ``total``.
+
+    Rows are sorted over all partitions, whatever the sizes of the groups; the groups' parts are
+    counted per partition, and a row's place is its row number behind the parts before. Equal rows
+    are told apart by their place in the input, so that they can lie in several partitions.
+    """
+    rows = kept(df.withColumn("_tie", F.monotonically_increasing_id()), "unplaced")
+    keys = [*group, *order, "_tie"]
+    # The partition's number is in the upper bits of the id, the row's number in the lower 33.
+    at = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    placed = kept(at.drop("_tie").withColumn("_part", F.shiftright("_at", 33)), "sorted")
+    parts = placed.groupBy(*group, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.select(
+        *[F.col(c).alias(f"_g{k}") for k, c in enumerate(group)], F.col("_part").alias("_p"), "_first",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"),
+        F.sum("_n").over(Window.partitionBy(*group)).alias("total"))
+    same = F.col("_part") == F.col("_p")
+    for k, c in enumerate(group):
+        same &= F.col(c).eqNullSafe(F.col(f"_g{k}"))
+    return placed.join(bases, same).select(
+        *df.columns, (F.col("_at") - F.col("_first") + F.col("_base")).alias(name), "total")
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
