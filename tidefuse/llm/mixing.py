@@ -103,8 +103,8 @@ def fitted(length: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
     taken = np.array([int(n) * budget // size for n in free], np.int64)
     free = free - taken
     gap = budget - int((length * taken).sum())
-    # The longest first, to the middle of the window.
-    for k in range(len(length) - 1, -1, -1):
+    # The longest first, to the middle of the window. Lengths beyond that are left to the coarse program.
+    for k in np.flatnonzero(length <= WINDOW // 2)[::-1].tolist():
         if gap <= WINDOW:
             break
         n = min(int(free[k]), (gap - WINDOW // 2) // int(length[k]))
