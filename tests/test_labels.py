@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -115,3 +116,41 @@ def test_window_without_a_start_labels_nothing(spark):
     steps = spark.createDataFrame([("a", None, 5)], "run_id string, start_step long, end_step long")
     numbered = spark.createDataFrame([("a", i) for i in range(4)], "run_id string, train_step long")
     assert labels.label_steps(numbered, steps).where("is_anomaly = 1").count() == 0
+
+
+def test_coverage_of_open_startless_and_foreign_windows(spark):
+    points = spark.createDataFrame([("a", at(i)) for i in range(10)] + [(None, at(i)) for i in range(4)], POINT)
+    windows = spark.createDataFrame([
+        ("a", "open", at(2), None), ("a", "no start", None, at(2)), ("a", "far", at(5), datetime(9999, 1, 1)),
+        ("a", "past", at(50), at(60)), ("a", "backwards", at(5), at(3)), ("b", "no points", at(0), at(9)),
+        (None, "empty run", at(1), at(2)), ("a", "twice", at(0), at(1)), ("a", "twice", at(0), at(1)),
+    ], WINDOW)
+    assert dict(rows(labels.fault_coverage(points, windows), "fault_id", "points")) == {
+        "open": 8, "no start": 0, "far": 5, "past": 0, "backwards": 0, "no points": 0, "empty run": 2, "twice": 4}
+
+
+def test_points_and_windows_without_a_run_meet(spark):
+    points = spark.createDataFrame([(None, at(i)) for i in range(5)] + [("", at(9)), ("a", at(2))], POINT)
+    windows = spark.createDataFrame([(None, "f", at(0), at(2)), ("", "g", at(9), None)], WINDOW)
+    hit = rows(labels.label_windows(points, windows).where("is_anomaly = 1"), "run_id", "timestamp")
+    assert hit == sorted([(None, at(0)), (None, at(1)), (None, at(2)), ("", at(9))], key=repr)
+    steps = spark.createDataFrame([(None, i) for i in range(4)], "run_id string, train_step long")
+    stepped = spark.createDataFrame([(None, 1, 2), (None, 3, None)], "run_id string, start_step long, end_step long")
+    assert rows(labels.label_steps(steps, stepped).where("is_anomaly = 1"), "train_step") == [(1,), (3,)]
+
+
+def test_known_span_gives_the_same_labels(spark):
+    points = spark.createDataFrame([(r, at(i)) for r in "ab" for i in range(8)], POINT)
+    windows = spark.createDataFrame([("a", "f", at(3), None), ("b", "g", at(-5), at(1))], WINDOW)
+    span = points.groupBy("run_id").agg(F.min("timestamp").alias("min_ts"), F.max("timestamp").alias("max_ts"))
+    names = ["run_id", "timestamp", "is_anomaly"]
+    assert rows(labels.label_windows(points, windows, span=span), *names) == rows(labels.label_windows(points, windows), *names)
+
+
+def test_step_fault_without_a_run_needs_runs(spark):
+    schedule = faults.normalize(step_based=spark.createDataFrame(
+        [(None, "oom", 2), ("a", "oom", 1)], "run_id string, fault_type string, injection_step long"))
+    with pytest.raises(Exception, match="needs the runs"):
+        faults.step_windows(schedule).collect()
+    runs = spark.createDataFrame([("a",), ("b",)], "run_id string")
+    assert rows(faults.step_windows(schedule, runs), "run_id", "start_step") == [("a", 1), ("a", 2), ("b", 2)]

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import json
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import at, rows
 from tidefuse.functions import logparse, texts
+from tidefuse.operators import rollup
 from tidefuse.plans import experiments
 from tidefuse.session import require_utc, scratch_path
 from tidefuse.sources import files, logs, registry, samples, store
-from tidefuse.streaming import tail
+from tidefuse.streaming import counters, tail
 from workload import storage
 
 LINES = [
@@ -35,9 +37,8 @@ LINES = [
 def parsed(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("log")
     (folder / "train.log").write_text("\n".join(LINES) + "\n", encoding="utf-8")
-    records = logparse.parse_lines(logs.read_lines(spark, str(folder)))
-    one_run = records.withColumn("run", F.lit("a"))
-    return logparse.carry_timestamps(one_run, ["run"], list(logs.LINE_ORDER)).orderBy(*logs.LINE_ORDER).collect()
+    one_run = logs.read_lines(spark, str(folder)).withColumn("run", F.lit("a"))
+    return logparse.log_records(one_run, ["run"]).orderBy(*logs.LINE_ORDER).collect()
 
 
 def test_log_file(parsed):
@@ -190,3 +191,81 @@ def test_zone_is_checked(spark):
             require_utc(spark)
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_times_are_carried_over_splits_and_files(spark, tmp_path):
+    """Small splits: times come from an earlier split or file, without a job before the action."""
+    timed = [f"2024-01-01 00:00:{s:02d} - INFO - Epoch {s}" for s in range(3)]
+    for k, stamp in enumerate(timed):
+        (tmp_path / f"part{k}.log").write_text("\n".join(["no time yet"] * 40 + [stamp] + [f"trace {i}" for i in range(400)]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        lines = logs.read_lines(spark, str(tmp_path)).withColumn("run", F.lit("r"))
+        assert lines.select("file", "_split").distinct().count() > 6
+        done = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+        records = logparse.log_records(lines, ["run"])
+        plan = records._jdf.queryExecution().executedPlan().toString()
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == list(done)
+        got = records.orderBy(*logs.LINE_ORDER).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert "rangepartitioning" not in plan
+    want = [None] * 40 + [at(0)] * 441 + [at(1)] * 441 + [at(2)] * 401
+    assert [r.timestamp for r in got] == want
+
+
+def test_every_evaluation_value_reaches_the_rollup(spark):
+    lines = [(1, "2024-01-01 00:00:01 eval_loss: 0.5 | eval_auc: 0.7"), (2, "2024-01-01 00:00:01 eval_auc: 0.8 | eval_bleu: 3"),
+             (3, "2024-01-01 00:00:01 eval_auc: x-y"), (4, "2024-01-01 00:00:01 eval_auc: 1-2"), (5, "2024-01-01 00:00:02 room")]
+    parsed = logparse.parse_lines(spark.createDataFrame(lines, "line_no long, line string")).withColumn("run_id", F.lit("r"))
+    assert parsed.where("line_no = 2").first()["eval_metrics"] == {"auc": 0.8, "bleu": 3.0}
+    got = {r["timestamp"]: r for r in rollup.training_rollup(parsed.drop("raw_line"), "line_no").collect()}
+    assert got[at(1)]["eval_metrics"] == {"loss": 0.5, "auc": 0.8, "bleu": 3.0} and got[at(1)]["eval_loss"] == 0.5
+    assert got[at(2)]["eval_metrics"] is None
+
+
+def test_devices_without_some_columns(spark):
+    some = spark.createDataFrame([("r", at(0), 0, 5.0), ("r", at(0), 1, 7.0)],
+                                 "run_id string, timestamp timestamp_ntz, gpu_id int, temperature double")
+    assert rollup.device_rollup(some).first().asDict() == {
+        "run_id": "r", "timestamp": at(0), "gpu_temperature": 6.0, "gpu_gpu_count": 2}
+    bare = some.drop("gpu_id")
+    assert rows(rollup.device_rollup(bare), "gpu_temperature") == [(5.0,), (7.0,)]
+
+
+def test_last_result_counts_however_rows_are_stored(spark):
+    plan = spark.createDataFrame([("e", "pending")], "experiment_id string, status string")
+    results = [("e", False, "2024-01-01 09:00:00"), ("e", True, "2024-01-01 10:00:00"), ("e", False, None)]
+    for order in (results, results[::-1]):
+        found = spark.createDataFrame(order, "experiment_id string, success boolean, end_time string")
+        assert experiments.update(plan, found).first()["status"] == "completed"
+    with pytest.raises(ValueError, match="end_time"):
+        experiments.update(plan, found.drop("end_time"))
+
+
+def counter_samples(spark, cells):
+    return spark.createDataFrame(cells, "run_id string, host_id int, timestamp timestamp_ntz, bytes long")
+
+
+def test_keyed_state_restarts_and_expires(spark):
+    """Stopped and started again between files; a series silent for longer than its lifetime starts anew."""
+    inbox, out = scratch_path(spark, "in"), scratch_path(spark, "out")
+    parts = [
+        [("r", 1, at(0), 100), ("r", 1, at(10), 300), ("r", 2, at(10), 50), (None, 1, at(10), 7)],
+        [("r", 1, at(20), 400), ("r", 1, at(5), 999), ("r", 2, at(3000), 60)],  # host 1 then falls silent
+        [("r", 2, at(9000), 90)],
+        [("r", 1, at(9001), 1000), ("r", 2, at(9002), 95), (None, 1, at(9002), 8)],
+    ]
+    for cells in parts:
+        counter_samples(spark, cells).repartition(2).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(counter_samples(spark, []).schema).parquet(inbox)
+        counters.stream_counter_rates(
+            stream, ["bytes"], out, trigger={"availableNow": True}, late="1 second", expire=7000.0).awaitTermination()
+    got = rows(counters.read_rates(spark, out), "run_id", "host_id", "timestamp", "bytes_rate")
+    assert got == sorted([
+        ("r", 1, at(0), 0.0), ("r", 1, at(10), 20.0), ("r", 1, at(20), 10.0), ("r", 1, at(9001), 0.0),
+        ("r", 2, at(10), 0.0), ("r", 2, at(3000), 10 / 2990), ("r", 2, at(9000), 30 / 6000), ("r", 2, at(9002), 2.5),
+        ("", 1, at(10), 0.0), ("", 1, at(9002), 0.0),
+    ], key=repr)
+    assert not any("state" in name for name in os.listdir(out))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from helpers import at, rows
 from tidefuse.functions import measures, timeops
-from tidefuse.operators import align, blocks, features, fill, rollup
+from tidefuse.operators import align, blocks, features, fill, quality, rollup
 
 
 def series(spark, cells, columns="x double"):
@@ -109,8 +111,10 @@ def test_scan_over_range_blocks_equals_window(spark):
         F.when(F.col("id") < 2000, F.lit(7)).otherwise(F.col("id")).alias("t"), "id",
         F.when(F.col("id") % 13 == 0, F.col("id")).alias("v"),
     )
-    blocked = blocks.range_blocks(df.repartition(4), ["key"], ["t", "id"])
-    assert blocked.select(blocks.BLOCK).distinct().count() > 0
+    blocked = blocks.range_blocks(df.repartition(4), ["key"], ["t", "id"], rows=100)
+    # The busy instant is cut too, and no block is much larger than asked for.
+    sizes = blocked.groupBy("key", blocks.BLOCK).count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] <= 300 and sizes[1] >= 20
     got = blocks.scan(blocked, ["key"], ["t", "id"], last={"f": F.col("v")}, following={"g": "v"},
                       total={"n": F.lit(1)}, low={"m": F.col("v")}, previous={"p": "v"})
     over = "OVER (PARTITION BY key ORDER BY t, id ROWS BETWEEN"
@@ -151,3 +155,63 @@ def test_interpolation_and_ends(spark):
     src = series(spark, [("a", at(i), v) for i, v in enumerate([None, 2.0, None, None, 8.0, None])])
     got = fill.interpolate_linear(src, ["x"], 1, block_slots=2).orderBy("timestamp").select("x").collect()
     assert [r[0] for r in got] == [2.0, 2.0, 4.0, 6.0, 8.0, 8.0]
+
+
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "int", "string", "date"])
+def test_blocks_follow_the_order(spark, kind):
+    """Blocks of one key never run against the order, whatever its types; missing values come first."""
+    t = {"timestamp_ntz": "CAST(timestamp_seconds(id * 37 % 9000) AS timestamp_ntz)", "int": "CAST(id * 37 % 900 AS int)",
+         "string": "concat('k', CAST(id * 37 % 900 AS string))", "date": "date_add(DATE'2024-01-01', CAST(id * 37 % 90 AS int))"}[kind]
+    df = spark.range(2000).selectExpr("CAST(id % 3 AS int) AS key", f"CASE WHEN id % 50 > 0 THEN {t} END AS t",
+                                      "CASE WHEN id % 7 > 0 THEN id END AS u")
+    got = blocks.range_blocks(df, ["key"], ["t", "u"], rows=25)
+    back = got.selectExpr("_blk", "lag(_blk) OVER (PARTITION BY key ORDER BY t, u) AS p").where("p > _blk")
+    assert got.count() == 2000 and not back.count()
+    assert got.select("_blk").distinct().count() > 10
+
+
+def test_blocks_over_doubles_are_an_error(spark):
+    with pytest.raises(TypeError):
+        blocks.range_blocks(spark.range(2).selectExpr("1 AS key", "CAST(id AS double) AS t"), ["key"], ["t"])
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 25), st.one_of(st.none(), st.integers(-4, 4))), min_size=1, max_size=40),
+       st.integers(1, 6))
+def test_lags_while_unfolding_equal_those_of_the_grid(spark, cells, block):
+    """Gaps, unknown beginnings and blocks smaller than the frame."""
+    known, slot = [], 0
+    for gap, value in cells:
+        known.append(("a", at(slot), None if value is None else float(value), 1.0))
+        slot += gap + 1
+    src = series(spark, known, "train_loss double, other double")
+    once = features.fuse_derived([src], 1, block_slots=block, step="train_loss", loss="train_loss")
+    grid = features.add_lagged(fill.fuse([src], 1, block_slots=block), 1, 4000, "train_loss", "train_loss")
+    names = ["train_loss", "train_step_rate", "train_loss_change_rate", "train_loss_moving_avg"]
+    a, b = (x.orderBy("timestamp").select(*names).toPandas() for x in (once, grid))
+    assert len(a) == len(b)
+    for c in names:
+        assert all(x == y or abs(x - y) < 1e-9 for x, y in zip(a[c], b[c], strict=True)), c
+
+
+def test_recent_values(spark):
+    src = spark.createDataFrame([("a", i, v) for i, v in enumerate([None, 1, None, 2, 3, None, 4, 5])], "run_id string, t long, v int")
+    blocked = src.withColumn(blocks.BLOCK, F.floor(F.col("t") / 2))
+    got = blocks.scan(blocked, ["run_id"], ["t"], recent={"r": "v"}, depth=3).orderBy("t").collect()
+    assert [[x["value"] for x in r["r"]] for r in got] == [[], [1], [1], [2, 1], [3, 2, 1], [3, 2, 1], [4, 3, 2], [5, 4, 3]]
+
+
+def test_exact_quantiles_of_any_numbers(spark):
+    rng = random.Random(4)
+    values = [rng.choice([rng.gauss(0, 1), rng.uniform(-1e300, 1e300), 0.0, -0.0, 5e-324, float(rng.randint(-3, 3))])
+              for _ in range(801)]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 7.0)] * 50 + [("c", None), (None, 2.5), (None, 3.5)],
+                               "run_id string, value double")
+    got = {r["run_id"]: [r["q0"], r["q1"], r["q2"]] for r in quality.exact_quantiles(df, ["run_id"], (0.0, 0.3, 1.0)).collect()}
+    assert got["a"] == pytest.approx([float(x) for x in np.quantile(values, [0, 0.3, 1])], rel=1e-12)
+    assert got["b"] == [7.0] * 3 and got[None] == [2.5, 2.8, 3.5] and set(got) == {"a", "b", None}
+    plan = quality.exact_quantiles(df, ["run_id"], (0.5,))._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+    odd = spark.createDataFrame([("a", v) for v in (math.nan, math.inf, -math.inf, 1.0)], "run_id string, value double")
+    low, high = quality.exact_quantiles(odd, ["run_id"], (0.0, 1.0)).select("q0", "q1").first()
+    assert low == -math.inf and math.isnan(high)

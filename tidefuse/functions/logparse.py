@@ -8,18 +8,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidefuse.operators.blocks import BLOCK, range_blocks, scan
+from tidefuse.operators.blocks import BLOCK, range_blocks, scan, split_blocks
+from tidefuse.sources.logs import LINE_ORDER
 
 # The patterns of the log formats.
 NUMBER = r"([\d\.\-e]+)"
 TIMESTAMP = r"(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2})"
-STEP = (
-    r"Step\s+(\d+)\s*\|\s*Loss:\s*" + NUMBER + r"\s*\|\s*LR:\s*" + NUMBER
-    + r"\s*\|\s*Throughput:\s*" + NUMBER + r"\s*samples/s\s*\|\s*Step Time:\s*" + NUMBER + "s"
-)
-EVAL = r"eval_(\w+):\s*" + NUMBER
+STEP = r"Step\s+(\d+)\s*\|\s*Loss:\s*([\d\.\-e]+)\s*\|\s*LR:\s*([\d\.\-e]+)\s*\|\s*Throughput:\s*([\d\.\-e]+)\s*samples/s\s*\|\s*Step Time:\s*([\d\.\-e]+)s"
+EVAL = r"eval_(\w+):\s*([\d\.\-e]+)"
 NAN_LOSS = r"(?i)\[ANOMALY DETECTED\]\s*NaN/Inf Loss.*?step\s+(\d+).*?:\s*([\d\.\-e]*)"
-HIGH_LOSS = r"(?i)\[ANOMALY DETECTED\]\s*High Loss.*?step\s+(\d+).*?:\s*" + NUMBER
+HIGH_LOSS = r"(?i)\[ANOMALY DETECTED\]\s*High Loss.*?step\s+(\d+).*?:\s*([\d\.\-e]+)"
 OUT_OF_MEMORY = r"(?i)(CUDA.*out of memory|OutOfMemoryError|\bOOM\b)"
 OUT_OF_MEMORY_LOOSE = r"(?i)(CUDA.*out of memory|OutOfMemoryError|OOM)"
 PHASES = (
@@ -40,7 +38,7 @@ RECORD_COLUMNS = (
     "eval_loss", "eval_accuracy", "eval_f1", "eval_precision", "eval_recall",
     "metric_type", "phase",
     "event_nan_loss", "event_oom", "event_high_loss", "event_error", "event_warning",
-    "anomaly_type", "anomaly_step", "anomaly_value", "raw_line",
+    "anomaly_type", "anomaly_step", "anomaly_value", "raw_line", "eval_metrics",
 )
 
 
@@ -54,17 +52,24 @@ def line_timestamp(line: Column) -> Column:
     return F.regexp_replace(group(line, TIMESTAMP), r"\s+", " ").try_cast("timestamp_ntz")
 
 
-def step_fields(line: Column) -> dict[str, Column]:
-    """Step number and its four measures; a field that is no number is null.
+def step_parts(line: Column) -> Column:
+    """The texts of a step line's five fields, null where there is none.
 
-    Lines without a word that every match contains skip the five extractions.
+    The long pattern is looked for in lines with a word that every match contains, and split once.
     """
-    line = F.when(line.contains("Throughput:"), line)
+    found = F.regexp_substr(F.when(line.contains("Throughput:"), line), F.lit(STEP))
+    return F.split(F.regexp_replace(found, STEP, "$1|$2|$3|$4|$5"), r"\|")
+
+
+def step_values(parts: Column) -> dict[str, Column]:
+    """Step number and its four measures from ``step_parts``; a field that is no number is null."""
     kinds = (("step", "long"), ("loss", "double"), ("learning_rate", "double"),
              ("throughput", "double"), ("step_time", "double"))
-    return {
-        name: group(line, STEP, i).try_cast(kind) for i, (name, kind) in enumerate(kinds, 1)
-    }
+    return {name: parts[i].try_cast(kind) for i, (name, kind) in enumerate(kinds)}
+
+
+def step_fields(line: Column) -> dict[str, Column]:
+    return step_values(step_parts(line))
 
 
 def eval_map(line: Column) -> Column:
@@ -80,16 +85,21 @@ def eval_map(line: Column) -> Column:
     )
 
 
-def eval_fields(line: Column) -> dict[str, Column]:
-    pairs = eval_map(F.when(line.contains("eval_"), line))
+def eval_values(pairs: Column) -> dict[str, Column]:
     return {f"eval_{m}": F.try_element_at(pairs, F.lit(m)) for m in EVAL_METRICS}
 
 
+def eval_fields(line: Column) -> dict[str, Column]:
+    return eval_values(eval_map(F.when(line.contains("eval_"), line)))
+
+
 def metric_type(line: Column) -> Column:
     """A line with evaluation pairs counts as evaluation, also if it has a step."""
-    return (
-        F.when(line.rlike(EVAL), F.lit("evaluation")).when(line.rlike(STEP), F.lit("training_step"))
-    )
+    return kind_of(eval_map(F.when(line.contains("eval_"), line)), step_parts(line))
+
+
+def kind_of(pairs: Column, parts: Column) -> Column:
+    return F.when(F.size(pairs) > 0, F.lit("evaluation")).when(parts.isNotNull(), F.lit("training_step"))
 
 
 def event_fields(line: Column, loose_oom: bool = False) -> dict[str, Column]:
@@ -123,21 +133,26 @@ def phase(line: Column) -> Column:
     return found
 
 
-def parse_lines(lines: DataFrame, line: str = "line", loose_oom: bool = False) -> DataFrame:
+def parse_lines(lines: DataFrame, line: str = "line", loose_oom: bool = False,
+                timestamp: Column | None = None) -> DataFrame:
     """Every record column of every line that is not blank; other columns stay.
 
-    The timestamp is the one in the line or null; ``carry_timestamps`` fills it.
+    The timestamp is the one in the line or null, if no other is given; ``log_records`` carries it.
+    ``eval_metrics`` has every evaluation value of the line by its name.
     """
     text = F.col(line)
     kept = [c for c in lines.columns if c != line]
+    # The long patterns are matched once, before their fields are taken.
+    matched = lines.where(F.length(F.trim(text)) > 0).withColumns({
+        "_parts": step_parts(text), "_pairs": eval_map(F.when(text.contains("eval_"), text))})
+    parts, pairs = F.col("_parts"), F.col("_pairs")
     fields = {
-        "timestamp": line_timestamp(text), **step_fields(text), **eval_fields(text),
-        "metric_type": metric_type(text), "phase": phase(text), **event_fields(text, loose_oom),
-        "raw_line": F.trim(text),
+        "timestamp": line_timestamp(text) if timestamp is None else timestamp,
+        **step_values(parts), **eval_values(pairs),
+        "metric_type": kind_of(pairs, parts), "phase": phase(text), **event_fields(text, loose_oom),
+        "raw_line": F.trim(text), "eval_metrics": F.when(F.size(pairs) > 0, pairs),
     }
-    return lines.where(F.length(F.trim(text)) > 0).select(
-        *kept, *[fields[c].alias(c) for c in RECORD_COLUMNS]
-    )
+    return matched.select(*kept, *[fields[c].alias(c) for c in RECORD_COLUMNS])
 
 
 def parse_simple_lines(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -166,12 +181,26 @@ def parse_simple_lines(lines: DataFrame, line: str = "line") -> DataFrame:
 def carry_timestamps(
     records: DataFrame, keys: Sequence[str], order: Sequence[str]
 ) -> DataFrame:
-    """Give lines without a time the last time before them in their file."""
+    """Give lines without a time the last time before them in their file.
+
+    Rows that know their block (``split_blocks`` of lines read from files) need no other cuts.
+    """
     shown = [c for c in records.columns if c != BLOCK]
     blocked = records if BLOCK in records.columns else range_blocks(records, keys, order)
     return scan(blocked, keys, order, last={"timestamp": F.col("timestamp")}).select(*shown)
 
 
+def log_records(lines: DataFrame, keys: Sequence[str], line: str = "line", loose_oom: bool = False) -> DataFrame:
+    """Records of lines from ``read_lines``; a line without a time has the last one before it among ``keys``.
+
+    Only the lines with their times are shuffled, by file split; they are parsed after that.
+    """
+    timed = lines.withColumn("_time", line_timestamp(F.col(line)))
+    blocked = split_blocks(timed, *LINE_ORDER[:2])
+    carried = scan(blocked, keys, list(LINE_ORDER), last={"_time": F.col("_time")})
+    return parse_lines(carried, line, loose_oom, F.col("_time")).drop("_time")
+
+
 @dataclass(frozen=True)
 class Rule:
     """One parsing rule: the type and group of a pattern's match."""

@@ -8,7 +8,7 @@ row is then stretched over the empty slots up to its successor.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -157,16 +157,21 @@ def combine(
 
 
 def stretch(
-    combined: DataFrame, granularity: float, copied: Sequence[str] = (), zeroed: Sequence[str] = ()
+    combined: DataFrame, granularity: float, copied: Sequence[str] = (), zeroed: Sequence[str] = (),
+    metrics: Sequence[str] | None = None,
+    derived: Callable[[DataFrame], Mapping[str, Column]] | None = None,
 ) -> DataFrame:
     """Unfold known slots over the empty slots after them.
 
     Empty slots copy the columns in ``copied``, are 0 in those in ``zeroed``, and
-    null in the others.
+    null in the others. Other columns than ``metrics`` are seen by ``derived`` alone:
+    it gives further columns of the unfolded rows, which have their known slot's
+    values, the slot (``_us``) and its distance from the known one (``_pos``).
     """
     g = us_of(granularity)
-    metrics = list(metric_types(combined, skip=["_start"]))
-    named = [f"`{c}`" for c in metrics]
+    held = list(metric_types(combined, skip=["_start"]))
+    metrics = held if metrics is None else list(metrics)
+    named = [f"`{c}`" for c in held]
     known = combined.selectExpr(
         "run_id", BLOCK, SLOT, *named,
         f"lead({SLOT}) OVER (PARTITION BY run_id, {BLOCK} ORDER BY {SLOT}) AS _next",
@@ -184,11 +189,13 @@ def stretch(
         empty = " ELSE 0" if c in zeroed else ""
         return f"CASE WHEN _pos = 0 THEN `{c}`{empty} END AS `{c}`"
 
+    more = derived(unfolded) if derived else {}
     return unfolded.select(
         "run_id",
         from_micros(F.col("_us")).alias("timestamp"),
         from_micros(F.col("_start")).alias(RUN_START),
         *[F.expr(cell(c)) for c in metrics],
+        *[c.alias(name) for name, c in more.items()],
     )
 
 

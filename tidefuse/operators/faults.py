@@ -93,9 +93,14 @@ def unstarted(schedule: DataFrame, run_starts: DataFrame) -> DataFrame:
 def step_windows(schedule: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """Half-open windows [start_step, end_step); no end for open-ended faults.
 
-    Faults without a run apply to every run of ``runs``.
+    Faults without a run apply to every run of ``runs``; without ``runs`` they are an error.
     """
-    schedule = schedule if runs is None else every_run(schedule, runs)
+    if runs is None:
+        named = F.when(F.col("run_id").isNotNull() | (F.col("basis") != "step"), F.col("run_id"))
+        schedule = schedule.withColumn("run_id", F.coalesce(named, F.when(F.col("basis") == "step", F.raise_error(
+            F.lit("a fault without a run needs the runs it applies to")))))
+    else:
+        schedule = every_run(schedule, runs)
     start = F.col("injection_step")
     length = F.coalesce(F.col("duration"), F.lit(DEFAULT_STEPS)).cast("long")
     end = F.when(~F.col("fault_type").isin(*OPEN_ENDED), start + length)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from tidefuse.functions import measures
 from tidefuse.functions.timeops import SECOND, date_features, micros, us_of
 from tidefuse.operators.align import RUN_START, run_key
 from tidefuse.operators.blocks import BLOCK, DEFAULT_BLOCK_SLOTS, range_blocks, scan, with_halo
-from tidefuse.operators.fill import is_event
+from tidefuse.operators.fill import fuse, is_event
 from tidefuse.session import require_utc
 
 MOVING_ROWS = 10
@@ -49,6 +49,52 @@ def add_lagged(
     return halo.withColumns(new).where("_own").drop("_own", BLOCK, "_us")
 
 
+def lags_while_unfolding(
+    granularity: float, step: str | None = "train_step", loss: str | None = "train_loss", rows: int = MOVING_ROWS,
+) -> Callable[[DataFrame], Mapping[str, Column]]:
+    """``add_lagged`` for ``fuse``: the same columns from known slots and the few known values before them."""
+    g = us_of(granularity)
+
+    def columns(unfolded: DataFrame) -> dict[str, Column]:
+        new: dict[str, Column] = {}
+        first_row = F.col("_us") == F.col("_start")
+
+        def before(c: str) -> Column:
+            return F.when(first_row, None).otherwise(F.when(F.col("_pos") == 0, F.col(f"_before_{c}")).otherwise(F.col(c)))
+
+        if step and step in unfolded.columns:
+            diff = (F.col(step) - before(step)).cast("double")
+            new["train_step_rate"] = F.coalesce(diff / F.lit(float(granularity)), F.lit(0.0))
+        if loss and loss in unfolded.columns:
+            new["train_loss_change_rate"] = measures.change_rate(F.col(loss), before(loss))
+            # A known value holds from its slot to the next known one: newest first, each adds itself for the
+            # slots of the frame that are not yet covered, the value before all known ones adds the rest.
+            new["train_loss_moving_avg"] = F.when(
+                F.col("_pos") >= rows - 1, F.col(loss).cast("double")).otherwise(F.expr(f"""aggregate(
+                  `_recent_{loss}`, struct(CAST(0 AS DOUBLE) AS sum, _us + {g}L AS open),
+                  (a, e) -> struct(
+                    CASE WHEN a.open > greatest(e.at, _start, _us - {(rows - 1) * g}L) THEN a.sum + e.value
+                      * ((a.open - greatest(e.at, _start, _us - {(rows - 1) * g}L)) / {g}L) ELSE a.sum END AS sum,
+                    least(a.open, greatest(e.at, _start, _us - {(rows - 1) * g}L)) AS open),
+                  a -> CASE WHEN a.open > greatest(_start, _us - {(rows - 1) * g}L) THEN a.sum + `_first_{loss}`
+                      * ((a.open - greatest(_start, _us - {(rows - 1) * g}L)) / {g}L) ELSE a.sum END)
+                  / ((_us + {g}L - greatest(_start, _us - {(rows - 1) * g}L)) / {g}L)"""))
+        return new
+
+    return columns
+
+
+def fuse_derived(
+    sources: Sequence[DataFrame], granularity: float, event_fill: str = "zero",
+    block_slots: int = DEFAULT_BLOCK_SLOTS, span: DataFrame | None = None,
+    step: str | None = "train_step", loss: str | None = "train_loss",
+) -> DataFrame:
+    """``fuse`` with the columns of ``add_lagged``, without a pass over the full grid."""
+    lagged = list(dict.fromkeys(c for c in (step, loss) if c))
+    return fuse(sources, granularity, event_fill, block_slots, span, lagged, [loss] if loss else [], MOVING_ROWS,
+                lags_while_unfolding(granularity, step, loss))
+
+
 def rolling_features(
     df: DataFrame, columns: Sequence[str], granularity: float, seconds: float = 300.0,
     block_slots: int = DEFAULT_BLOCK_SLOTS,
@@ -101,9 +147,10 @@ def add_row_features(df: DataFrame) -> DataFrame:
 def add_derived(
     df: DataFrame, granularity: float, block_slots: int = DEFAULT_BLOCK_SLOTS
 ) -> DataFrame:
-    """All derived features whose inputs are present."""
-    step = "train_step" if "train_step" in df.columns else None
-    loss = "train_loss" if "train_loss" in df.columns else None
+    """All derived features whose inputs are present; those of ``fuse_derived`` are not made again."""
+    made = {"train_step_rate", "train_loss_change_rate"} & set(df.columns)
+    step = "train_step" if "train_step" in df.columns and not made else None
+    loss = "train_loss" if "train_loss" in df.columns and not made else None
     lagged = add_lagged(df, granularity, block_slots, step, loss) if step or loss else df
     return elapsed_seconds(add_row_features(lagged))
 

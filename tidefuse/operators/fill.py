@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,10 +29,14 @@ def is_event(name: str) -> bool:
 
 
 def fill_series(df: DataFrame, order: Sequence[str], event_fill: str = "zero",
-                skip: Sequence[str] = ()) -> DataFrame:
+                skip: Sequence[str] = (), lagged: Sequence[str] = (), recent: Sequence[str] = (),
+                depth: int = 10) -> DataFrame:
     """Fill a series that has a block column; see ``fill_missing``.
 
     Where nothing is known yet, the next known value is the first of the series.
+    From the same pass, ``lagged`` numbers also get the filled value of the row before
+    (``_before_x``; the first row has its own), and ``recent`` ones the last ``depth`` known
+    values (``_recent_x``, see ``scan``) and what stands before any known one (``_first_x``).
     """
     if event_fill not in ("zero", "carry"):
         raise ValueError("event_fill is 'zero' or 'carry'")
@@ -43,6 +47,8 @@ def fill_series(df: DataFrame, order: Sequence[str], event_fill: str = "zero",
         df, ["run_id"], order,
         last={f"_last_{c}": f"`{c}`" for c in carried},
         first={f"_first_{c}": f"`{c}`" for c in carried},
+        previous={f"_prior_{c}": f"`{c}`" for c in lagged},
+        recent={f"_recent_{c}": f"CAST(`{c}` AS DOUBLE)" for c in recent}, depth=depth,
         keep_block=True,
     )
     filled = []
@@ -54,6 +60,9 @@ def fill_series(df: DataFrame, order: Sequence[str], event_fill: str = "zero",
             filled.append(f"coalesce(`_last_{c}`, `_first_{c}`{rest}) AS `{c}`")
         else:
             filled.append(f"`{c}`")
+    filled += [f"coalesce(`_prior_{c}`, `_first_{c}`, 0) AS `_before_{c}`" for c in lagged]
+    for c in recent:
+        filled += [f"`_recent_{c}`", f"CAST(coalesce(`_first_{c}`, 0) AS DOUBLE) AS `_first_{c}`"]
     return scanned.selectExpr(*filled)
 
 
@@ -78,17 +87,25 @@ def fuse(
     event_fill: str = "zero",
     block_slots: int = DEFAULT_BLOCK_SLOTS,
     span: DataFrame | None = None,
+    lagged: Sequence[str] = (),
+    recent: Sequence[str] = (),
+    depth: int = 10,
+    derived: Callable[[DataFrame], Mapping[str, Column]] | None = None,
 ) -> DataFrame:
     """Aligned and filled series with ``run_start``.
 
     Equal to ``fill_missing(align(...))``, but gaps are filled on known slots
-    only and empty slots are unfolded last.
+    only and empty slots are unfolded last. ``derived`` adds columns while slots
+    unfold, from what ``fill_series`` knows of the ``lagged`` and ``recent`` ones; the full
+    grid is not shuffled for them.
     """
     known = combine(sources, granularity, block_slots, span)
-    filled = fill_series(known, [SLOT], event_fill, skip=["_start"])
-    names = metric_types(filled, skip=["_start"])
+    names = metric_types(known, skip=["_start"])
+    filled = fill_series(known, [SLOT], event_fill, ["_start"], [c for c in lagged if c in names],
+                         [c for c in recent if c in names], depth)
     copied = [c for c in names if not is_event(c) or event_fill == "carry"]
-    return stretch(filled, granularity, copied, zeroed=[c for c in names if c not in copied])
+    return stretch(filled, granularity, copied, zeroed=[c for c in names if c not in copied], metrics=names,
+                   derived=derived)
 
 
 def forward_fill(df: DataFrame, columns: Sequence[str], granularity: float,

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidefuse.functions.timeops import SECOND, micros
 from tidefuse.operators.align import is_numeric
-from tidefuse.operators.blocks import range_blocks, scan
 from tidefuse.operators.fill import is_event
 
 KEYS = ("run_id", "timestamp")
@@ -54,34 +53,68 @@ def to_long(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataF
     return df.select(*keys, F.inline(cells))
 
 
+#: Bits of the digits of the radix selection, the highest first; a value's image has 64.
+DIGITS = (22, 21, 21)
+
+
 def exact_quantiles(
     long: DataFrame, keys: Sequence[str], probabilities: Sequence[float]
 ) -> DataFrame:
-    """Interpolated quantiles of ``value`` per key, exact at any size.
+    """Interpolated quantiles of ``value`` per key, exact at any size, by radix selection.
 
-    Equal values are counted first, then a running count over balanced ranges
-    finds the rows at the wanted positions. No group is gathered anywhere.
+    A value's bits, as an integer in the order of values, are three digits. For each
+    digit the values that begin like a wanted rank's digits so far are counted by their next
+    digit, for all keys at once; the running counts tell the digit of the rank. A group
+    has as many counts as a digit has values at most, however many rows; no values are gathered.
     """
-    counts = long.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(
-        F.count("*").alias("_n")
-    )
-    blocked = range_blocks(counts, keys, ["value"])
-    ranked = scan(blocked, keys, ["value"], total={"_upto": F.col("_n")})
-    totals = blocked.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    joined = ranked.join(totals, list(keys))
-    picks = []
-    for i, p in enumerate(probabilities):
-        at = (F.col("_total") - 1) * F.lit(float(p))
-        low, high = F.floor(at), F.ceil(at)
-
-        def holds(position):
-            return (F.col("_upto") > position) & (F.col("_upto") - F.col("_n") <= position)
-
-        below = F.max(F.when(holds(low), F.col("value")))
-        above = F.max(F.when(holds(high), F.col("value")))
-        share = F.max(at - low)
-        picks.append((below + (above - below) * share).alias(f"q{i}"))
-    return joined.groupBy(*keys).agg(*picks)
+    keys = list(keys)
+    flip = F.lit((1 << 63) - 1)
+    known = long.where(F.col("value").isNotNull()).withColumn("_x", F.col("value") + F.lit(0.0))
+    bits = F.expr("CAST(java_method('java.lang.Double', 'doubleToLongBits', _x) AS BIGINT)")
+    known = known.select(*keys, bits.alias("_bits")).select(
+        *keys, F.when(F.col("_bits") < 0, F.col("_bits").bitwiseXOR(flip)).otherwise(F.col("_bits")).alias("_bits"))
+    wanted = None
+    left = 64
+    for width in DIGITS:
+        left -= width
+        digit = F.shiftright("_bits", left)
+        if wanted is None:
+            rows = known.select(*keys, F.lit(0).cast("long").alias("_head"), F.lit(0).alias("_ranks"), digit.alias("_digit"))
+        else:
+            # A row for each beginning that a wanted rank has: at most two per probability and key.
+            heads = wanted.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_head").alias("_h"), "_ranks")
+            same = F.shiftright("_bits", left + width) == F.col("_h")
+            for i, k in enumerate(keys):
+                same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+            rows = known.join(heads, same).select(
+                *keys, F.col("_h").alias("_head"), "_ranks", digit.bitwiseAND((1 << width) - 1).alias("_digit"))
+        counts = rows.groupBy(*keys, "_head", "_ranks", "_digit").agg(F.count(F.lit(1)).alias("_n"))
+        group = Window.partitionBy(*keys, "_head")
+        upto = F.sum("_n").over(group.orderBy("_digit"))
+        if wanted is None:
+            at = [(F.sum("_n").over(group) - 1) * F.lit(float(p)) for p in probabilities]
+            ranks = F.array(*[
+                F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), end(x).alias("rank"), (x - F.floor(x)).alias("share"))
+                for i, x in enumerate(at) for side, end in enumerate((F.floor, F.ceil))])
+            counts = counts.withColumn("_ranks", ranks)
+        below = counts.withColumn("_upto", upto).withColumn("_below", F.col("_upto") - F.col("_n"))
+        hit = F.filter("_ranks", lambda r: (r["rank"] < F.col("_upto")) & (r["rank"] >= F.col("_below")))
+        # From here on a rank counts among the values that begin alike.
+        moved = F.transform(hit, lambda r: F.struct(
+            r["i"].alias("i"), r["side"].alias("side"), (r["rank"] - F.col("_below")).alias("rank"), r["share"].alias("share")))
+        head = F.shiftleft("_head", width) + F.col("_digit") if wanted is not None else F.col("_digit")
+        wanted = below.select(*keys, head.alias("_head"), moved.alias("_ranks")).where(F.size("_ranks") > 0)
+    back = F.when(F.col("_head") < 0, F.col("_head").bitwiseXOR(flip)).otherwise(F.col("_head"))
+    values = wanted.select("*", F.explode("_ranks").alias("_rank")).withColumn("_b", back).withColumn(
+        "_value", F.expr("CAST(java_method('java.lang.Double', 'longBitsToDouble', _b) AS DOUBLE)"))
+
+    def quantile(i: int) -> Column:
+        low, high = (F.max(F.when((F.col("_rank.i") == i) & (F.col("_rank.side") == s), F.col("_value"))) for s in (0, 1))
+        share = F.max(F.when(F.col("_rank.i") == i, F.col("_rank.share")))
+        # Equal neighbours need no difference, which infinite ones do not have.
+        return F.when(low == high, low).otherwise(low + (high - low) * share).alias(f"q{i}")
+
+    return values.groupBy(*keys).agg(*[quantile(i) for i in range(len(probabilities))])
 
 
 def describe_series(
@@ -105,10 +138,6 @@ def describe_series(
 UNSIGNED = ((255, "uint8"), (65535, "uint16"), (4294967295, "uint32"))
 SIGNED = ((128, 127, "int8"), (32768, 32767, "int16"), (2147483648, 2147483647, "int32"))
 FLOAT_BOUND = 3.4028234663852886e38
-SPARK_TYPES = {
-    "uint8": "smallint", "uint16": "int", "uint32": "bigint", "int8": "tinyint",
-    "int16": "smallint", "int32": "int", "int64": "bigint", "float32": "float", "float64": "double",
-}
 
 
 def narrow_types_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -141,13 +170,6 @@ def narrow_types_profile(df: DataFrame, columns: Sequence[str] | None = None) ->
     return wide.select(F.inline(F.array(*rows)))
 
 
-def narrow_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Cast numeric columns to the narrow type that holds them (one row per column is fetched)."""
-    chosen = {r["feature"]: SPARK_TYPES[r["narrow_type"]]
-              for r in narrow_types_profile(df, columns).collect()}
-    return df.withColumns({c: F.col(c).cast(t) for c, t in chosen.items()}) if chosen else df
-
-
 def cardinality_profile(
     df: DataFrame, columns: Sequence[str], limit: float = 0.5, exact: bool = True
 ) -> DataFrame:

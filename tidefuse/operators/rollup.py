@@ -14,6 +14,7 @@ KEYS = ("run_id", "timestamp")
 # How device columns combine over the devices of a timestamp.
 DEVICE_MEANS = ("utilization_gpu", "utilization_memory", "memory_percent", "temperature")
 DEVICE_SUMS = ("memory_total", "memory_used", "memory_free", "power_draw")
+EVAL_MAP = "eval_metrics"
 WORD = 64
 STEP_COLUMNS = ("step", "loss", "learning_rate", "throughput", "step_time")
 
@@ -27,10 +28,13 @@ def device_rollup(samples: DataFrame, device_ids: int | None = None) -> DataFram
 
     Counting distinct devices costs a second shuffle of all samples. Where ids
     are known to be 0 to ``device_ids - 1``, they are counted as bits in the same
-    pass; an id outside then is an error, never a wrong count.
+    pass; an id outside then is an error, never a wrong count. Measures that the samples
+    lack are left out; samples without device ids are passed through as they are.
     """
-    means = [F.avg(c).alias(c) for c in DEVICE_MEANS]
-    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in DEVICE_SUMS]
+    if "gpu_id" not in samples.columns:
+        return add_prefix(samples, "gpu_")
+    means = [F.avg(c).alias(c) for c in DEVICE_MEANS if c in samples.columns]
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in DEVICE_SUMS if c in samples.columns]
     if device_ids is None:
         count = F.count_distinct("gpu_id")
     else:
@@ -59,8 +63,15 @@ def training_rollup(records: DataFrame, order: str) -> DataFrame:
     """One row per timestamp from step, evaluation and event records.
 
     Conditional aggregates in one pass replace three roll-ups and their joins.
-    ``order`` is the column giving the records' order in the log.
+    ``order`` is the column giving the records' order in the log. A map of evaluation
+    values (``eval_metrics``) has the last known value of each name.
     """
+    if EVAL_MAP in records.columns:
+        scalars = training_rollup(records.drop(EVAL_MAP), order)
+        maps = last_per_name(records.where(F.col("metric_type") == "evaluation"), EVAL_MAP, order)
+        same = F.col("_run").eqNullSafe(F.col("run_id")) & F.col("_time").eqNullSafe(F.col("timestamp"))
+        maps = maps.select(F.col("run_id").alias("_run"), F.col("timestamp").alias("_time"), EVAL_MAP)
+        return scalars.join(maps, same, "left").drop("_run", "_time")
     kinds = {c: "training_step" for c in STEP_COLUMNS}
     kinds |= {c: "evaluation" for c in records.columns if c.startswith("eval_")}
     tagged = records.selectExpr(*[
@@ -80,6 +91,18 @@ def training_rollup(records: DataFrame, order: str) -> DataFrame:
     return tagged.groupBy(*KEYS).agg(*map(F.expr, parts))
 
 
+def last_per_name(records: DataFrame, column: str, order: str, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Maps merged per key: each name with its last non-null value in file order.
+
+    Names are aggregated apart, map-side too, before a key's few names are put together again.
+    """
+    pairs = records.select(*keys, F.col(order).alias("_order"), F.explode(column).alias("_name", "_value"))
+    known = pairs.where(F.col("_value").isNotNull()).groupBy(*keys, "_name").agg(
+        F.max_by("_value", "_order").alias("_value"))
+    entries = F.sort_array(F.collect_list(F.struct("_name", "_value")))
+    return known.groupBy(*keys).agg(F.map_from_entries(entries).alias(column))
+
+
 def split_by_metric_type(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Step records and evaluation records."""
     kind = F.col("metric_type")

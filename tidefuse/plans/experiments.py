@@ -60,14 +60,18 @@ def to_run(plan: DataFrame, skip_completed: bool = True) -> DataFrame:
     return plan.where(open_runs) if skip_completed else plan
 
 
-def update(plan: DataFrame, results: DataFrame) -> DataFrame:
+def update(plan: DataFrame, results: DataFrame, order: str = "end_time") -> DataFrame:
     """Fold results into the plan by experiment id; others keep their status.
 
-    Of several results of one experiment the last one counts.
+    Of several results of one experiment that with the greatest ``order`` counts, a missing
+    order coming first; of equal ones the greatest by its columns, so that the result does
+    not depend on how rows are stored.
     """
+    if order not in results.columns:
+        raise ValueError(f"results lack the column {order}, which says what the last result is")
     outcome = [c for c in results.columns if c != "experiment_id"]
-    last = results.withColumn("_at", F.monotonically_increasing_id()).groupBy("experiment_id").agg(
-        F.max_by(F.struct(*outcome), "_at").alias("_last"))
+    outcome.sort(key=lambda c: c != order)
+    last = results.groupBy("experiment_id").agg(F.max(F.struct(*outcome)).alias("_last"))
     results = last.select("experiment_id", *[F.col("_last")[c].alias(c) for c in outcome])
     kept = plan.select(*[c for c in plan.columns if c not in outcome])
     joined = kept.join(results, "experiment_id", "left")
@@ -120,6 +124,3 @@ def outcome_totals(outcomes: DataFrame) -> DataFrame:
         .alias("total_training_time"),
     )
 
-
-def save_report(report_rows: DataFrame, path: str) -> None:
-    report_rows.write.mode("overwrite").json(path)

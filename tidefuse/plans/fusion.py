@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tidefuse.operators import features, fill, matrix, rollup
+from tidefuse.operators import features, matrix, rollup
 from tidefuse.operators.align import time_span
 from tidefuse.operators.blocks import DEFAULT_BLOCK_SLOTS
 
@@ -28,7 +28,7 @@ def fused_series(
     if records is not None:
         sources.append(rollup.training_rollup(records, order))
     raw = [s for s in (devices, hosts, records) if s is not None]
-    dense = fill.fuse(sources, granularity, event_fill, block_slots, time_span(raw))
+    dense = features.fuse_derived(sources, granularity, event_fill, block_slots, time_span(raw))
     return features.add_derived(dense, granularity, block_slots)
 
 

@@ -92,7 +92,3 @@ def device_query_rows(lines: DataFrame, line: str = "line") -> DataFrame:
         "memory_percent", percent_of(F.col("memory_used"), F.col("memory_total"))
     )
 
-
-def host_units(df: DataFrame) -> DataFrame:
-    """Percentages a host sampler derives from its totals."""
-    return df.withColumn("disk_percent", percent_of(F.col("disk_used"), F.col("disk_total")))

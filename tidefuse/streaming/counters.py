@@ -1,16 +1,86 @@
-"""Counter rates on a stream: each micro-batch continues from the last sample per series."""
+"""Counter rates on a stream: the last sample of each series is Spark's keyed state."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidefuse.operators.blocks import range_blocks
-from tidefuse.operators.features import rates_from_blocks
-from tidefuse.functions.timeops import micros
+from tidefuse.functions.timeops import SECOND, micros, us_of
+from tidefuse.operators.align import run_key
+
+_US, _TIME = "_us", "_time"
+
+
+def rates_of(rows: pd.DataFrame, before: tuple | None, counters: Sequence[str]) -> pd.DataFrame:
+    """Rates of samples in order; ``before`` is the time and the counters of the sample before them."""
+    us = rows[_US]
+    earlier = us.shift()
+    if before is not None:
+        earlier.iloc[0] = before[0]
+    seconds = (us - earlier) / SECOND
+    out = rows.copy()
+    for i, c in enumerate(counters, 1):
+        value = rows[c].astype("float64")
+        prior = value.shift()
+        if before is not None and before[i] is not None:
+            prior.iloc[0] = before[i]
+        # Floats carry counters up to 2 ** 53; the differences are those of such counters.
+        diff = value - prior
+        rate = (diff / seconds).where(diff >= 0)
+        out[f"{c}_rate"] = rate.mask(earlier.isna() | (seconds <= 0), 0.0)
+    return out
+
+
+def counter_rates_stream(
+    stream: DataFrame, counters: Sequence[str], keys: Sequence[str] = ("run_id", "host_id"),
+    order: Sequence[str] = ("timestamp",), late: str = "1 hour", expire: float = 86_400.0,
+) -> DataFrame:
+    """``counter_rates`` of a stream: its columns and a rate per counter.
+
+    Spark keeps one sample per series as state, with the stream's own checkpoint. Samples older than
+    the last one seen of their series are ignored, as are those later than ``late``. A series
+    without a sample for ``expire`` seconds of event time is forgotten: its timer drops the
+    state, and a later sample is its first. A missing run is the empty one. Rows of one series
+    and micro-batch are put in order in one task; the size of micro-batches bounds them.
+    """
+    shown = stream.schema.fields
+    names = stream.columns
+    out = T.StructType([*shown, *[T.StructField(f"{c}_rate", T.DoubleType()) for c in counters]])
+    state = T.StructType([T.StructField(_US, T.LongType()),
+                          *[T.StructField(c, T.DoubleType()) for c in counters]])
+    lifetime = us_of(expire) // 1000
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        rows = pd.concat(list(batches), ignore_index=True)
+        before = held.get if held.exists else None
+        if before is not None:
+            rows = rows[rows[_US] >= before[0]]
+        rows = rows.sort_values([_US, *[o for o in order if o != "timestamp"]], kind="stable", ignore_index=True)
+        if not len(rows):
+            return
+        last = rows.iloc[-1]
+        held.update((int(last[_US]), *[None if pd.isna(last[c]) else float(last[c]) for c in counters]))
+        # A timer must lie ahead of the watermark.
+        held.setTimeoutTimestamp(max(int(last[_US]) // 1000 + lifetime, held.getCurrentWatermarkMs() + 1))
+        yield rates_of(rows, before, counters)[[f.name for f in out.fields]]
+
+    timed = stream.withColumns({_TIME: F.col("timestamp").cast("timestamp"), _US: micros("timestamp")})
+    if "run_id" in names:
+        timed = timed.withColumn("run_id", run_key())
+    return (
+        timed.where(F.col(_US).isNotNull()).withWatermark(_TIME, late)
+        .groupBy(*keys)
+        .applyInPandasWithState(step, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+    )
 
 
 def stream_counter_rates(
@@ -20,46 +90,18 @@ def stream_counter_rates(
     keys: Sequence[str] = ("run_id", "host_id"),
     order: Sequence[str] = ("timestamp",),
     trigger: Mapping[str, object] | None = None,
+    late: str = "1 hour",
+    expire: float = 86_400.0,
 ) -> StreamingQuery:
-    """Write ``counter_rates`` of a stream below ``path``; read it with ``read_rates``.
-
-    The state is a table with the last sample per series, one version per
-    micro-batch. A repeated batch starts from the same version and overwrites
-    its own output, so results are exact after a failure. A micro-batch is
-    ordered by range blocks, so a busy series is no single task. Samples older
-    than the last one seen of their series are ignored.
-    """
-    spark = stream.sparkSession
-    schema = stream.schema
-
-    def step(batch: DataFrame, epoch: int) -> None:
-        session = batch.sparkSession
-        rows = batch
-        if epoch > 0:
-            state = session.read.schema(schema).parquet(f"{path}/state/epoch={epoch - 1}")
-            seen = state.select(*keys, micros("timestamp").alias("_seen"))
-            rows = batch.join(seen, list(keys), "left").where(
-                F.col("_seen").isNull() | (micros("timestamp") >= F.col("_seen"))
-            ).drop("_seen").withColumn("_new", F.lit(True)).unionByName(
-                state.withColumn("_new", F.lit(False))
-            )
-        else:
-            rows = batch.withColumn("_new", F.lit(True))
-        blocked = range_blocks(rows, keys, order)
-        rates = rates_from_blocks(blocked, counters, keys, order)
-        rates.where("_new").drop("_new").write.mode("overwrite").parquet(f"{path}/rates/epoch={epoch}")
-        whole = F.struct(*[F.col(f.name) for f in schema.fields])
-        latest = F.max_by(whole, F.struct(*order)).alias("_row")
-        blocked.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(latest).select("_row.*") \
-            .write.mode("overwrite").parquet(f"{path}/state/epoch={epoch}")
-
+    """Write ``counter_rates_stream`` below ``path``; started again, it goes on where it ended."""
+    rates = counter_rates_stream(stream, counters, keys, order, late, expire)
     return (
-        stream.writeStream.foreachBatch(step)
-        .option("checkpointLocation", f"{path}/checkpoint")
+        rates.writeStream.format("parquet").outputMode("append")
+        .option("path", f"{path}/rates").option("checkpointLocation", f"{path}/checkpoint")
         .trigger(**(trigger or {"processingTime": "5 seconds"}))
         .start()
     )
 
 
 def read_rates(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/rates").drop("epoch")
+    return spark.read.parquet(f"{path}/rates")

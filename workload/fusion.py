@@ -36,6 +36,12 @@ def filled(spark: SparkSession, sf_dir: str, event_fill: str = "zero") -> DataFr
     return fill.fuse(sources, HOUR, event_fill, BLOCK_SLOTS, span)
 
 
+def derived(spark: SparkSession, sf_dir: str, **columns: str | None) -> DataFrame:
+    """Filled series with its lagged columns, made while empty slots unfold."""
+    sources, span = rolled(spark, sf_dir)
+    return features.fuse_derived(sources, HOUR, "zero", BLOCK_SLOTS, span, **columns)
+
+
 # --- roll-ups ---------------------------------------------------------------
 
 @query("gpu_rollup", f"""WITH {EV}, {sql_devices()}, {sql_device_rollup()}
@@ -272,13 +278,13 @@ SQL_DERIVED = f"WITH {SQL_ALIGNED}, {sql_filled()}, {DERIVED_SQL}"
 
 @query("step_rate", f"{SQL_DERIVED} SELECT run_id, {SLOT_TS}, {r6('train_step_rate')} FROM derived")
 def step_rate(spark, sf_dir):
-    out = features.add_lagged(filled(spark, sf_dir), HOUR, BLOCK_SLOTS, loss=None)
+    out = derived(spark, sf_dir, loss=None)
     return rounded(out.select("run_id", "timestamp", "train_step_rate"))
 
 
 @query("loss_change_rate", f"{SQL_DERIVED} SELECT run_id, {SLOT_TS}, {r6('train_loss_change_rate')} FROM derived")
 def loss_change_rate(spark, sf_dir):
-    out = features.add_lagged(filled(spark, sf_dir), HOUR, BLOCK_SLOTS, step=None)
+    out = derived(spark, sf_dir, step=None)
     return out.select("run_id", "timestamp", F.when(
         F.abs("train_loss_change_rate") == float("inf"), F.col("train_loss_change_rate")
     ).otherwise(F.round("train_loss_change_rate", 6)).alias("train_loss_change_rate"))
@@ -286,7 +292,7 @@ def loss_change_rate(spark, sf_dir):
 
 @query("loss_moving_avg", f"{SQL_DERIVED} SELECT run_id, {SLOT_TS}, {r6('train_loss_moving_avg')} FROM derived")
 def loss_moving_avg(spark, sf_dir):
-    out = features.add_lagged(filled(spark, sf_dir), HOUR, BLOCK_SLOTS, step=None)
+    out = derived(spark, sf_dir, step=None)
     return rounded(out.select("run_id", "timestamp", "train_loss_moving_avg"))
 
 

@@ -18,7 +18,7 @@ SQL_STAMP = "strftime(timestamp, '%Y-%m-%d %H:%M:%S')"
 # One line form per remainder of the event's property.
 FORMS = (
     ("Step {id} | Loss: {v} | LR: {k}e-05 | Throughput: {v} samples/s | Step Time: 0.{k}s", "INFO"),
-    ("eval_loss: {v} | eval_accuracy: 0.{k} | eval_f1: 1-2 | eval_custom: {k} | eval_loss: {k}.5", "INFO"),
+    ("eval_loss: {v} | eval_accuracy: 0.{k} | eval_f1: 1-2 | eval_auc: 0.{k} | eval_custom: {k} | eval_loss: {k}.5", "INFO"),
     ("[ANOMALY DETECTED] NaN/Inf Loss at step {id}: nan", "ERROR"),
     ("[ANOMALY DETECTED] High Loss at step {id}: {v}", "WARNING"),
     ("CUDA out of memory on device {k}", "ERROR"),
@@ -95,10 +95,15 @@ EVENT_CELLS = f"""CASE WHEN {NAN_HIT} THEN 1 END AS event_nan_loss, CASE WHEN {O
 PHASE_CELL = "CASE " + " ".join(
     f"WHEN regexp_matches(line, '{pattern}') THEN '{name}'" for name, pattern in logparse.PHASES
 ) + " END AS phase"
-RECORD_CELLS = f"{STEP_CELLS}, {EVAL_CELLS}, {TYPE_CELL}, {PHASE_CELL}, {EVENT_CELLS}, trim(line) AS raw_line"
+RECORD_CELLS = f"{STEP_CELLS}, {EVAL_CELLS}, {TYPE_CELL}, {PHASE_CELL}, {EVENT_CELLS}, trim(line) AS raw_line, {sql_eval('auc')}"
 CARRIED = f"last_value({TIME_CELL} IGNORE NULLS) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS timestamp"
 
 
+def with_auc(records_: DataFrame) -> DataFrame:
+    """The evaluation value that has no column of its own, from the map of all."""
+    return records_.withColumn("eval_auc", F.try_element_at("eval_metrics", F.lit("auc"))).drop("eval_metrics")
+
+
 def write_logs(spark: SparkSession, sf_dir: str) -> str:
     """One folder of rolled text files per run, lines in order."""
     path = scratch_path(spark, "logs")
@@ -114,9 +119,8 @@ def scan_log(spark, sf_dir):
     """Text files back to records; the time of a line without one comes from the line before."""
     path = write_logs(spark, sf_dir)
     run = F.regexp_extract("file", r"file=([^/]+)/", 1)
-    parsed = logparse.parse_lines(log_files.read_lines(spark, path).withColumn("run", run))
-    order = list(log_files.LINE_ORDER)
-    return logparse.carry_timestamps(parsed, ["run"], order).drop(*order).withColumnRenamed("run", "file")
+    read = log_files.read_lines(spark, path).withColumn("run", run)
+    return with_auc(logparse.log_records(read, ["run"]).drop(*log_files.LINE_ORDER).withColumnRenamed("run", "file"))
 
 
 @query("log_timestamp", f"WITH {SQL_LINES} SELECT file, line_no, {CARRIED} FROM lines")
@@ -135,14 +139,14 @@ def log_step_parse(spark, sf_dir):
 
 
 @query("log_eval_parse", f"""WITH {SQL_LINES} SELECT line_no, {EVAL_CELLS}, {TYPE_CELL},
-  len(list_distinct(regexp_extract_all(line, '{logparse.EVAL}', 1))) AS n_metrics, {sql_eval('custom')} FROM lines""")
+  len(list_distinct(regexp_extract_all(line, '{logparse.EVAL}', 1))) AS n_metrics, {sql_eval('custom')}, {sql_eval('auc')} FROM lines""")
 def log_eval_parse(spark, sf_dir):
     line = F.col("line")
     pairs = logparse.eval_map(line)
     return lines(spark, sf_dir).select(
         "line_no", *[c.alias(n) for n, c in logparse.eval_fields(line).items()],
         logparse.metric_type(line).alias("metric_type"), F.size(pairs).alias("n_metrics"),
-        F.try_element_at(pairs, F.lit("custom")).alias("eval_custom"),
+        *[F.try_element_at(pairs, F.lit(m)).alias(f"eval_{m}") for m in ("custom", "auc")],
     )
 
 

@@ -427,7 +427,12 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def updated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return experiments.update(plan(spark, sf_dir), outcomes(spark, sf_dir))
+    """Every experiment ran twice; the first time it came to the opposite result, and some have no time of that."""
+    last = outcomes(spark, sf_dir)
+    times = F.when(F.col("anomaly_count") % 3 != 0, F.lit("2024-01-01 10:00:00"))
+    first = last.withColumns({"success": ~F.col("success"), "duration": F.col("duration") + 1, "end_time": times})
+    both = first.unionByName(last.withColumn("end_time", F.lit("2024-01-01 11:00:00")))
+    return experiments.update(plan(spark, sf_dir), both).drop("end_time")
 
 
 @query("plan_update", f"""WITH {OUTCOME_SQL} SELECT experiment_id, new_status AS status, success, duration, anomaly_count,

@@ -9,7 +9,7 @@ from tidefuse.session import scratch_path
 from tidefuse.streaming import counters, tail
 from workload.base import EV, query, rounded
 from workload.logs import (
-    EVENT_CELLS, PHASE_CELL, RECORD_CELLS, SQL_LINES, STEP_CELLS, TIME_CELL, TYPE_CELL, lines,
+    EVENT_CELLS, PHASE_CELL, RECORD_CELLS, SQL_LINES, STEP_CELLS, TIME_CELL, TYPE_CELL, lines, with_auc,
 )
 
 ONCE = {"availableNow": True}
@@ -46,7 +46,7 @@ def stream_log_tail(spark, sf_dir):
 def stream_parse_append(spark, sf_dir):
     out = scratch_path(spark, "parsed")
     drain(tail.tail_records(spark, rolled_logs(spark, sf_dir)), out)
-    return spark.read.parquet(f"{out}/data")
+    return with_auc(spark.read.parquet(f"{out}/data"))
 
 
 @query("stream_buffered", f"WITH {SQL_LINES}, r AS (SELECT {TYPE_CELL} FROM lines) SELECT metric_type, count(*) AS n FROM r GROUP BY 1")
@@ -76,25 +76,21 @@ def stream_alerts(spark, sf_dir):
 SELECT event_id, bytes, round(CASE WHEN pb IS NULL OR us <= pu THEN 0 WHEN bytes < pb THEN NULL
   ELSE (bytes - pb) / ((us - pu) / 1000000.0) END, 6) AS bytes_rate FROM c""")
 def stream_counter_rate(spark, sf_dir):
-    """Samples arrive day by day; each micro-batch goes on from the state of the last."""
-    inbox = scratch_path(spark, "inbox")
+    """Samples arrive in four parts, each of many files; the stream is stopped and started again between them."""
     whole = spark.read.schema(EVENT_SCHEMA).parquet(f"{sf_dir}/events.parquet")
     samples = whole.select(
         F.concat(F.lit("run_"), (F.col("user_id") % 8).cast("string")).alias("run_id"),
         F.col("user_id").alias("host_id"), F.col("ts").alias("timestamp"), "event_id",
         (F.col("event_id") % 1000).alias("bytes"),
     )
-    ordered = samples.repartitionByRange(4, "timestamp", "event_id")
-    ordered.withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(inbox)
-    # One file per range of time; the file source takes files in the order of their age.
-    stage = scratch_path(spark, "arrivals")
-    for i in range(4):
-        spark.read.parquet(f"{inbox}/part={i}").coalesce(1).write.mode("append").parquet(stage)
-    stream = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(stage)
-    out = scratch_path(spark, "rates")
-    counters.stream_counter_rates(
-        stream, ["bytes"], out, order=("timestamp", "event_id"), trigger=ONCE
-    ).awaitTermination()
+    inbox, out = scratch_path(spark, "inbox"), scratch_path(spark, "rates")
+    day = F.dayofmonth("timestamp")
+    for first, end in ((1, 9), (9, 17), (17, 25), (25, 32)):
+        samples.where((day >= first) & (day < end)).repartition(4).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(samples.schema).parquet(inbox)
+        counters.stream_counter_rates(
+            stream, ["bytes"], out, order=("timestamp", "event_id"), trigger=ONCE, expire=366 * 86_400.0,
+        ).awaitTermination()
     return rounded(counters.read_rates(spark, out).select("event_id", "bytes", "bytes_rate"))
 
 
