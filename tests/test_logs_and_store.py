@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from helpers import at, rows
 from tidefuse.functions import logparse, texts
-from tidefuse.operators import rollup
+from tidefuse.operators import quality, rollup
 from tidefuse.plans import experiments
 from tidefuse.session import require_utc, scratch_path
-from tidefuse.sources import files, logs, registry, samples, store
+from tidefuse.sources import files, logs, registry, rotate, samples, store
 from tidefuse.streaming import counters, tail
 from workload import storage
 
@@ -269,3 +269,103 @@ def test_keyed_state_restarts_and_expires(spark):
         ("", 1, at(10), 0.0), ("", 1, at(9002), 0.0),
     ], key=repr)
     assert not any("state" in name for name in os.listdir(out))
+
+
+def batch(spark, rows, columns):
+    return spark.createDataFrame(rows, f"batch_id string, timestamp timestamp_ntz, {columns}")
+
+
+def test_bad_batch_leaves_the_dataset_as_it_was(spark):
+    root = scratch_path(spark, "safe")
+    store.append(batch(spark, [("a", at(0), 1.5, 3)], "x double, n long"), root)
+    before = rows(store.read(spark, root), "batch_id", "x", "n")
+    for bad in ("x string, n long", "x double, n double", "x double, n string"):
+        cells = [("b", at(1), "1" if "x string" in bad else 1.0, "1" if "n string" in bad else 1.0 if "n double" in bad else 1)]
+        with pytest.raises(ValueError, match="does not fit"):
+            store.append(batch(spark, cells, bad), root)
+    broken = batch(spark, [("b", at(1), 1.0, 1), (None, at(1), 1.0, 1)], "x double, n long")
+    with pytest.raises(Exception, match="batch not named"):
+        store.append(broken, root)
+    assert rows(store.read(spark, root), "batch_id", "x", "n") == before
+    assert rows(store.query(spark, root, start=at(0)), "batch_id") == [("a",)]
+    # Narrower types are widened, new and missing columns are null elsewhere.
+    store.append(batch(spark, [("c", at(2), 2, "new")], "n int, y string"), root)
+    assert rows(store.read(spark, root), "batch_id", "x", "n", "y") == [("a", 1.5, 3, None), ("c", None, 2, "new")]
+    assert rows(store.read_index(spark, root), "batch_id", "record_count") == [("a", 1), ("c", 1)]
+
+
+def test_append_reads_its_input_once(spark):
+    root, read = scratch_path(spark, "once"), spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = batch(spark, [(str(k % 3), at(k), k) for k in range(30)], "n long")
+    store.append(df.mapInArrow(count, df.schema), root)
+    assert read.value == 30 and store.read_index(spark, root).count() == 3
+
+
+def test_totals_follow_every_batch(spark):
+    root = scratch_path(spark, "totals")
+    store.create_dataset(spark, root, "d", {"x": "float", "is_anomaly": "int"})
+    first = store.add_batches(batch(spark, [("a", at(0), "2.5", 1)], "x string, is_anomaly int"), root, "d").first()
+    assert (first.batches, first.total_records, first.total_anomalies) == (1, 1, 1)
+    more = batch(spark, [("a", at(3), 1.0, 0), ("a", at(4), 1.0, 0), ("b", at(9), None, 1)], "x double, is_anomaly int")
+    store.add_batches(more, root, "d")
+    total = store.totals(spark, root, "d").first()
+    assert (total.batches, total.total_records, total.total_anomalies, total.max_timestamp) == (2, 3, 1, at(9))
+    for bad, name, why in ((more.drop("timestamp"), "d", "lacks"), (more, "other", "no dataset")):
+        with pytest.raises(ValueError, match=why):
+            store.add_batches(bad, root, name)
+    assert store.totals(spark, root, "d").first() == total
+
+
+def test_files_of_different_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("timestamp,cpu_percent,extra\n2024-01-01 00:00:01,3.5,x\n")
+    (tmp_path / "b.csv").write_text("cpu_percent,memory_percent,timestamp\n4.5,7,2024-01-01 00:00:02\n")
+    (tmp_path / "c.csv").write_text("timestamp,cpu_percent,extra\n2024-01-01 00:00:03,5.5,\"y, z\"\n")
+    got = rows(samples.scan_csv(spark, str(tmp_path), samples.HOST), "timestamp", "cpu_percent", "memory_percent", "extra")
+    assert got == [(at(1), 3.5, None, "x"), (at(2), 4.5, 7.0, None), (at(3), 5.5, None, "y, z")]
+
+
+def test_empty_run_is_reported(spark, tmp_path):
+    for run in ("a", "b"):
+        (tmp_path / run).mkdir()
+    for name in files.REQUIRED_FILES:
+        (tmp_path / "a" / name).write_text("x")
+    got = files.run_completeness(files.list_files(spark, str(tmp_path)), runs=files.list_runs(spark, str(tmp_path)))
+    assert rows(got, "run_id", "complete", "missing") == [("a", True, ""), ("b", False, ",".join(files.REQUIRED_FILES))]
+
+
+@pytest.mark.parametrize("width", [1, 10])
+def test_rotation_by_bytes(spark, tmp_path, width):
+    df = spark.range(500).select("id", F.expr(f"repeat('é', CAST(id % 17 * {width} AS INT))").alias("pad"))
+    path = str(tmp_path / "out")
+    last = rotate.rotate(df, path, 2000, ["id"])
+    found = spark.read.text(path).select("value", "file_no", F.col("_metadata.file_path").alias("f"),
+                                         F.col("_metadata.file_size").alias("n")).collect()
+    assert max(r.n for r in found) <= 2000 and len({r.f for r in found}) == last + 1 == max(r.file_no for r in found) + 1
+    assert min(r.n for r in found if r.file_no < last) > 2000 - 2 * (60 + 34 * width)
+    ids = [(r.file_no, json.loads(r.value)["id"]) for r in found]
+    assert sorted(i for _, i in ids) == list(range(500)) and sorted(ids) == sorted(ids, key=lambda x: x[1])
+    kept_path = str(tmp_path / "kept")
+    rotate.rotate(df, kept_path, 2000, ["id"], keep=2)
+    assert {r.file_no for r in spark.read.text(kept_path).collect()} == {last - 1, last}
+    with pytest.raises(ValueError, match="more than a file"):
+        rotate.rotate(df, str(tmp_path / "no"), 20, ["id"])
+    assert rotate.rotate(df.limit(0), str(tmp_path / "none"), 20, ["id"]) == -1
+
+
+def test_sketches_of_batches_are_united(spark):
+    df = spark.range(20000).selectExpr("CAST(id % 4 AS string) AS batch_id", "CAST(id % 50 AS string) AS few",
+                                       "CAST(id AS string) AS many", "CAST(id % 10000 AS string) AS half")
+    names = ["few", "many", "half"]
+    first = quality.distinct_sketches(df.where("batch_id < '2'"), names)
+    both = first.unionByName(quality.distinct_sketches(df.where("batch_id >= '2'"), names))
+    got = {r["feature"]: r for r in quality.sketched_profile(both, names).collect()}
+    assert abs(got["few"]["n_distinct"] - 50) <= 1 and abs(got["many"]["n_distinct"] / 20000 - 1) < 0.08
+    assert [got[n]["is_sure"] for n in names] == [True, True, False]
+    exact = {r["feature"]: r["is_category"] for r in quality.settled_profile(df, both, names).collect()}
+    assert exact == {"few": True, "many": False, "half": False}

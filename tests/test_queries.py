@@ -12,7 +12,7 @@ SF_DIR = "/root/testdata/sf0.001"
 OWN = set(entry_module.queries()) - set(entry_module.LLM_QUERIES)
 QUERIES = {k: v for k, v in entry_module.queries().items() if k in OWN}
 ORACLES = {k: v for k, v in entry_module.oracle_sql().items() if k in OWN}
-WITHOUT_SQL = {"augment_draw", "file_inventory", "store_info"}
+WITHOUT_SQL = {"augment_draw"}
 
 
 @pytest.fixture(scope="module")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from helpers import at, rows
 from tidefuse.functions import measures, timeops
 from tidefuse.operators import align, blocks, features, fill, quality, rollup
+from tidefuse.plans.fusion import labelled_matrix
 
 
 def series(spark, cells, columns="x double"):
@@ -215,3 +216,31 @@ def test_exact_quantiles_of_any_numbers(spark):
     odd = spark.createDataFrame([("a", v) for v in (math.nan, math.inf, -math.inf, 1.0)], "run_id string, value double")
     low, high = quality.exact_quantiles(odd, ["run_id"], (0.0, 1.0)).select("q0", "q1").first()
     assert low == -math.inf and math.isnan(high)
+
+
+@pytest.mark.parametrize("seconds", [3, 20, 55])
+def test_rolling_frames_of_any_length(spark, seconds):
+    """Frames shorter and longer than a block equal the plain window, also about a large mean."""
+    rng = random.Random(seconds)
+    cells = [(r, at(k), 1e6 + rng.random() if k % 31 else float("nan") if r == "a" else 1e6, float(k % 5))
+             for r in ("a", None) for k in range(130)]
+    src = series(spark, cells, "x double, y double")
+    names = [f"{c}_{n}" for c in "xy" for n in ("moving_average", "standard_deviation", "rate_of_change")]
+    got = features.rolling_features(src, ["x", "y"], 1, seconds, block_slots=10).orderBy("run_id", "timestamp").toPandas()
+    want = features.rolling_features(src, ["x", "y"], 1, seconds, block_slots=1000).orderBy("run_id", "timestamp").toPandas()
+    assert len(got) == 260
+    for n in names:
+        assert all((math.isnan(a) and math.isnan(b)) or a == b or abs(a - b) < 1e-6 * max(1, abs(b))
+                   for a, b in zip(got[n], want[n], strict=True)), n
+
+
+def test_choices_of_the_matrix(spark):
+    host = series(spark, [("a", at(0), 0.0), ("a", at(4), 8.0)], "cpu_percent double")
+    windows = spark.createDataFrame([("a", at(2), at(2))], "run_id string, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    got = labelled_matrix(hosts=host, windows=windows, margins=(1.0, 0.0), method="linear", rolling=["sys_cpu_percent"],
+                          window=1.0).orderBy("timestamp").collect()
+    assert [r["sys_cpu_percent"] for r in got] == [0.0, 2.0, 4.0, 6.0, 8.0]
+    assert [r["sys_cpu_percent_moving_average"] for r in got] == [0.0, 1.0, 3.0, 5.0, 7.0]
+    assert [r["is_anomaly"] for r in got] == [0, 1, 1, 0, 0]
+    with pytest.raises(ValueError, match="method"):
+        labelled_matrix(hosts=host, method="cubic")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidefuse.functions import measures
-from tidefuse.functions.timeops import SECOND, date_features, micros, us_of
+from tidefuse.functions.timeops import SECOND, block_start, date_features, micros, us_of
 from tidefuse.operators.align import RUN_START, run_key
 from tidefuse.operators.blocks import BLOCK, DEFAULT_BLOCK_SLOTS, range_blocks, scan, with_halo
 from tidefuse.operators.fill import fuse, is_event
@@ -99,7 +99,13 @@ def rolling_features(
     df: DataFrame, columns: Sequence[str], granularity: float, seconds: float = 300.0,
     block_slots: int = DEFAULT_BLOCK_SLOTS,
 ) -> DataFrame:
-    """Mean, sample deviation and rate of change over the last ``seconds``."""
+    """Mean, sample deviation and rate of change over the last ``seconds``, on a full grid.
+
+    A frame up to a block's length is a window over the block and a copy of the rows before
+    it; a longer one is the difference of two running sums, so no row is copied.
+    """
+    if us_of(seconds) > us_of(granularity) * block_slots:
+        return _rolling_by_sums(df, columns, granularity, seconds, block_slots)
     halo = _looking_back(df, seconds, granularity, block_slots)
     frame = (
         Window.partitionBy("run_id", BLOCK).orderBy("_us")
@@ -114,6 +120,48 @@ def rolling_features(
     return halo.withColumns(new).where("_own").drop("_own", BLOCK, "_us")
 
 
+def _rolling_by_sums(df: DataFrame, columns: Sequence[str], granularity: float, seconds: float,
+                     block_slots: int) -> DataFrame:
+    """``rolling_features`` from running counts, sums and squares about the run's mean.
+
+    Values that are no finite numbers are counted apart, as they would spoil every later sum; a
+    frame that holds one has neither mean nor deviation (NaN).
+    """
+    require_utc(df.sparkSession)
+    g = us_of(granularity)
+    back = us_of(seconds) // g * g
+    finite = {c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+              & (F.abs(F.col(c).cast("double")) != float("inf")) for c in columns}
+    keyed = df.withColumn("run_id", run_key()).withColumn("_us", micros("timestamp"))
+    centres = keyed.groupBy(F.col("run_id").alias("_run")).agg(F.min("_us").alias("_begin"), *[
+        F.coalesce(F.avg(F.when(finite[c], F.col(c).cast("double"))), F.lit(0.0)).alias(f"_mid_{c}") for c in columns])
+    rows = keyed.join(centres, F.col("run_id") == F.col("_run")).drop("_run").withColumn(
+        BLOCK, block_start(F.col("_us"), g * block_slots))
+    own: dict[str, Column] = {}
+    for c in columns:
+        x = F.when(finite[c], F.col(c).cast("double") - F.col(f"_mid_{c}"))
+        own |= {f"_n_{c}": finite[c].cast("long"), f"_s_{c}": F.coalesce(x, F.lit(0.0)),
+                f"_q_{c}": F.coalesce(x * x, F.lit(0.0)), f"_b_{c}": (F.col(c).isNotNull() & ~finite[c]).cast("long")}
+    rows = rows.withColumns(own)
+    summed = scan(rows, ["run_id"], ["_us"], total={f"_t{name}": F.col(name) for name in own})
+    # What was before the frame's first row, and that row's value, found by its slot.
+    begins = summed.select(
+        F.col("run_id").alias("_run"), F.col("_us").alias("_at"),
+        *[(F.col(f"_t{name}") - F.col(name)).alias(f"_p{name}") for name in own],
+        *[F.col(c).alias(f"_v_{c}") for c in columns])
+    at = F.greatest(F.col("_us") - back, F.col("_begin"))
+    joined = summed.join(begins, (F.col("run_id") == F.col("_run")) & (at == F.col("_at")), "left")
+    new: dict[str, Column] = {}
+    for c in columns:
+        n, s, q, bad = (F.col(f"_t_{k}_{c}") - F.coalesce(F.col(f"_p_{k}_{c}"), F.lit(0)) for k in "nsqb")
+        spoiled = F.when(bad > 0, float("nan"))
+        new[f"{c}_moving_average"] = F.coalesce(spoiled, F.when(n > 0, F.col(f"_mid_{c}") + s / n))
+        new[f"{c}_standard_deviation"] = F.when(n + bad > 1, F.coalesce(
+            spoiled, F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0)))))
+        new[f"{c}_rate_of_change"] = measures.change_rate(F.col(c), F.col(f"_v_{c}"))
+    return joined.select(*df.columns, *[v.alias(k) for k, v in new.items()])
+
+
 def elapsed_seconds(df: DataFrame) -> DataFrame:
     """Seconds since the first row of the run.
 

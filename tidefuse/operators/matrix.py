@@ -17,6 +17,7 @@ DERIVED = (
     "gpu_memory_utilization_ratio", "train_step_rate", "train_loss_change_rate",
     "train_loss_moving_avg", "total_anomaly_events", "elapsed_seconds",
 )
+ROLLED = ("_moving_average", "_standard_deviation", "_rate_of_change")
 KEYS = ("run_id", "timestamp")
 
 
@@ -26,7 +27,7 @@ def feature_names(df: DataFrame) -> list[str]:
     wide = ("int", "bigint", "float", "double")
     picked = [c for p in PREFIXES for c in df.columns if c.startswith(p) and types[c] in wide]
     picked += [c for c in df.columns if is_event(c)]
-    picked += [c for c in df.columns if c in DERIVED]
+    picked += [c for c in df.columns if c in DERIVED or c.endswith(ROLLED)]
     return list(dict.fromkeys(picked))
 
 

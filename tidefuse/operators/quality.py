@@ -187,3 +187,37 @@ def cardinality_profile(
         for c in columns
     ])
     return wide.select(F.inline(rows))
+
+
+#: Logarithm of a sketch's size; its relative error is 1.04 / sqrt(2 ** LG_K).
+LG_K = 12
+
+
+def distinct_sketches(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("batch_id",)) -> DataFrame:
+    """Rows, and a sketch of the distinct values of each column, per key; sketches of batches can be united."""
+    sketch = [F.hll_sketch_agg(F.col(c).cast("string"), F.lit(LG_K)).alias(c) for c in columns]
+    return df.groupBy(*keys).agg(F.count("*").alias("n_rows"), *sketch)
+
+
+def sketched_profile(sketches: DataFrame, columns: Sequence[str], limit: float = 0.5) -> DataFrame:
+    """``cardinality_profile`` from the sketches of any number of batches; no row is read again.
+
+    ``is_sure`` tells whether the share lies farther from the limit than five times the sketch's error.
+    """
+    wide = sketches.agg(F.sum("n_rows").alias("_rows"), *[
+        F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in columns])
+    cells = []
+    for c in columns:
+        share = F.try_divide(F.col(c).cast("double"), F.col("_rows").cast("double"))
+        error = share * F.lit(5 * 1.04 / 2 ** (LG_K / 2))
+        cells.append(F.struct(F.lit(c).alias("feature"), F.col(c).alias("n_distinct"), share.alias("share"),
+                              (share < limit).alias("is_category"), (F.abs(share - limit) > error).alias("is_sure")))
+    return wide.select(F.inline(F.array(*cells)))
+
+
+def settled_profile(df: DataFrame, sketches: DataFrame, columns: Sequence[str], limit: float = 0.5) -> DataFrame:
+    """``sketched_profile``, with the columns near the limit counted exactly over ``df``."""
+    rough = sketched_profile(sketches, columns, limit)
+    near = [r["feature"] for r in rough.where(~F.col("is_sure")).select("feature").collect()]  # names of columns
+    sure = rough.where(F.col("is_sure")).drop("is_sure")
+    return sure.unionByName(cardinality_profile(df, near, limit)) if near else sure

@@ -23,9 +23,20 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def run_completeness(files: DataFrame, required: Sequence[str] = REQUIRED_FILES) -> DataFrame:
-    """Runs with the required files they lack."""
+def list_runs(spark: SparkSession, path: str) -> DataFrame:
+    """run_id of every folder right below ``path``, also of empty ones; files are not listed."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)
+    names = [s.getPath().getName() for s in found if s.isDirectory()]
+    return spark.createDataFrame([(n,) for n in names if not n.startswith(("_", "."))], "run_id string")
+
+
+def run_completeness(files: DataFrame, required: Sequence[str] = REQUIRED_FILES,
+                     runs: DataFrame | None = None) -> DataFrame:
+    """Runs with the required files they lack. ``runs`` names also those without any file."""
     wanted = F.array(*[F.lit(f) for f in required])
+    if runs is not None:
+        files = files.select("run_id", "file").unionByName(runs.select("run_id", F.lit(None).cast("string").alias("file")))
     present = F.collect_set(F.when(F.col("file").isin(*required), F.col("file")))
     return (
         files.groupBy("run_id").agg(present.alias("_have"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,57 +11,134 @@ from pyspark.sql import types as T
 from tidefuse.functions.measures import percent_of, supported_number
 
 
-def _fields(kind: T.DataType, names: str) -> dict[str, T.DataType]:
-    return {n: kind for n in names.split()}
-
-
+# The columns of the sample files and their types.
 DEVICE = {
-    "run_id": T.StringType(), "timestamp": T.TimestampNTZType(), "gpu_id": T.IntegerType(),
+    "run_id": T.StringType(),
+    "timestamp": T.TimestampNTZType(),
+    "gpu_id": T.IntegerType(),
     "name": T.StringType(),
-    **_fields(T.DoubleType(), "utilization_gpu utilization_memory"),
-    **_fields(T.LongType(), "memory_total memory_used memory_free"),
-    **_fields(T.DoubleType(), "memory_percent temperature power_draw"),
+    "utilization_gpu": T.DoubleType(),
+    "utilization_memory": T.DoubleType(),
+    "memory_total": T.LongType(),
+    "memory_used": T.LongType(),
+    "memory_free": T.LongType(),
+    "memory_percent": T.DoubleType(),
+    "temperature": T.DoubleType(),
+    "power_draw": T.DoubleType(),
 }
 
+# Fixed values.
 HOST = {
-    "run_id": T.StringType(), "timestamp": T.TimestampNTZType(),
-    **_fields(T.DoubleType(), "cpu_percent cpu_percent_max cpu_freq_current load_avg_1min"
-                              " load_avg_5min load_avg_15min memory_percent swap_percent disk_percent"
-                              " disk_read_rate disk_write_rate"),
-    **_fields(T.IntegerType(), "cpu_count_physical cpu_count_logical process_count process_running"
-                               " process_sleeping"),
-    **_fields(T.LongType(), "memory_total memory_available memory_used memory_free memory_cached"
-                            " memory_buffers swap_total swap_used swap_free disk_total disk_used"
-                            " disk_free disk_read_count disk_write_count disk_read_bytes"
-                            " disk_write_bytes disk_read_time disk_write_time network_bytes_sent"
-                            " network_bytes_recv network_packets_sent network_packets_recv"
-                            " network_errin network_errout network_dropin network_dropout"),
-    **_fields(T.DoubleType(), "gpu_util gpu_memory_used gpu_memory_total gpu_temperature"),
+    "run_id": T.StringType(),
+    "timestamp": T.TimestampNTZType(),
+    "cpu_percent": T.DoubleType(),
+    "cpu_percent_max": T.DoubleType(),
+    "cpu_freq_current": T.DoubleType(),
+    "load_avg_1min": T.DoubleType(),
+    "load_avg_5min": T.DoubleType(),
+    "load_avg_15min": T.DoubleType(),
+    "memory_percent": T.DoubleType(),
+    "swap_percent": T.DoubleType(),
+    "disk_percent": T.DoubleType(),
+    "disk_read_rate": T.DoubleType(),
+    "disk_write_rate": T.DoubleType(),
+    "cpu_count_physical": T.IntegerType(),
+    "cpu_count_logical": T.IntegerType(),
+    "process_count": T.IntegerType(),
+    "process_running": T.IntegerType(),
+    "process_sleeping": T.IntegerType(),
+    "memory_total": T.LongType(),
+    "memory_available": T.LongType(),
+    "memory_used": T.LongType(),
+    "memory_free": T.LongType(),
+    "memory_cached": T.LongType(),
+    "memory_buffers": T.LongType(),
+    "swap_total": T.LongType(),
+    "swap_used": T.LongType(),
+    "swap_free": T.LongType(),
+    "disk_total": T.LongType(),
+    "disk_used": T.LongType(),
+    "disk_free": T.LongType(),
+    "disk_read_count": T.LongType(),
+    "disk_write_count": T.LongType(),
+    "disk_read_bytes": T.LongType(),
+    "disk_write_bytes": T.LongType(),
+    "disk_read_time": T.LongType(),
+    "disk_write_time": T.LongType(),
+    "network_bytes_sent": T.LongType(),
+    "network_bytes_recv": T.LongType(),
+    "network_packets_sent": T.LongType(),
+    "network_packets_recv": T.LongType(),
+    "network_errin": T.LongType(),
+    "network_errout": T.LongType(),
+    "network_dropin": T.LongType(),
+    "network_dropout": T.LongType(),
+    "gpu_util": T.DoubleType(),
+    "gpu_memory_used": T.DoubleType(),
+    "gpu_memory_total": T.DoubleType(),
+    "gpu_temperature": T.DoubleType(),
 }
 
+# Fixed values.
 RECORD = {
-    "run_id": T.StringType(), "timestamp": T.TimestampNTZType(), "line_no": T.LongType(),
-    **_fields(T.LongType(), "step anomaly_step"),
-    **_fields(T.DoubleType(), "loss learning_rate throughput step_time eval_loss eval_accuracy eval_f1"
-                              " eval_precision eval_recall"),
-    **_fields(T.StringType(), "metric_type phase anomaly_type anomaly_value raw_line"),
-    **_fields(T.IntegerType(), "event_nan_loss event_oom event_high_loss event_error event_warning"),
+    "run_id": T.StringType(),
+    "timestamp": T.TimestampNTZType(),
+    "line_no": T.LongType(),
+    "step": T.LongType(),
+    "anomaly_step": T.LongType(),
+    "loss": T.DoubleType(),
+    "learning_rate": T.DoubleType(),
+    "throughput": T.DoubleType(),
+    "step_time": T.DoubleType(),
+    "eval_loss": T.DoubleType(),
+    "eval_accuracy": T.DoubleType(),
+    "eval_f1": T.DoubleType(),
+    "eval_precision": T.DoubleType(),
+    "eval_recall": T.DoubleType(),
+    "metric_type": T.StringType(),
+    "phase": T.StringType(),
+    "anomaly_type": T.StringType(),
+    "anomaly_value": T.StringType(),
+    "raw_line": T.StringType(),
+    "event_nan_loss": T.IntegerType(),
+    "event_oom": T.IntegerType(),
+    "event_high_loss": T.IntegerType(),
+    "event_error": T.IntegerType(),
+    "event_warning": T.IntegerType(),
 }
 
 
+def headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Files by their header, the first line of each; one pass over the lines, none is parsed."""
+    # The first split of a file begins with it, and a task reads a split in order.
+    lines = spark.read.text(path).where(F.col("_metadata.file_block_start") == 0).select(
+        F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("row"))
+    first = lines.groupBy("file").agg(F.min_by("value", "row").alias("header"))
+    out: dict[str, list[str]] = {}
+    # A name per file, which the driver lists to plan a scan anyway.
+    for row in first.orderBy("file").collect():
+        out.setdefault(row["header"], []).append(row["file"])
+    return out
+
+
 def scan_csv(spark: SparkSession, path: str, known: dict[str, T.DataType]) -> DataFrame:
-    """CSV files of one layout. Only the header is read ahead, to order the schema.
+    """CSV files of one kind, whose columns and their order may differ from file to file.
 
-    Column groups may be absent; columns without a known type are read as text.
-    Files whose header differs fail instead of being read into wrong columns.
+    Files with one header are read together with its schema, and the classes are united by
+    name: columns that some files lack are null in their rows. Columns without a known type
+    are read as text.
     """
-    header = spark.read.option("header", True).csv(path).columns
-    schema = T.StructType([T.StructField(c, known.get(c, T.StringType())) for c in header])
-    return (
-        spark.read.schema(schema)
-        .options(header=True, enforceSchema=False, mode="PERMISSIVE")
-        .csv(path)
-    )
+    classes = headers(spark, path)
+    if not classes:
+        raise ValueError(f"no lines below {path}")
+    parts = []
+    for header, files in classes.items():
+        if len(classes) == 1:
+            files = [path]
+        names = spark.read.option("header", True).csv(spark.sparkContext.parallelize([header], 1)).columns
+        schema = T.StructType([T.StructField(c, known.get(c, T.StringType())) for c in names])
+        parts.append(spark.read.schema(schema).options(header=True, enforceSchema=False, mode="PERMISSIVE").csv(files))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def device_query_rows(lines: DataFrame, line: str = "line") -> DataFrame:

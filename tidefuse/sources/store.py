@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from datetime import datetime
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,30 +87,62 @@ def global_index(index: DataFrame) -> DataFrame:
     )
 
 
+#: Casts that lose nothing, by the type that is stored.
+WIDER = {
+    "smallint": ("tinyint",), "int": ("tinyint", "smallint"), "bigint": ("tinyint", "smallint", "int"),
+    "float": ("tinyint", "smallint"), "double": ("tinyint", "smallint", "int", "float"),
+    "timestamp_ntz": ("date",),
+}
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def fitted(df: DataFrame, root: str) -> DataFrame:
+    """``df`` in the types in which the dataset stores its columns; what would lose values is an error.
+
+    Columns that the dataset lacks are new ones and are null in its other batches.
+    """
+    if not _exists(df.sparkSession, f"{root}/data"):
+        return df
+    stored = dict(read(df.sparkSession, root).dtypes)
+    types = dict(df.dtypes)
+    void = [c for c, t in types.items() if t == "void"]
+    other = {c: t for c, t in types.items() if c in stored and c not in void and t != stored[c] and c != "batch_id"}
+    if lossy := [f"{c} is {t}, stored as {stored[c]}" for c, t in other.items() if t not in WIDER.get(stored[c], ())]:
+        raise ValueError(f"batch does not fit the dataset: {'; '.join(sorted(lossy))}")
+    return df.withColumns({c: F.col(c).cast(stored[c]) for c in [*other, *[c for c in void if c in stored]]})
+
+
 def append(
     df: DataFrame, root: str, chunk_rows: int = CHUNK_ROWS, batch_ids: Sequence[str] | None = None
 ) -> None:
     """Write the batches of ``df``; a batch written again replaces itself.
 
-    Rebalancing splits a dominant batch over tasks and joins up small ones. The
-    index is made from the written batches alone. A caller who knows their ids
-    names them, else ``df`` is asked for them a second time. Rows without a
-    batch, or outside of the named ones, are an error.
+    Types are compared with the stored ones before anything is written, and the writing
+    itself is given up as a whole on an error, so a bad batch leaves the dataset as it was.
+    Rebalancing splits a dominant batch over tasks and joins up small ones. The index is
+    made from the written batches, whose ids are taken down while they are written.
+    Rows without a batch, or outside of those named in ``batch_ids``, are an error.
     """
     known = F.col("batch_id").isin(*batch_ids) if batch_ids is not None else F.lit(True)
-    df = df.withColumn("batch_id", F.when(F.col("batch_id").isNotNull() & known, F.col("batch_id")).otherwise(
-        F.raise_error(F.concat(F.lit("batch not named: "), F.coalesce(F.col("batch_id").cast("string"), F.lit("null"))))))
+    df = fitted(df, root).withColumn("batch_id", F.when(
+        F.col("batch_id").isNotNull() & known, F.col("batch_id").cast("string")).otherwise(F.raise_error(
+            F.concat(F.lit("batch not named: "), F.coalesce(F.col("batch_id").cast("string"), F.lit("null"))))))
+    seen = Observation()
     (
-        df.hint("rebalance", "batch_id").write.mode("overwrite")
+        df.observe(seen, F.collect_set("batch_id").alias("ids")).hint("rebalance", "batch_id").write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", chunk_rows).option("compression", "zstd")
         .partitionBy("batch_id").parquet(f"{root}/data")
     )
-    written = read(df.sparkSession, root)
-    if batch_ids is not None:
-        written = written.where(F.col("batch_id").isin(*batch_ids))
-    else:
-        written = written.join(df.select("batch_id").distinct(), "batch_id", "left_semi")
+    # One id per folder that was written, which the driver has listed anyway.
+    ids = sorted(seen.get["ids"] or [])
+    if not ids:
+        return
+    written = read(df.sparkSession, root).where(F.col("batch_id").isin(*ids))
     (
         batch_index(written).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -118,6 +150,30 @@ def append(
     )
 
 
+def add_batches(df: DataFrame, root: str, name: str, required: Sequence[str] = ("timestamp",),
+                chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Check, clean, write and index batches of a dataset of the catalog below ``root``; its new totals.
+
+    A dataset that the catalog lacks, a required column that the batch lacks, or a type that does not
+    fit is an error before a byte is written.
+    """
+    spark = df.sparkSession
+    entry = catalog(spark, root).where(F.col("name") == name).first()
+    if entry is None:
+        raise ValueError(f"no dataset {name} below {root}")
+    if missing := [c for c in ("batch_id", *required) if c not in df.columns]:
+        raise ValueError(f"batch lacks columns {missing}")
+    folder = f"{root}/datasets/{name}"
+    append(prepare(df, entry["schema"]), folder, chunk_rows)
+    global_index(read_index(spark, folder)).write.mode("overwrite").parquet(f"{folder}/totals")
+    return totals(spark, root, name)
+
+
+def totals(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """Batches, time range, rows and anomalies of a dataset as of its last batch."""
+    return spark.read.parquet(f"{root}/datasets/{name}/totals")
+
+
 def _read(spark: SparkSession, path: str, **options: object) -> DataFrame:
     """Parquet by batch, with batch ids as the text they were written as ('007' is no 7)."""
     found = spark.read.options(mergeSchema=True, **options).parquet(path).schema

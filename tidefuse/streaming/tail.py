@@ -57,3 +57,31 @@ def slot_counts(stream: DataFrame, granularity: float, late: str = "10 minutes",
         .agg(F.count("*").alias("n"))
         .select("run_id", F.col("window.start").cast("timestamp_ntz").alias("slot"), kind, "n")
     )
+
+
+def slot_partials(
+    stream: DataFrame, path: str, granularity: float, kind: str = "event_type",
+    trigger: Mapping[str, object] | None = None,
+) -> StreamingQuery:
+    """Counts per run, slot and kind of each micro-batch, in a folder of its own below ``path``.
+
+    However late a row is, its batch counts it: ``read_slots`` sums up. A batch that is repeated
+    after a failure writes its folder anew, so nothing is counted twice.
+    """
+    width = f"{us_of(granularity)} microseconds"
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        timed = batch.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+        timed.groupBy(F.window("timestamp", width), "run_id", kind).agg(F.count("*").alias("n")).select(
+            "run_id", F.col("window.start").cast("timestamp_ntz").alias("slot"), kind, "n",
+        ).write.mode("overwrite").parquet(f"{path}/partials/epoch={epoch}")
+
+    return (
+        stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/checkpoint")
+        .trigger(**(trigger or {"processingTime": "5 seconds"})).start()
+    )
+
+
+def read_slots(spark: SparkSession, path: str, kind: str = "event_type") -> DataFrame:
+    """The counts so far, late rows included."""
+    return spark.read.parquet(f"{path}/partials").groupBy("run_id", "slot", kind).agg(F.sum("n").alias("n"))

@@ -162,6 +162,18 @@ def routed(ev: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     )
 
 
+def routed_two(ev: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each event goes to the host or to the log; there are no devices."""
+    log = F.col("event_type").isin("signup", "error")
+    return hosts(ev.where(~log)), records(ev.where(log))
+
+
+SQL_ROUTED_TWO = ",\n".join([
+    EV,
+    "ev_host AS (SELECT * FROM ev WHERE event_type NOT IN ('signup', 'error'))",
+    "ev_rec AS (SELECT * FROM ev WHERE event_type IN ('signup', 'error'))",
+    sql_hosts("ev_host"), sql_records("ev_rec"),
+])
 SQL_ROUTED = ",\n".join([
     EV,
     "ev_dev AS (SELECT * FROM ev WHERE event_type IN ('view', 'click'))",
@@ -225,11 +237,12 @@ def sql_slots(source: str, name: str, numbers: list[str], texts: tuple[str, ...]
   FROM {source} GROUP BY 1, 2)"""
 
 
+SQL_HOST_ROLLUP = ("host_roll AS (SELECT run_id, timestamp, cpu_percent AS sys_cpu_percent,"
+                   " memory_percent AS sys_memory_percent, disk_percent AS sys_disk_percent, state AS sys_state FROM host)")
 SQL_ALIGNED = ",\n".join([
     SQL_ROUTED,
     sql_device_rollup(), sql_record_rollup(),
-    "host_roll AS (SELECT run_id, timestamp, cpu_percent AS sys_cpu_percent,"
-    " memory_percent AS sys_memory_percent, disk_percent AS sys_disk_percent, state AS sys_state FROM host)",
+    SQL_HOST_ROLLUP,
     f"""span AS (
   SELECT run_id, min(epoch_us(timestamp)) // {HOUR_US} * {HOUR_US} AS lo, {sql_ceil('max(epoch_us(timestamp))')} AS hi
   FROM (SELECT run_id, timestamp FROM dev UNION ALL SELECT run_id, timestamp FROM host

@@ -10,9 +10,9 @@ from tidefuse.operators import align, features, fill, matrix, quality, rollup
 from tidefuse.plans.fusion import fused_series, labelled_matrix
 from workload.base import (
     BLOCK_SLOTS, DEVICE_COLUMNS, EV, EVENT_COLUMNS, HOST_NUMBERS, HOUR, HOUR_US, RECORD_NUMBERS,
-    SQL_ALIGNED, SQL_ROUTED, TEN, W_AHEAD, W_BACK, devices, events, hosts, query, r6, records, rounded,
-    routed, sql_devices, sql_device_rollup, sql_filled, sql_hosts, sql_record_rollup, sql_records,
-    sql_round, sql_ceil,
+    SQL_ALIGNED, SQL_HOST_ROLLUP, SQL_ROUTED_TWO, TEN, W_AHEAD, W_BACK, devices, events, hosts, query, r6,
+    records, rounded, routed, routed_two, sql_devices, sql_device_rollup, sql_filled, sql_hosts,
+    sql_record_rollup, sql_records, sql_round, sql_ceil, sql_slots,
 )
 
 NUMBERS = DEVICE_COLUMNS + HOST_NUMBERS + RECORD_NUMBERS
@@ -171,23 +171,26 @@ def align_sources(spark, sf_dir):
     return rounded(aligned(spark, sf_dir))
 
 
-@query("align_two_sources", f"""WITH {SQL_ALIGNED}, two_span AS (
+@query("align_two_sources", f"""WITH {SQL_ROUTED_TWO}, {sql_record_rollup()}, {SQL_HOST_ROLLUP},
+{sql_slots("host_roll", "host_slot", HOST_NUMBERS, ("sys_state",))}, {sql_slots("rec_roll", "rec_slot", RECORD_NUMBERS)},
+two_span AS (
   SELECT run_id, min(us) // {HOUR_US} * {HOUR_US} AS lo, {sql_ceil('max(us)')} AS hi
   FROM (SELECT run_id, us FROM host UNION ALL SELECT run_id, epoch_us(timestamp) FROM rec) GROUP BY 1),
 two AS (SELECT run_id, unnest(range(lo, hi + {HOUR_US}, {HOUR_US})) AS slot FROM two_span)
-SELECT run_id, {SLOT_TS}, {', '.join(r6(c) for c in HOST_NUMBERS + RECORD_NUMBERS)}
+SELECT run_id, {SLOT_TS}, {', '.join(r6(c) for c in HOST_NUMBERS + RECORD_NUMBERS)}, sys_state
 FROM two LEFT JOIN host_slot USING (run_id, slot) LEFT JOIN rec_slot USING (run_id, slot)""")
 def align_two_sources(spark, sf_dir):
-    """The device source is absent; the others are aligned all the same."""
-    (_, host, rec), _ = rolled(spark, sf_dir)
-    out = align.align([host, rec], HOUR, BLOCK_SLOTS)
-    return rounded(out.select("run_id", "timestamp", *HOST_NUMBERS, *RECORD_NUMBERS))
+    """All events as host samples or log records: the device source is absent, the others are aligned all the same."""
+    host, rec = routed_two(events(spark, sf_dir))
+    sources = [rollup.host_samples(host), rollup.training_rollup(rec, "line_no")]
+    out = align.align(sources, HOUR, BLOCK_SLOTS, align.time_span([host, rec]))
+    return rounded(out.select("run_id", "timestamp", *HOST_NUMBERS, *RECORD_NUMBERS, "sys_state"))
 
 
 OUTER_WINDOW = "PARTITION BY run_id ORDER BY timestamp, line_no NULLS FIRST"
 
 
-@query("outer_fuse", f"""WITH {SQL_ROUTED}, host10 AS (
+@query("outer_fuse", f"""WITH {SQL_ROUTED_TWO}, host10 AS (
   SELECT run_id, make_timestamp(us - us % 600000000) AS timestamp, max(cpu_percent) AS cpu_percent FROM host GROUP BY 1, 2),
 joined AS (SELECT run_id, timestamp, cpu_percent, line_no, loss FROM host10 FULL JOIN rec USING (run_id, timestamp))
 SELECT run_id, timestamp, line_no,
@@ -197,7 +200,7 @@ SELECT run_id, timestamp, line_no,
     first_value(loss IGNORE NULLS) OVER ({OUTER_WINDOW} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS loss
 FROM joined""")
 def outer_fuse(spark, sf_dir):
-    _, host, rec = routed(events(spark, sf_dir))
+    host, rec = routed_two(events(spark, sf_dir))
     host10 = host.groupBy(
         "run_id", timeops.from_micros(timeops.floor_us(timeops.micros("timestamp"), 600_000_000)).alias("timestamp")
     ).agg(F.max("cpu_percent").alias("cpu_percent"))
@@ -364,6 +367,23 @@ def rolling_features(spark, sf_dir):
     )
 
 
+@query("rolling_features_long", f"""WITH {SQL_ALIGNED}, {sql_filled()}
+SELECT run_id, {SLOT_TS}, round(avg(sys_cpu_percent) OVER w, 6) AS sys_cpu_percent_moving_average,
+  round(CASE WHEN count(*) OVER w > 1 THEN stddev_samp(sys_cpu_percent) OVER w END, 4) AS sys_cpu_percent_standard_deviation,
+  round(CASE WHEN first_value(train_step) OVER w = 0 THEN 0 ELSE train_step / first_value(train_step) OVER w - 1 END, 6) AS train_step_rate_of_change
+FROM filled WINDOW w AS (PARTITION BY run_id ORDER BY slot RANGE BETWEEN 432000000000 PRECEDING AND CURRENT ROW)""")
+def rolling_features_long(spark, sf_dir):
+    """The last five days, over blocks of two: from running sums."""
+    series = filled(spark, sf_dir).select("run_id", "timestamp", "sys_cpu_percent", "train_step")
+    out = features.rolling_features(series, ["sys_cpu_percent", "train_step"], HOUR, 120 * HOUR, BLOCK_SLOTS)
+    change = F.col("train_step_rate_of_change")
+    return out.select(
+        "run_id", "timestamp", F.round("sys_cpu_percent_moving_average", 6).alias("sys_cpu_percent_moving_average"),
+        F.round("sys_cpu_percent_standard_deviation", 4).alias("sys_cpu_percent_standard_deviation"),
+        F.round(F.when(F.abs(change) == float("inf"), 0.0).otherwise(change), 6).alias("train_step_rate_of_change"),
+    )
+
+
 @query("counter_rate", f"""WITH {EV}, c AS (
   SELECT run_id, user_id, event_id, us, CAST(event_id % 1000 AS BIGINT) AS bytes,
     lag(event_id % 1000) OVER (PARTITION BY user_id ORDER BY timestamp, event_id) AS pb,
@@ -435,9 +455,9 @@ SQL_MATRIX = f"""{SQL_DERIVED}, clean AS (
   FROM derived)"""
 
 
-def event_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_matrix(spark: SparkSession, sf_dir: str, **choices: object) -> DataFrame:
     dev, host, rec = routed(events(spark, sf_dir))
-    return labelled_matrix(dev, host, rec, granularity=HOUR, block_slots=BLOCK_SLOTS, device_ids=4)
+    return labelled_matrix(dev, host, rec, granularity=HOUR, block_slots=BLOCK_SLOTS, device_ids=4, **choices)
 
 
 @query("feature_matrix", f"""{SQL_MATRIX}
@@ -508,3 +528,18 @@ def cardinality_profile(spark, sf_dir):
 
     ev = table(spark, sf_dir, "events").withColumn("key", F.col("event_id").cast("string"))
     return rounded(quality.cardinality_profile(ev, ["event_type", "props", "key"]))
+
+
+@query("cardinality_sketch", """WITH e AS (SELECT *, CAST(event_id AS VARCHAR) AS key, CAST(event_id // 2 AS VARCHAR) AS half FROM events),
+c AS (SELECT count(*) AS n, count(DISTINCT event_type) AS a, count(DISTINCT key) AS d, count(DISTINCT half) AS h FROM e)
+SELECT 'event_type' AS feature, a / n < 0.5 AS is_category FROM c UNION ALL SELECT 'key', d / n < 0.5 FROM c
+UNION ALL SELECT 'half', h / n < 0.5 FROM c""")
+def cardinality_sketch(spark, sf_dir):
+    """From sketches per day, united; the column whose share is at the limit is counted exactly."""
+    from workload.base import table
+
+    ev = table(spark, sf_dir, "events").select(
+        F.to_date("ts").alias("batch_id"), "event_type", F.col("event_id").cast("string").alias("key"),
+        F.floor(F.col("event_id") / 2).cast("string").alias("half"))
+    columns = ["event_type", "key", "half"]
+    return quality.settled_profile(ev, quality.distinct_sketches(ev, columns), columns).select("feature", "is_category")

@@ -14,11 +14,12 @@ from tidefuse.functions.timeops import floor_us, from_micros, micros
 from tidefuse.operators import alerts, fill, labels, rollup
 from tidefuse.operators import faults as fault_ops
 from workload.base import (
-    BLOCK_SLOTS, EV, HOUR, SQL_ALIGNED, W_BACK, events, query, rounded, sql_filled,
+    BLOCK_SLOTS, EV, HOUR, SQL_ALIGNED, W_BACK, events, query, r6, rounded, sql_filled,
 )
-from workload.fusion import aligned, filled
+from workload.fusion import CLEAN, DERIVED_SQL, MATRIX_COLUMNS, SLOT_TS, aligned, event_matrix, filled
 
 EPOCH_US = 1_704_067_200_000_000  # 2024-01-01, start of all runs
+NEVER = 9_000_000_000_000_000_000
 
 
 def run_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,13 +45,19 @@ SQL_WINDOWS = f"""{EV}, starts AS (SELECT run_id, epoch_us(date_trunc('day', min
 fault AS (SELECT run_id, 'fault_' || event_id AS fault_name, event_id,
     CASE k % 4 WHEN 0 THEN 'nan_loss' WHEN 1 THEN 'oom' WHEN 2 THEN 'io_bottleneck' ELSE 'process_termination' END AS fault_type,
     us - {EPOCH_US} AS delay_us, k * 60000000 AS length_us FROM ev WHERE event_type = 'error'),
-win AS (SELECT run_id, fault_name, fault_type, st + delay_us AS lo,
-    st + delay_us + CASE WHEN length_us > 0 THEN length_us ELSE 10000000 END AS hi FROM fault JOIN starts USING (run_id))"""
+win AS (SELECT CASE WHEN event_id % 397 <> 2 THEN run_id END AS run_id, fault_name, fault_type,
+    CASE WHEN event_id % 397 <> 1 THEN st + delay_us END AS lo, CASE WHEN event_id % 397 = 0 THEN {NEVER}
+    ELSE st + delay_us + CASE WHEN length_us > 0 THEN length_us ELSE 10000000 END END AS hi FROM fault JOIN starts USING (run_id))"""
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of all faults; a few have no end, no start or no run."""
     normal = fault_ops.normalize(flat=schedule(spark, sf_dir))
-    return fault_ops.time_windows(normal, run_starts(spark, sf_dir))
+    found = fault_ops.time_windows(normal, run_starts(spark, sf_dir))
+    odd = F.substring("fault_name", 7, 20).cast("long") % 397
+    return found.withColumns({
+        "end_ts": F.when(odd != 0, F.col("end_ts")), "start_ts": F.when(odd != 1, F.col("start_ts")),
+        "run_id": F.when(odd != 2, F.col("run_id"))})
 
 
 @query("label_fault_windows", f"""WITH {SQL_WINDOWS}
@@ -109,10 +116,11 @@ def label_step_windows(spark, sf_dir):
 
 
 @query("fault_coverage", f"""WITH {SQL_WINDOWS}
-SELECT win.run_id, fault_name AS fault_id, count(event_id) AS points FROM win
+SELECT coalesce(win.run_id, '') AS run_id, substr(fault_name, 1, 9) AS fault_id, count(event_id) AS points FROM win
 LEFT JOIN ev ON ev.run_id = win.run_id AND us BETWEEN lo AND hi GROUP BY 1, 2""")
 def fault_coverage(spark, sf_dir):
-    named = windows(spark, sf_dir).withColumnRenamed("fault_name", "fault_id")
+    """Faults whose names begin alike share an id, so their windows add up."""
+    named = windows(spark, sf_dir).withColumn("fault_id", F.substring("fault_name", 1, 9))
     return labels.fault_coverage(events(spark, sf_dir), named)
 
 
@@ -126,6 +134,21 @@ def label_events(spark, sf_dir):
     return out.select("run_id", "timestamp", "is_anomaly")
 
 
+@query("labelled_matrix", f"""WITH {SQL_WINDOWS}, {SQL_ALIGNED.removeprefix(EV + ',')}, {sql_filled()}, {DERIVED_SQL}, clean AS (
+  SELECT run_id, {SLOT_TS}, {CLEAN}, CASE WHEN event_error > 0 OR event_warning > 0 OR EXISTS (SELECT 1 FROM win
+    WHERE win.run_id = derived.run_id AND slot BETWEEN win.lo - 5000000 AND win.hi + 10000000) THEN 1 ELSE 0 END AS is_anomaly,
+  avg(gpu_power_draw) OVER w AS gpu_power_draw_moving_average,
+  CASE WHEN count(*) OVER w > 1 THEN stddev_samp(gpu_power_draw) OVER w ELSE 0 END AS gpu_power_draw_standard_deviation
+  FROM derived WINDOW w AS (PARTITION BY run_id ORDER BY slot RANGE BETWEEN 10800000000 PRECEDING AND CURRENT ROW))
+SELECT run_id, timestamp, {', '.join(r6(c) for c in MATRIX_COLUMNS)}, round(gpu_power_draw_moving_average, 4) AS gpu_power_draw_moving_average,
+  round(gpu_power_draw_standard_deviation, 4) AS gpu_power_draw_standard_deviation, is_anomaly FROM clean""")
+def labelled_matrix(spark, sf_dir):
+    """The whole way with fault windows, their margins and rolling features."""
+    out = event_matrix(spark, sf_dir, windows=windows(spark, sf_dir), margins=(5.0, 10.0), rolling=["gpu_power_draw"], window=3 * HOUR)
+    rolled = ["gpu_power_draw_moving_average", "gpu_power_draw_standard_deviation"]
+    return rounded(out.drop("gpu_power_draw_rate_of_change").withColumns({c: F.round(c, 4) for c in rolled}))
+
+
 @query("fault_normalize", f"""WITH {EV}, f AS (SELECT * FROM ev WHERE event_type = 'error')
 SELECT run_id, 'fault_' || event_id AS fault_name,
   CASE k % 4 WHEN 0 THEN 'nan_loss' WHEN 1 THEN 'oom' WHEN 2 THEN 'io_bottleneck' ELSE 'process_termination' END AS fault_type,
@@ -134,17 +157,20 @@ SELECT run_id, 'fault_' || event_id AS fault_name,
 UNION ALL SELECT run_id, CASE WHEN k = 90 AND event_id > 5000 THEN 'non_convergence' ELSE 'nan_loss' END,
   CASE WHEN k = 90 AND event_id > 5000 THEN 'non_convergence' ELSE 'nan_loss' END, 'step', NULL, event_id,
   CASE WHEN k <> 0 THEN CAST(k AS DOUBLE) END FROM f WHERE k % 10 = 0
-UNION ALL SELECT run_id, 'io_bottleneck', 'io_bottleneck', 'time', CAST(k AS DOUBLE), NULL, 60.0 FROM ev WHERE event_type = 'click'
-UNION ALL SELECT run_id, 'oom', 'oom', 'time', CAST(k + 1 AS DOUBLE), NULL, 30.0 FROM ev WHERE event_type = 'view'""")
+UNION ALL SELECT CASE WHEN event_type = 'click' THEN run_id END, 'io_bottleneck', 'io_bottleneck', 'time', CAST(k AS DOUBLE), NULL,
+  CASE WHEN event_type = 'click' THEN 60.0 END FROM ev WHERE event_type IN ('click', 'purchase')
+UNION ALL SELECT run_id, event_type, 'oom', 'time', CAST(k + 1 AS DOUBLE), NULL, 30.0 FROM ev WHERE event_type IN ('view', 'signup')""")
 def fault_normalize(spark, sf_dir):
+    """All events as faults of four shapes; purchases name neither a run nor a duration."""
     ev = events(spark, sf_dir)
-    timed = ev.where("event_type = 'click'").select(
-        "run_id", F.lit("io_bottleneck").alias("fault_type"), F.col("k").cast("double").alias("injection_time"),
-        F.lit(60.0).alias("duration"),
+    named = F.col("event_type") == "click"
+    timed = ev.where(F.col("event_type").isin("click", "purchase")).select(
+        F.when(named, F.col("run_id")).alias("run_id"), F.lit("io_bottleneck").alias("fault_type"),
+        F.col("k").cast("double").alias("injection_time"), F.when(named, 60.0).alias("duration"),
     )
-    listed = ev.where("event_type = 'view'").select(
-        "run_id", F.lit("oom").alias("fault_type"), (F.col("k") + 1).cast("double").alias("delay"),
-        F.lit(30.0).alias("duration"),
+    listed = ev.where(F.col("event_type").isin("view", "signup")).select(
+        "run_id", F.col("event_type").alias("fault_name"), F.lit("oom").alias("fault_type"),
+        (F.col("k") + 1).cast("double").alias("delay"), F.lit(30.0).alias("duration"),
     )
     normal = fault_ops.normalize(schedule(spark, sf_dir), step_schedule(spark, sf_dir), timed, listed)
     return rounded(normal.drop("params"))

@@ -12,7 +12,7 @@ from tidefuse.functions import texts
 from tidefuse.operators import rollup
 from tidefuse.plans import experiments
 from tidefuse.session import scratch_path
-from tidefuse.sources import files, registry, samples, store
+from tidefuse.sources import files, registry, rotate, samples, store
 from workload.base import (
     EV, devices, events, hosts, query, r6, records, rounded, sql_devices, sql_hosts, sql_records, table,
 )
@@ -34,9 +34,13 @@ def scan_gpu(spark, sf_dir):
 
 
 @query("scan_system", f"""WITH {EV}, {sql_hosts()} SELECT run_id, timestamp, cpu_percent AS sys_cpu_percent,
-  memory_percent AS sys_memory_percent, disk_percent AS sys_disk_percent, state AS sys_state FROM host""")
+  memory_percent AS sys_memory_percent, disk_percent AS sys_disk_percent, CASE WHEN cpu_percent < 20 THEN state END AS sys_state FROM host""")
 def scan_system(spark, sf_dir):
-    path = csv_copy(hosts(events(spark, sf_dir)), "system")
+    """Two kinds of files in one folder: of different columns, in different order."""
+    host = hosts(events(spark, sf_dir))
+    path = csv_copy(host.where("cpu_percent < 20"), "system")
+    other = host.where("NOT cpu_percent < 20").select("disk_percent", "timestamp", "run_id", "cpu_percent", "memory_percent")
+    other.write.options(header=True, **TIME_FORMAT).mode("append").csv(path)
     return rollup.host_samples(samples.scan_csv(spark, path, samples.HOST))
 
 
@@ -78,35 +82,43 @@ def parse_device_csv(spark, sf_dir):
 # --- run folders ------------------------------------------------------------------
 
 def run_folders(spark: SparkSession, sf_dir: str) -> str:
-    """A folder per user with up to three source files, written by Spark."""
+    """A folder per user with up to three source files, written by Spark; some runs left an empty folder."""
     root = scratch_path(spark, "runs")
-    ev = events(spark, sf_dir)
-    for i, name in enumerate(files.REQUIRED_FILES):
-        kept = ev.where((F.col("user_id") + i) % 7 != 0) if i else ev
-        kept.select(F.col("user_id").alias("run"), F.concat_ws(",", "event_id", "value").alias("value")) \
-            .repartition("run").write.partitionBy("run").text(f"{root}/{name}")
+    ev = events(spark, sf_dir).withColumns({"run": F.col("user_id"), "value": F.concat_ws(",", "event_id", "k")})
+    names = F.array(*map(F.lit, files.REQUIRED_FILES))
+    held = F.filter(names, lambda x, i: ((i == 0) | ((F.col("user_id") + i) % 7 != 0)))
+    rows = ev.where("user_id % 11 <> 5").select("run", F.explode(held).alias("file"), "value")
+    rows.repartition("run", "file").write.partitionBy("run", "file").text(root)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for row in ev.where("user_id % 11 = 5").select("run").distinct().collect():
+        folder = hadoop.Path(f"{root}/run={row['run']}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
     return root
 
 
 def as_run_files(spark: SparkSession, root: str) -> DataFrame:
-    """Spark names part files itself; the source folder stands for the file's name."""
-    listed = files.list_files(spark, root)
-    return listed.withColumn("file", F.element_at(F.split("path", "/"), -3)).withColumn(
-        "run_id", F.regexp_extract("path", r"/run=([^/]+)/", 1)
-    )
+    """Spark names part files itself; the folder around one stands for the file's name."""
+    return files.list_files(spark, root).withColumns({
+        "file": F.regexp_extract("path", r"/file=([^/]+)/", 1), "run_id": F.regexp_extract("path", r"/run=([^/]+)/", 1)})
 
 
 @query("run_completeness", """WITH u AS (SELECT DISTINCT user_id FROM events)
-SELECT CAST(user_id AS VARCHAR) AS run_id, concat_ws(',', CASE WHEN (user_id + 1) % 7 = 0 THEN 'system_metrics.csv' END,
-  CASE WHEN (user_id + 2) % 7 = 0 THEN 'training_metrics.csv' END) AS missing,
-  (user_id + 1) % 7 <> 0 AND (user_id + 2) % 7 <> 0 AS complete FROM u""")
+SELECT CAST(user_id AS VARCHAR) AS run_id, CASE WHEN user_id % 11 = 5 THEN 'gpu_metrics.csv,system_metrics.csv,training_metrics.csv'
+  ELSE concat_ws(',', CASE WHEN (user_id + 1) % 7 = 0 THEN 'system_metrics.csv' END,
+  CASE WHEN (user_id + 2) % 7 = 0 THEN 'training_metrics.csv' END) END AS missing,
+  user_id % 11 <> 5 AND (user_id + 1) % 7 <> 0 AND (user_id + 2) % 7 <> 0 AS complete FROM u""")
 def run_completeness(spark, sf_dir):
-    return files.run_completeness(as_run_files(spark, run_folders(spark, sf_dir)))
+    """Runs that left nothing but a folder are reported too."""
+    root = run_folders(spark, sf_dir)
+    runs = files.list_runs(spark, root).select(F.regexp_replace("run_id", "^run=", "").alias("run_id"))
+    return files.run_completeness(as_run_files(spark, root), runs=runs)
 
 
-@query("file_inventory")
+@query("file_inventory", f"""WITH {EV}, lines AS (SELECT user_id, unnest([0, 1, 2]) AS i, strlen(event_id || ',' || k) + 1 AS n FROM ev),
+held AS (SELECT * FROM lines WHERE user_id % 11 <> 5 AND (i = 0 OR (user_id + i) % 7 <> 0))
+SELECT CAST(user_id AS VARCHAR) AS run_id, count(DISTINCT i) AS files, CAST(sum(n) AS BIGINT) AS bytes, 0 AS matrices FROM held GROUP BY 1""")
 def file_inventory(spark, sf_dir):
-    """Files and bytes per run; sizes are Spark's, so there is no SQL."""
+    """Files and bytes per run; a line is its text and a line feed."""
     return files.file_inventory(as_run_files(spark, run_folders(spark, sf_dir)))
 
 
@@ -136,14 +148,32 @@ def stored(spark: SparkSession, sf_dir: str) -> str:
 
 @query("store_append", f"WITH {STORED_SQL} SELECT * FROM stored")
 def store_append(spark, sf_dir):
-    """Two appends, the second one replacing a batch that was written incompletely."""
+    """Three appends: a batch written incompletely, one that is refused for its types, and the whole batch."""
     root = scratch_path(spark, "store")
     rows = stored_rows(spark, sf_dir)
     store.append(rows.where((F.col("batch_id") != "day_20240102") | (F.col("train_step") > 50)), root)
-    store.append(rows.where(F.col("batch_id") == "day_20240102"), root, batch_ids=["day_20240102"])
+    whole = rows.where(F.col("batch_id") == "day_20240102")
+    try:
+        store.append(whole.withColumn("train_loss", F.lit("high")), root)
+    except ValueError:
+        pass
+    else:
+        raise AssertionError("a text is no number")
+    store.append(whole.withColumn("is_anomaly", F.col("is_anomaly").cast("smallint")), root, batch_ids=["day_20240102"])
     return store.read(spark, root)
 
 
+@query("store_totals", f"""WITH {STORED_SQL} SELECT count(DISTINCT batch_id) AS batches, min(timestamp) AS min_timestamp,
+  max(timestamp) AS max_timestamp, count(*) AS total_records, CAST(sum(is_anomaly) AS BIGINT) AS total_anomalies FROM stored""")
+def store_totals(spark, sf_dir):
+    """One call per arrival checks, cleans, writes, indexes and brings the catalog's totals up to date."""
+    root = scratch_path(spark, "catalog")
+    store.create_dataset(spark, root, "runs", {"train_loss": "float", "is_anomaly": "int"})
+    rows = stored_rows(spark, sf_dir)
+    store.add_batches(rows.where(F.col("batch_id") < "day_20240116"), root, "runs")
+    return store.add_batches(rows.where(F.col("batch_id") >= "day_20240116"), root, "runs")
+
+
 @query("scan_batch", f"WITH {STORED_SQL} SELECT event_id, timestamp, train_loss FROM stored WHERE batch_id = 'day_20240110'")
 def scan_batch(spark, sf_dir):
     return store.scan_batch(spark, stored(spark, sf_dir), "day_20240110", ["event_id", "timestamp", "train_loss"])
@@ -161,10 +191,15 @@ def global_index(spark, sf_dir):
     return store.global_index(store.batch_index(stored_rows(spark, sf_dir)))
 
 
-@query("store_info")
+@query("store_info", f"""WITH {STORED_SQL}, per AS (SELECT batch_id, count(*) AS n FROM stored GROUP BY 1)
+SELECT (SELECT count(*) FROM per) AS batches, min(timestamp) AS min_timestamp, max(timestamp) AS max_timestamp,
+  count(*) AS total_records, CAST(sum(is_anomaly) AS BIGINT) AS total_anomalies,
+  (SELECT CAST(sum(ceil(n / 500.0)) AS BIGINT) FROM per) AS file_count, true AS has_bytes FROM stored""")
 def store_info(spark, sf_dir):
-    """Rows, batches, files and bytes; file sizes are Spark's, so there is no SQL."""
-    return store.store_info(spark, stored(spark, sf_dir))
+    """Rows, batches and files; a batch is cut into files of at most 500 rows. Only the bytes are Spark's own."""
+    root = scratch_path(spark, "store")
+    store.append(stored_rows(spark, sf_dir), root, chunk_rows=500)
+    return store.store_info(spark, root).withColumn("has_bytes", F.col("bytes") > 0).drop("bytes")
 
 
 @query("store_drop_batch", f"""WITH {STORED_SQL} SELECT batch_id, count(*) AS n FROM stored
@@ -182,13 +217,15 @@ def store_export(spark, sf_dir):
     return spark.read.schema(rows.schema).json(path)
 
 
-@query("sink_rotation", "SELECT count(*) AS n_rows, true AS bounded FROM events")
+@query("sink_rotation", f"""WITH {EV} SELECT event_id, event_type, true AS bounded FROM ev""")
 def sink_rotation(spark, sf_dir):
-    """Files of at most a thousand rows; counted by the file each row comes from."""
+    """Rows of very different width in files of at most 200,000 bytes; read back with the size of their file."""
     path = scratch_path(spark, "rotated")
-    events(spark, sf_dir).write.option("maxRecordsPerFile", 1000).parquet(path)
-    per_file = spark.read.parquet(path).groupBy(F.col("_metadata.file_path")).agg(F.count("*").alias("n"))
-    return per_file.agg(F.sum("n").alias("n_rows"), (F.max("n") <= 1000).alias("bounded"))
+    wide = events(spark, sf_dir).select("event_id", "event_type", "timestamp", F.expr("repeat('x', CAST(k * 5 AS INT))").alias("pad"))
+    rotate.rotate(wide, path, 200_000, ["timestamp", "event_id"])
+    read = spark.read.text(path).select("value", F.col("_metadata.file_size").alias("n"))
+    fields = F.from_json("value", "event_id long, event_type string").alias("e")
+    return read.select(fields, (F.col("n") <= 200_000).alias("bounded")).select("e.event_id", "e.event_type", "bounded")
 
 
 START, END = datetime(2024, 1, 5, 12), datetime(2024, 1, 9, 6)

@@ -94,9 +94,24 @@ def stream_counter_rate(spark, sf_dir):
     return rounded(counters.read_rates(spark, out).select("event_id", "bytes", "bytes_rate"))
 
 
-@query("stream_slot_counts", f"""WITH {EV}, c AS (SELECT run_id, date_trunc('hour', timestamp) AS slot, event_type, count(*) AS n FROM ev GROUP BY 1, 2, 3)
-SELECT * FROM c WHERE slot + INTERVAL 1 HOUR <= (SELECT max(timestamp) FROM ev) - INTERVAL 10 MINUTE""")
+@query("stream_slot_counts", f"""WITH {EV} SELECT run_id, date_trunc('hour', timestamp) AS slot, event_type, count(*) AS n FROM ev GROUP BY 1, 2, 3""")
 def stream_slot_counts(spark, sf_dir):
+    """Two arrivals; the second one brings rows of all days, long after the first has passed them."""
+    arrivals, out = scratch_path(spark, "arrivals"), scratch_path(spark, "slots")
+    whole = spark.read.schema(EVENT_SCHEMA).parquet(f"{sf_dir}/events.parquet")
+    schema = "event_id long, timestamp timestamp_ntz, event_type string, run_id string"
+    samples = whole.select("event_id", F.col("ts").alias("timestamp"), "event_type",
+                           F.concat(F.lit("run_"), (F.col("user_id") % 8).cast("string")).alias("run_id"))
+    for late in (F.col("event_id") % 5 != 0, F.col("event_id") % 5 == 0):
+        samples.where(late).write.mode("append").parquet(arrivals)
+        stream = spark.readStream.schema(schema).parquet(arrivals)
+        tail.slot_partials(stream, out, 3600, trigger=ONCE).awaitTermination()
+    return tail.read_slots(spark, out)
+
+
+@query("stream_closed_slots", f"""WITH {EV}, c AS (SELECT run_id, date_trunc('hour', timestamp) AS slot, event_type, count(*) AS n FROM ev GROUP BY 1, 2, 3)
+SELECT * FROM c WHERE slot + INTERVAL 1 HOUR <= (SELECT max(timestamp) FROM ev) - INTERVAL 10 MINUTE""")
+def stream_closed_slots(spark, sf_dir):
     """Closed windows only: append mode gives a window out once the watermark has passed it."""
     out = scratch_path(spark, "slots")
     drain(tail.slot_counts(stream_events(spark, sf_dir), 3600), out)
