@@ -5,9 +5,13 @@ function of its hashed byte n-grams' weights; the document's score is their
 noisy-or. Only documents have labels, so the weights are fitted through the
 noisy-or. Sentences with a high score of their own are the offending ones.
 
+A sentence without any telling n-gram scores 0, and sentences below a floor do not add
+up, so a text is not more toxic for being long. Sentences end after ASCII, full-width,
+ideographic and Devanagari marks and at line ends.
+
 Fitting uses at most ``sample`` labelled rows, those with the smallest hashed
-ids. Only n-gram buckets that are far more frequent in toxic documents get
-a weight. Null text is empty and scores 0; so does
+ids, one row of each id. Only n-gram buckets that are far more frequent in toxic
+documents get a weight. Null text is empty and scores 0; so does
 everything when no labelled row of either kind exists. Labels that repeat for
 a document count once, as toxic if any says so.
 """
@@ -24,6 +28,8 @@ from pyspark.sql import functions as F
 from tidefuse.llm.common import slices, text_bytes
 from tidefuse.llm.language import letters
 
+#: Ends of sentences: ASCII, the line's end, the ideographic and full-width ones, the danda.
+ENDS = (b".", b"!", b"?", b"\n", "\u3002".encode(), "\uff01".encode(), "\uff1f".encode(), "\u0964".encode())
 GRAM = 5
 #: Bytes of the beginnings of words that count too, their leading space included.
 BEGINNINGS = (6, 7, 8, 9, 10, 12)
@@ -34,14 +40,21 @@ LEAST_DOCUMENTS = 3
 LEAST_ODDS, LEAST_Z = 2.0, 3.5
 STEPS = 400
 OFFENDING = 0.5
+#: Weight of a clean document against a toxic one in fitting.
+CLEAN = 2.0
+#: Sentences below the floor do not add up; the highest sentence of all adds this share of its score.
+FLOOR, LITTLE = 0.4, 0.05
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First bytes of all sentences, and the text each is in. A sentence ends after . ! ? or a line's end."""
+    """First bytes of all sentences, and the text each is in. A sentence ends after one of ENDS, or a run of them."""
+    stop = np.isin(data, np.frombuffer(b"".join(e for e in ENDS if len(e) == 1), np.uint8))
+    for end in (e for e in ENDS if len(e) == 3):
+        at = np.flatnonzero((data[:-2] == end[0]) & (data[1:-1] == end[1]) & (data[2:] == end[2]))
+        stop[at] = stop[at + 1] = stop[at + 2] = True
     begins = np.zeros(len(data), bool)
-    ends = np.isin(data[:-1], np.frombuffer(b".!?\n", np.uint8))
-    begins[1:] = ends & ~np.isin(data[1:], np.frombuffer(b".!?\n", np.uint8))
+    begins[1:] = stop[:-1] & ~stop[1:]
     begins[offsets[:-1][np.diff(offsets) > 0]] = True
     starts = np.flatnonzero(begins)
     return starts, np.searchsorted(offsets, starts, side="right") - 1
@@ -74,13 +87,14 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def labelled(documents: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
-    """text and label of at most ``sample`` labelled documents."""
+    """text and label of at most ``sample`` labelled documents, one row each: of repeated ids the greatest text."""
     said = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(
         F.max(label).cast("int").alias("label"))
     said = said.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    # At most `sample` rows of two numbers: broadcast, so that no text is shuffled.
-    return texts.join(F.broadcast(said), "doc_id").select("text", "label")
+    # At most `sample` rows of two numbers: broadcast, so that only the sampled documents' texts are shuffled.
+    rows = texts.join(F.broadcast(said), "doc_id").groupBy("doc_id", "label").agg(F.max("text").alias("text"))
+    return rows.select("text", "label")
 
 
 def document_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -154,28 +168,30 @@ def bags(rows: DataFrame, features: np.ndarray) -> list[np.ndarray]:
 
 
 def fit(label, n, document, local, feature, features: int) -> tuple[np.ndarray, float]:
-    """Weights and bias that make noisy-or document scores likely (Adam on the mean log-loss)."""
+    """Weights and bias that make noisy-or document scores likely (Adam on the mean log-loss).
+
+    Sentences without a chosen feature have no part in it, so a bag is no likelier for being long.
+    """
     first = np.cumsum(n) - n
     sentence, place = np.unique(first[document] + local, return_inverse=True)
     owner = np.searchsorted(first, sentence, side="right") - 1
-    empty = n - np.bincount(owner, minlength=len(n))
     w, moment, square = np.zeros(features + 1), np.zeros(features + 1), np.zeros(features + 1)
-    w[-1] = -6.0
+    w[-1] = -4.0
     for step in range(1, STEPS + 1):
         z = np.clip(w[-1] + np.bincount(place, w[feature], minlength=len(sentence)), -30, 30)
         q = 1 / (1 + np.exp(-z))
-        q0 = 1 / (1 + np.exp(-w[-1]))
-        none = np.bincount(owner, np.log1p(-np.minimum(q, 1 - 1e-12)), minlength=len(n)) + empty * np.log1p(-q0)
+        none = np.bincount(owner, np.log1p(-np.minimum(q, 1 - 1e-12)), minlength=len(n))
         p = np.clip(-np.expm1(none), 1e-9, 1)
-        factor = np.where(label > 0, -(1 - p) / p, 1.0) / len(n)  # d loss / d log(1 - q), negated
+        factor = np.where(label > 0, -(1 - p) / p, CLEAN) / len(n)  # d loss / d log(1 - q), negated
+        # A toxic text without any chosen feature cannot be learned from.
         slope = factor[owner] * q
         grad = np.zeros(features + 1)
         grad[:-1] = np.bincount(feature, slope[place], minlength=features) + 1e-5 * w[:-1]
-        grad[-1] = slope.sum() + (factor * empty).sum() * q0
+        grad[-1] = slope.sum()
         moment = 0.9 * moment + 0.1 * grad
         square = 0.999 * square + 0.001 * grad * grad
         w -= 0.1 * (moment / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.999 ** step)) + 1e-8)
-        w[-1] = min(w[-1], -4.0)
+        w[-1] = min(w[-1], -2.0)
     return w[:-1], float(w[-1])
 
 
@@ -193,19 +209,28 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", sample:
 
 
 def batch_scores(batch_text: pa.Array, model: dict):
-    """Document scores; first byte, text and score of every sentence; the texts' bytes and offsets."""
+    """Document scores; first byte, text and score of every sentence; the texts' bytes and offsets.
+
+    A sentence without a chosen feature scores 0. Sentences from ``FLOOR`` on count in the noisy-or; of
+    all, the highest counts once more for a little, so that no length of clean ones adds up to a verdict.
+    """
     data, offsets = text_bytes(batch_text)
     n = len(offsets) - 1
     starts, text = sentences(data, offsets)
-    if not len(starts):
-        return np.zeros(n), starts, text, np.zeros(0), data, offsets
+    if not len(starts) or not np.isfinite(model["bias"]):
+        return np.zeros(n), starts, text, np.zeros(len(starts)), data, offsets
     gram, at = grams(data, offsets)
     weight = model["weights"][gram]
     at, weight = at[weight != 0], weight[weight != 0]
-    z = model["bias"] + np.bincount(np.searchsorted(starts, at, side="right") - 1, weight, minlength=len(starts))
-    q = 1 / (1 + np.exp(-np.clip(z, -30, 30))) if np.isfinite(model["bias"]) else np.zeros(len(starts))
-    none = np.bincount(text, np.log1p(-np.minimum(q, 1 - 1e-12)), minlength=n)
-    return -np.expm1(none), starts, text, q, data, offsets
+    sentence = np.searchsorted(starts, at, side="right") - 1
+    z = model["bias"] + np.bincount(sentence, weight, minlength=len(starts))
+    some = np.bincount(sentence, minlength=len(starts)) > 0
+    q = np.where(some, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
+    above = np.where(q >= FLOOR, np.minimum(q, 1 - 1e-12), 0.0)
+    none = np.bincount(text, np.log1p(-above), minlength=n)
+    highest = np.zeros(n)
+    np.maximum.at(highest, text, q)
+    return 1 - np.exp(none) * (1 - LITTLE * highest), starts, text, q, data, offsets
 
 
 def score(documents: DataFrame, model: dict, held_out: Column, threshold: float = 0.7) -> DataFrame:
