@@ -15,7 +15,7 @@ from tidefuse.operators import quality, rollup
 from tidefuse.plans import experiments
 from tidefuse.session import require_utc, scratch_path
 from tidefuse.sources import files, logs, registry, rotate, samples, store
-from tidefuse.streaming import counters, tail
+from tidefuse.streaming import counters, growing, tail
 from workload import storage
 
 LINES = [
@@ -369,3 +369,35 @@ def test_sketches_of_batches_are_united(spark):
     assert [got[n]["is_sure"] for n in names] == [True, True, False]
     exact = {r["feature"]: r["is_category"] for r in quality.settled_profile(df, both, names).collect()}
     assert exact == {"few": True, "many": False, "half": False}
+
+
+def test_growing_files_give_each_line_once(spark, tmp_path, monkeypatch):
+    folder, out = tmp_path / "logs", scratch_path(spark, "grown")
+    folder.mkdir()
+    steps = [
+        {"a.log": "one\ntwo\nhalf", "b.log": "x" * 300 + "\n"},
+        {"a.log": " line\n\nthree\n"},
+        {"a.log": "", "c.log": "né\r\nlast without an end"},
+        {"b.log": "y\n", "c.log": "\n"},
+    ]
+    for step in steps:
+        for name, text in step.items():
+            with open(folder / name, "a", encoding="utf-8", newline="") as f:
+                f.write(text)
+        stream = growing.tail_growing(spark, str(folder))
+        tail.append_to(stream, f"{out}/d", f"{out}/c", {"availableNow": True}).awaitTermination()
+    got = sorted((r.file.rsplit("/", 1)[1], r.offset, r.line) for r in spark.read.parquet(f"{out}/d").collect())
+    assert got == [("a.log", 0, "one"), ("a.log", 4, "two"), ("a.log", 8, "half line"), ("a.log", 19, "three"),
+                   ("b.log", 0, "x" * 300), ("b.log", 301, "y"), ("c.log", 0, "né"), ("c.log", 5, "last without an end")]
+
+
+def test_ranges_of_a_file_cut_lines_nowhere(tmp_path, monkeypatch):
+    monkeypatch.setattr(growing, "LOOK_BACK", 3)
+    lines = [f"{'z' * (k % 11)}{k}" for k in range(200)]
+    (tmp_path / "f").write_text("\n".join(lines) + "\n")
+    reader = growing.GrowingReader(str(tmp_path))
+    size = (tmp_path / "f").stat().st_size
+    got = [x for a in range(0, size, 7) for x in reader.read(growing.Range(str(tmp_path / "f"), a, min(a + 7, size)))]
+    assert [x[2] for x in got] == lines
+    with pytest.raises(ValueError, match="shrank"):
+        reader.partitions({"sizes": json.dumps({"f": 5})}, {"sizes": json.dumps({"f": 4})})

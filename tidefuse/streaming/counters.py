@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidefuse.functions.timeops import SECOND, micros, us_of
 from tidefuse.operators.align import run_key
 
+# Tasks carry the state function with them, so executors need no copy of this package.
+register_pickle_by_value(sys.modules[__name__])
+
 _US, _TIME = "_us", "_time"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tidefuse.session import scratch_path
-from tidefuse.streaming import counters, tail
+from tidefuse.streaming import counters, growing, tail
 from workload.base import EV, query, rounded
 from workload.logs import (
     EVENT_CELLS, PHASE_CELL, RECORD_CELLS, SQL_LINES, STEP_CELLS, TIME_CELL, TYPE_CELL, lines, with_auc,
@@ -42,6 +42,17 @@ def stream_log_tail(spark, sf_dir):
     return spark.read.parquet(f"{out}/data").groupBy("line").agg(F.count("*").alias("n"))
 
 
+@query("stream_growing_log", f"WITH {SQL_LINES} SELECT line, count(*) AS n FROM lines GROUP BY 1")
+def stream_growing_log(spark, sf_dir):
+    """Lines by byte offsets, from a folder to which files come between two triggers."""
+    path, out = scratch_path(spark, "growing"), scratch_path(spark, "tail")
+    written = lines(spark, sf_dir)
+    for part in (F.col("line_no") % 3 != 0, F.col("line_no") % 3 == 0):
+        written.where(part).select("line").write.mode("append").text(path)
+        drain(growing.tail_growing(spark, path), out)
+    return spark.read.parquet(f"{out}/data").groupBy("line").agg(F.count("*").alias("n"))
+
+
 @query("stream_parse_append", f"WITH {SQL_LINES} SELECT {TIME_CELL} AS timestamp, {RECORD_CELLS} FROM lines")
 def stream_parse_append(spark, sf_dir):
     out = scratch_path(spark, "parsed")
