@@ -108,11 +108,8 @@ def shingle_components(rows):
     return Counter((doc_id, len(sets[k]), low.get(find(k))) for k, (doc_id, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("per_document", [256, 0])
-def test_jaccard_components(documents, edges, monkeypatch, per_document):
-    # With 0 every pair comes from pivot rounds.
-    monkeypatch.setattr(jaccard, "PAIRS_PER_DOCUMENT", per_document)
-    all_ = both(documents.limit(80 if per_document == 0 else 1000), edges)
+def test_jaccard_components(documents, edges):
+    all_ = both(documents.limit(1000), edges)
     got = Counter(tuple(r)[:3] for r in jaccard.components(all_).collect())
     assert got == shingle_components([tuple(r) for r in all_.collect()])
 

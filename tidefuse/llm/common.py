@@ -28,7 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: no lineage, safe from lost executors."""
+    """``df`` written to the shared folder and read back: no lineage, safe from lost executors.
+
+    ``forget`` removes the table once nothing reads it any more.
+    """
     path = scratch_path(df.sparkSession, name)
     conf = df.sparkSession.conf
     before = conf.get(CLEANUP, "false")
@@ -38,7 +41,18 @@ def kept(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         conf.set(CLEANUP, before)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table_ = df.sparkSession.read.schema(df.schema).parquet(path)
+    table_.scratch = path
+    return table_
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes tables made by ``kept`` that no plan to come will read; others are left alone."""
+    for df in tables:
+        if path := getattr(df, "scratch", None):
+            context = df.sparkSession.sparkContext
+            target = context._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def positions(df: DataFrame, group: list[str], order: list[str], name: str = "pos") -> DataFrame:

@@ -7,11 +7,18 @@ threshold share one of these); for the pairs that meet, overlaps are counted
 fragment by fragment and summed per pair.
 
 * Documents of equal sets are one class and are joined once.
-* A list of classes that share a prefix shingle never unfolds into all its
-  pairs at once. Each round pairs one pivot of every list with the list's members
-  from other components, verifies, and joins components; a pivot is done with
-  its list. When few pairs between components are left, all of them are
-  verified. Pairs inside a component need no look, as the result is components.
+* A class leaves a list (the classes that share a prefix shingle) in which it can reach
+  nobody: sizes and places in the sets bound the overlap of each two members. So lists of
+  passages that many otherwise different documents share vanish before any pair is made.
+* Sets have a parity sketch: each shingle flips one of its bits. Two sketches differ in no
+  more bits than the sets do in shingles, which rules pairs out without their sets.
+* Lists are not unfolded into all pairs. Each round pairs every member with the pivot of its
+  lists that it is most alike, verifies, and joins components; lists within one component
+  are done. The pivot is the member of most lists, as an original is that its copies differ from.
+  Rounds go on while each halves the components that meet in lists. Of what is left then,
+  the members outside their list's largest component meet its other components, and all
+  pairs that sketches and places allow are verified. Pairs inside a component need no look,
+  as the result is components; no link between components is lost.
 * The frequency estimate comes from a counter array of fixed size over shingles
   that repeat within a task. It only orders; any order gives the same links.
 
@@ -28,11 +35,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidefuse.llm.common import kept, slices, text_bytes
+from tidefuse.llm.common import forget, kept, slices, text_bytes
 from tidefuse.llm.components import connected
 
 WORDS = 5
@@ -45,8 +52,10 @@ FRAGMENTS = 8
 #: Bits of the filter of documents whose sets are compared.
 BITS = 1 << 23
 HASH_BITS = 56
-#: All pairs left between components are looked at in one round once they are so many per document.
-PAIRS_PER_DOCUMENT = 256
+#: 64-bit words of a sketch; two of them can rule out sets of up to 1,790 shingles whatever they hold.
+SKETCH_WORDS = 16
+#: Shingles of this frequency class and above are known to be shared; their lists are spread over this many keys.
+OFTEN, SPREAD = 10, 64
 
 M1, M2, M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
@@ -121,6 +130,15 @@ def set_digests(owner: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarr
     return sizes.astype(np.int64), digest.view(np.int64)
 
 
+def sketches(owner: np.ndarray, hashes: np.ndarray, n: int) -> pa.ListArray:
+    """A sketch of each set: the parity of its shingles on each of its bits."""
+    bits = 64 * SKETCH_WORDS
+    at = owner * bits + (mixed(hashes ^ M2) >> np.uint64(32)).astype(np.int64) % bits
+    odd = (np.bincount(at, minlength=n * bits) & 1).astype(np.uint8)
+    words = np.packbits(odd, bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, SKETCH_WORDS, dtype=np.int32)), pa.array(words))
+
+
 def batch_sets(batch: pa.RecordBatch, text: int):
     data, offsets = text_bytes(batch.column(text))
     owner, hashes = shingles(data, offsets)
@@ -128,7 +146,7 @@ def batch_sets(batch: pa.RecordBatch, text: int):
 
 
 def profiles(documents: DataFrame) -> DataFrame:
-    """Rows of two kinds: a document (0, doc_id, size, digest), or a counter (1, number, count, null)."""
+    """Rows of two kinds: a document (0, doc_id, size, digest, sketch), or a counter (1, number, count, null, null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n_held = [], 0
@@ -138,15 +156,16 @@ def profiles(documents: DataFrame) -> DataFrame:
             often = counts >= REPEATS
             number, place = np.unique(values[often] & np.uint64(COUNTERS - 1), return_inverse=True)
             total = np.bincount(place, counts[often], minlength=len(number)).astype(np.int64)
-            return rows(1, pa.array(number.astype(np.int64)), total, pa.nulls(len(number), pa.int64()))
+            n = len(number)
+            return rows(1, pa.array(number.astype(np.int64)), total, pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())))
 
-        def rows(kind, a, b, c) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(a), kind, np.int32)), a, pa.array(b), c], ["kind", "a", "b", "c"])
+        def rows(kind, a, b, c, sketch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), a, pa.array(b), c, sketch],
+                                              ["kind", "a", "b", "c", "sketch"])
 
         for batch in slices(batches):
-            sizes, digest, _, hashes = batch_sets(batch, 1)
-            yield rows(0, batch.column(0), sizes, pa.array(digest))
+            sizes, digest, owner, hashes = batch_sets(batch, 1)
+            yield rows(0, batch.column(0), sizes, pa.array(digest), sketches(owner, hashes, batch.num_rows))
             held.append(hashes)
             n_held += len(hashes)
             if n_held >= COUNTED:
@@ -154,7 +173,7 @@ def profiles(documents: DataFrame) -> DataFrame:
                 held, n_held = [], 0
         yield counters()
 
-    return chosen(documents).mapInArrow(run, "kind int, a long, b long, c long")
+    return chosen(documents).mapInArrow(run, "kind int, a long, b long, c long, sketch array<long>")
 
 
 def chosen(documents: DataFrame) -> DataFrame:
@@ -219,29 +238,39 @@ def with_digest(documents: DataFrame, digest: str, size: str) -> DataFrame:
     return documents.mapInArrow(run, schema)
 
 
-def bitmap(wanted: DataFrame) -> np.ndarray:
-    """Bits of the wanted nodes' digests, of a fixed size; other nodes may share a bit."""
-    bit = F.col("node").bitwiseAND(BITS - 1)
-    words = wanted.groupBy(F.shiftright(bit, 5).alias("w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(node & 31 AS int))")).alias("b")).toArrow()
+def bitmap(wanted: DataFrame, column: str) -> np.ndarray:
+    """Bits of the last digits of a number, of a fixed size; other numbers may share a bit."""
+    bit = F.col(column).bitwiseAND(BITS - 1)
+    words = wanted.where(F.col(column).isNotNull()).groupBy(F.shiftright(bit, 5).alias("w")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 31 AS int))")).alias("b")).toArrow()
     bits = np.zeros(BITS // 32, np.int64)
     bits[words["w"].to_numpy()] = words["b"].to_numpy()
     return bits
 
 
+def holds(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return bits[(values & (BITS - 1)) >> 5] >> (values & 31) & 1 == 1
+
+
 def segments(documents: DataFrame, wanted: DataFrame, classes) -> DataFrame:
-    """node, fragment, shingles of each wanted node, once per task that holds a document of it.
+    """node, fragment, shingles of each wanted node (node, doc_id), once per task that holds a document of it.
 
     Nodes that share a bit with a wanted one may come along.
     """
-    # Texts stay where they are: tasks leave out most other documents by a bitmap of a fixed 2 MB.
-    bits = documents.sparkSession.sparkContext.broadcast(bitmap(wanted))
+    # Texts stay where they are: tasks leave out most other documents, by their ids before they are cut
+    # into shingles, and by their sets after that. Two bitmaps of a fixed 2 MB; rows without an id are all cut.
+    sent = documents.sparkSession.sparkContext.broadcast((bitmap(wanted, "node"), bitmap(wanted, "doc_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        nodes, ids = sent.value
         for batch in slices(batches):
+            absent = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(absent | holds(ids, batch.column(0).fill_null(0).to_numpy())))
+            if not batch.num_rows:
+                continue
             sizes, digest, owner, hashes = batch_sets(batch, 1)
-            hit = (sizes > 0) & (bits.value[(digest & (BITS - 1)) >> 5] >> (digest & 31) & 1 == 1)
+            hit = (sizes > 0) & holds(nodes, digest)
             for k in np.flatnonzero(hit).tolist():
                 hit[k] = (d := int(digest[k])) not in seen
                 seen.add(d)
@@ -277,9 +306,46 @@ def linked(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return total.where("100 * n >= 75 * (size_a + size_b - n)").select("a", "b")
 
 
-def reachable(lists: DataFrame) -> DataFrame:
-    """Adds the pair filter: sizes and places still allow enough overlap after the shared shingle."""
-    return lists.where("7 * least(size_a - place_a, size_b - place_b) >= 3 * (size_a + size_b)")
+def farthest(size: str, place: str) -> Column:
+    """The largest partner that a member can reach with the shingles from its place on."""
+    return F.floor(7 * (F.col(size) - F.col(place)) / 3) - F.col(size)
+
+
+def apart(a: str, b: str) -> Column:
+    """Bits in which two sketches differ; the sets differ in as many shingles at least."""
+    return sum((F.bit_count(F.col(f"sketch{a}")[k].bitwiseXOR(F.col(f"sketch{b}")[k])) for k in range(SKETCH_WORDS)), F.lit(0))
+
+
+def reachable(a: str, b: str) -> Column:
+    """Whether sizes and places of two members (columns with these suffixes) allow a link."""
+    size_a, size_b = F.col(f"size{a}"), F.col(f"size{b}")
+    rest = F.least(size_a - F.col(f"place{a}"), size_b - F.col(f"place{b}"))
+    return 7 * rest >= 3 * (size_a + size_b)
+
+
+def alike(a: str, b: str) -> Column:
+    """Whether the sketches of two sets allow a link: that many shingles at most may be in one of them only."""
+    return 7 * apart(a, b) <= F.col(f"size{a}") + F.col(f"size{b}")
+
+
+def shared_lists(documents: DataFrame, classes) -> DataFrame:
+    """shingle, node, size, place of the members that may reach another member of their list.
+
+    In a list of two that is exact, in a longer one it follows from the smallest size and the farthest reach.
+    """
+    often = F.col("shingle") >= F.lit(OFTEN << HASH_BITS)
+    found = postings(documents, classes).withColumns({
+        "_reach": farthest("size", "place"),
+        "_salt": F.when(often, F.pmod(F.xxhash64("node"), F.lit(SPREAD))).otherwise(0)})
+    same = Window.partitionBy("shingle", "_salt")
+    found = found.repartition("shingle", "_salt").withColumns({
+        "_n": F.count(F.lit(1)).over(same), "_low": F.min("node").over(same), "_high": F.max("node").over(same), "_least": F.min("size").over(same), "_most": F.max("_reach").over(same),
+        "_sizes": F.sum("size").over(same), "_reaches": F.sum("_reach").over(same)})
+    two = (F.col("_sizes") - F.col("size") <= F.col("_reach")) & (F.col("size") <= F.col("_reaches") - F.col("_reach"))
+    more = (F.col("_least") <= F.col("_reach")) & (F.col("size") <= F.col("_most"))
+    met = often | (F.when(F.col("_n") == 2, two).otherwise(more) & (F.col("_low") < F.col("_high")))
+    # Several tasks can each have a copy of a class.
+    return found.where(met).select("shingle", "node", "size", "place").distinct()
 
 
 def component_of(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -289,49 +355,78 @@ def component_of(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
     return nodes.join(named, "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
 
 
+def meeting(lists: DataFrame) -> DataFrame:
+    """Members of lists that more than one component meets in, with their list's pivot, and its largest component."""
+    member = [F.col(c) for c in ("node", "size", "place", "root")]
+    turn = F.struct(F.when(F.col("used"), 0).otherwise(1), "degree", F.xxhash64("node"), *member)
+    groups = lists.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"), F.max(turn).alias("first"))
+    each = groups.groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("roots"), F.max("first").alias("first"), F.max(F.struct("n", "root")).alias("largest"))
+    each = each.where("roots > 1").select(
+        "shingle", "roots", F.col("largest.root").alias("largest"),
+        *[F.col(f"first.{c}").alias(f"{c}_p") for c in ("node", "size", "place", "root")])
+    found = lists.join(each, "shingle")
+    return found.withColumn("used", F.col("used") | (F.col("node") == F.col("node_p")))
+
+
 def link_components(documents: DataFrame, profile: DataFrame) -> DataFrame:
     """node, root for all classes that link with another."""
     spark = documents.sparkSession
     classes = spark.sparkContext.broadcast(frequency_classes(profile))  # a fixed 8 MB
-    found = postings(documents, classes).repartition("shingle")
-    same = Window.partitionBy("shingle")
-    shared = found.withColumn("_low", F.min("node").over(same)).withColumn("_high", F.max("node").over(same))
-    lists = kept(shared.where("_low <> _high").drop("_low", "_high").distinct(), "postings")
-    total = profile.where("kind = 0").count()
-    links, roots, turn = [], None, 0
+    found = kept(shared_lists(documents, classes), "postings")
+    degrees = found.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    sets = profile.where("kind = 0 AND b > 0").groupBy(F.col("c").alias("node")).agg(
+        F.min("a").alias("doc_id"), F.any_value("sketch").alias("sketch"))
+    named = kept(degrees.join(sets, "node"), "members")
+    lists = found.join(named.select("node", "degree"), "node").withColumns({"root": F.col("node"), "used": F.lit(False)})
+    links, roots, before = [], None, None
+
+    def sketch(end: str) -> DataFrame:
+        return named.select(F.col("node").alias(end), F.col("sketch").alias(f"sketch_{end}"))
+
     while True:
-        lists = component_of(lists.drop("root"), roots)
-        # Lists whose members are all in one component are done.
-        lists = lists.withColumn("_low", F.min("root").over(same)).withColumn("_high", F.max("root").over(same))
-        lists = kept(lists.where("_low <> _high").drop("_low", "_high"), "postings")
-        groups = lists.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"))
-        left = groups.groupBy("shingle").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"))
-        rows, pairs = left.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2)).first()
-        if not rows:
+        now = kept(meeting(lists), "lists")
+        forget(found)
+        found = now
+        groups = now.select("shingle", "roots").distinct().agg(F.sum(F.col("roots") - 1)).first()[0]
+        if not groups:
             break
-        last = pairs <= PAIRS_PER_DOCUMENT * total
-        a = lists.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("node", "size", "place", "root")])
-        b = lists.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "place", "root")])
-        if last:
-            met = a.join(b, "shingle").where("node_a < node_b")
+        rounds = before is None or 2 * groups <= before
+        before = groups
+        if rounds:
+            # The alikest pivot alone: at most one pair per class.
+            met = now.where((F.col("root") != F.col("root_p")) & reachable("", "_p")).select(
+                F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("node_p").alias("a"),
+                F.col("size_p").alias("size_a")).distinct()
+            met = met.join(sketch("a"), "a").join(sketch("b"), "b").where(alike("_a", "_b"))
+            best = met.groupBy("b", "size_b").agg(F.min(F.struct(apart("_a", "_b").alias("apart"), "a", "size_a")).alias("m"))
+            pairs = best.select("m.a", "b", "m.size_a", "size_b")
         else:
-            order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")
-            pivot = lists.groupBy("shingle").agg(F.min_by(F.struct("node", "size", "place", "root"), order).alias("p"))
-            pivot = kept(pivot.select("shingle", *[F.col(f"p.{c}").alias(f"{c}_a")
-                                                   for c in ("node", "size", "place", "root")]), "pivots")
-            met = b.join(pivot, "shingle").where("node_a <> node_b")
-        met = reachable(met.where("root_a <> root_b")).select(
-            F.col("node_a").alias("a"), F.col("node_b").alias("b"),
-            F.col("size_a").alias("size_a"), F.col("size_b").alias("size_b")).dropDuplicates(["a", "b"])
-        met = kept(met, "pairs")
-        ends = met.select(F.col("a").alias("node")).union(met.select("b")).distinct()
-        links.append(kept(linked(met, segments(documents, ends, classes)), "links"))
-        if last:
+            side = ["node", "size", "place", "root", "sketch"]
+            drawn = now.join(named.select("node", "sketch"), "node")
+            outer = drawn.where("root <> largest").select(F.col("shingle").alias("_list"), *[F.col(c).alias(f"{c}_a") for c in side])
+            every = drawn.select("shingle", "largest", *[F.col(c).alias(f"{c}_b") for c in side])
+            # Two members outside the largest component meet from one end only.
+            once = (F.col("root_b") == F.col("largest")) | (F.col("node_a") < F.col("node_b"))
+            met = outer.join(every, (F.col("_list") == F.col("shingle")) & once & (F.col("root_a") != F.col("root_b"))
+                             & reachable("_a", "_b") & alike("_a", "_b"))
+            pairs = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "size_a", "size_b").distinct()
+        pairs = kept(pairs, "pairs")
+        if not pairs.isEmpty():
+            ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+            wanted = kept(ends.join(named.select("node", "doc_id"), "node"), "ends")
+            links.append(kept(linked(pairs, segments(documents, wanted, classes)), "links"))
+            forget(wanted)
+        forget(pairs)
+        if not rounds:
             break
-        lists = lists.join(pivot.select("shingle", F.col("node_a").alias("node")), ["shingle", "node"], "left_anti")
-        roots = kept(connected(reduce(DataFrame.union, links)), "components")
-        turn += 1
-    return connected(reduce(DataFrame.union, links)) if links else lists.select("node", F.col("node").alias("root"))
+        if links:
+            old, roots = roots, kept(connected(reduce(DataFrame.union, links)), "components")
+            forget(*[old] if old is not None else [])
+        lists = component_of(now.select("shingle", "node", "size", "place", "degree", "used"), roots)
+    forget(found, named)
+    return connected(reduce(DataFrame.union, links)) if links else profile.where("1 = 0").select(
+        F.col("c").alias("node"), F.col("c").alias("root"))
 
 
 def components(documents: DataFrame) -> DataFrame:
