@@ -7,6 +7,7 @@ import random
 import sys
 import time
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -123,3 +124,23 @@ def test_scratch_tables_are_removed(spark, monkeypatch):
     rows += [(100 + k, rows[k][1] + " more") for k in range(20)]
     assert joined(spark, rows) == brute_force(rows)
     assert {"lists", "pairs", "ends", "postings"} <= set(made) and len(gone) >= 5
+
+
+def test_sketches_never_rule_out_a_link():
+    """Sketches differ in no more bits than the sets in shingles; long ones tell apart what short ones cannot."""
+    rng = np.random.default_rng(4)
+    for size in (40, 700, 5000):
+        base = rng.integers(0, 1 << 56, size, dtype=np.uint64)
+        other = np.concatenate([base[: size * 9 // 10], rng.integers(0, 1 << 56, size // 10, dtype=np.uint64)])
+        far = rng.integers(0, 1 << 56, size, dtype=np.uint64)
+        hashes = np.concatenate([base, other, far])
+        owner = np.repeat(np.arange(3), [len(base), len(other), len(far)])
+        sizes = np.bincount(owner)
+        short, long = (x.to_pylist() for x in jaccard.sketches(owner, hashes, sizes))
+        assert (long[0] is not None) == (size >= jaccard.LONG)
+        for sketch in (short, long) if long[0] else (short,):
+            def bits(i, j, sketch=sketch):
+                return sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(sketch[i], sketch[j]))
+
+            assert bits(0, 0) == 0 and bits(0, 1) <= len(np.setxor1d(base, other))
+        assert 7 * bits(0, 2) > sizes[0] + sizes[2]

@@ -54,6 +54,8 @@ BITS = 1 << 23
 HASH_BITS = 56
 #: 64-bit words of a sketch; two of them can rule out sets of up to 1,790 shingles whatever they hold.
 SKETCH_WORDS = 16
+#: Sets from this size on have a longer sketch too, for sets of up to 14,300 shingles.
+LONG, LONG_WORDS = 1200, 128
 #: Shingles of this frequency class and above are known to be shared; their lists are spread over this many keys.
 OFTEN, SPREAD = 10, 64
 
@@ -130,13 +132,25 @@ def set_digests(owner: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarr
     return sizes.astype(np.int64), digest.view(np.int64)
 
 
-def sketches(owner: np.ndarray, hashes: np.ndarray, n: int) -> pa.ListArray:
-    """A sketch of each set: the parity of its shingles on each of its bits."""
-    bits = 64 * SKETCH_WORDS
+def parities(owner: np.ndarray, hashes: np.ndarray, n: int, words: int) -> np.ndarray:
+    """For each set the parity of its shingles on each of its bits, as words."""
+    bits = 64 * words
     at = owner * bits + (mixed(hashes ^ M2) >> np.uint64(32)).astype(np.int64) % bits
-    odd = (np.bincount(at, minlength=n * bits) & 1).astype(np.uint8)
-    words = np.packbits(odd, bitorder="little").view(np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, SKETCH_WORDS, dtype=np.int32)), pa.array(words))
+    return np.packbits((np.bincount(at, minlength=n * bits) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def sketches(owner: np.ndarray, hashes: np.ndarray, sizes: np.ndarray) -> tuple[pa.ListArray, pa.ListArray]:
+    """A sketch of each set, and the longer one of large sets (null for others)."""
+    n = len(sizes)
+    words = parities(owner, hashes, n, SKETCH_WORDS)
+    short = pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, SKETCH_WORDS, dtype=np.int32)), pa.array(words))
+    large = sizes >= LONG
+    rank = np.cumsum(large) - 1
+    use = large[owner]
+    words = parities(rank[owner[use]], hashes[use], int(large.sum()), LONG_WORDS)
+    ends = np.concatenate([[0], np.cumsum(large)]).astype(np.int32) * LONG_WORDS
+    long = pa.ListArray.from_arrays(pa.array(ends), pa.array(words), mask=pa.array(~large))
+    return short, long
 
 
 def batch_sets(batch: pa.RecordBatch, text: int):
@@ -146,7 +160,7 @@ def batch_sets(batch: pa.RecordBatch, text: int):
 
 
 def profiles(documents: DataFrame) -> DataFrame:
-    """Rows of two kinds: a document (0, doc_id, size, digest, sketch), or a counter (1, number, count, null, null)."""
+    """Rows of two kinds: a document (0, doc_id, size, digest, sketches), or a counter (1, number, count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n_held = [], 0
@@ -157,15 +171,16 @@ def profiles(documents: DataFrame) -> DataFrame:
             number, place = np.unique(values[often] & np.uint64(COUNTERS - 1), return_inverse=True)
             total = np.bincount(place, counts[often], minlength=len(number)).astype(np.int64)
             n = len(number)
-            return rows(1, pa.array(number.astype(np.int64)), total, pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())))
+            none = pa.nulls(n, pa.list_(pa.int64()))
+            return rows(1, pa.array(number.astype(np.int64)), total, pa.nulls(n, pa.int64()), none, none)
 
-        def rows(kind, a, b, c, sketch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), a, pa.array(b), c, sketch],
-                                              ["kind", "a", "b", "c", "sketch"])
+        def rows(kind, a, b, c, sketch, fine) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), a, pa.array(b), c, sketch, fine],
+                                              ["kind", "a", "b", "c", "sketch", "fine"])
 
         for batch in slices(batches):
             sizes, digest, owner, hashes = batch_sets(batch, 1)
-            yield rows(0, batch.column(0), sizes, pa.array(digest), sketches(owner, hashes, batch.num_rows))
+            yield rows(0, batch.column(0), sizes, pa.array(digest), *sketches(owner, hashes, sizes))
             held.append(hashes)
             n_held += len(hashes)
             if n_held >= COUNTED:
@@ -173,7 +188,7 @@ def profiles(documents: DataFrame) -> DataFrame:
                 held, n_held = [], 0
         yield counters()
 
-    return chosen(documents).mapInArrow(run, "kind int, a long, b long, c long, sketch array<long>")
+    return chosen(documents).mapInArrow(run, "kind int, a long, b long, c long, sketch array<long>, fine array<long>")
 
 
 def chosen(documents: DataFrame) -> DataFrame:
@@ -312,8 +327,10 @@ def farthest(size: str, place: str) -> Column:
 
 
 def apart(a: str, b: str) -> Column:
-    """Bits in which two sketches differ; the sets differ in as many shingles at least."""
-    return sum((F.bit_count(F.col(f"sketch{a}")[k].bitwiseXOR(F.col(f"sketch{b}")[k])) for k in range(SKETCH_WORDS)), F.lit(0))
+    """Bits in which two sketches differ, of the longer ones if both have them; the sets differ in as many shingles."""
+    short = sum((F.bit_count(F.col(f"sketch{a}")[k].bitwiseXOR(F.col(f"sketch{b}")[k])) for k in range(SKETCH_WORDS)), F.lit(0))
+    each = F.zip_with(f"fine{a}", f"fine{b}", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.coalesce(F.aggregate(each, F.lit(0), lambda n, x: n + x), short)
 
 
 def reachable(a: str, b: str) -> Column:
@@ -376,13 +393,13 @@ def link_components(documents: DataFrame, profile: DataFrame) -> DataFrame:
     found = kept(shared_lists(documents, classes), "postings")
     degrees = found.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     sets = profile.where("kind = 0 AND b > 0").groupBy(F.col("c").alias("node")).agg(
-        F.min("a").alias("doc_id"), F.any_value("sketch").alias("sketch"))
+        F.min("a").alias("doc_id"), F.any_value("sketch").alias("sketch"), F.any_value("fine").alias("fine"))
     named = kept(degrees.join(sets, "node"), "members")
     lists = found.join(named.select("node", "degree"), "node").withColumns({"root": F.col("node"), "used": F.lit(False)})
     links, roots, before = [], None, None
 
     def sketch(end: str) -> DataFrame:
-        return named.select(F.col("node").alias(end), F.col("sketch").alias(f"sketch_{end}"))
+        return named.select(F.col("node").alias(end), F.col("sketch").alias(f"sketch_{end}"), F.col("fine").alias(f"fine_{end}"))
 
     while True:
         now = kept(meeting(lists), "lists")
@@ -402,8 +419,8 @@ def link_components(documents: DataFrame, profile: DataFrame) -> DataFrame:
             best = met.groupBy("b", "size_b").agg(F.min(F.struct(apart("_a", "_b").alias("apart"), "a", "size_a")).alias("m"))
             pairs = best.select("m.a", "b", "m.size_a", "size_b")
         else:
-            side = ["node", "size", "place", "root", "sketch"]
-            drawn = now.join(named.select("node", "sketch"), "node")
+            side = ["node", "size", "place", "root", "sketch", "fine"]
+            drawn = now.join(named.select("node", "sketch", "fine"), "node")
             outer = drawn.where("root <> largest").select(F.col("shingle").alias("_list"), *[F.col(c).alias(f"{c}_a") for c in side])
             every = drawn.select("shingle", "largest", *[F.col(c).alias(f"{c}_b") for c in side])
             # Two members outside the largest component meet from one end only.
