@@ -61,40 +61,39 @@ def _sql_text(pattern: str) -> str:
 
 SQL_LINES = f"""{EV}, lines AS (SELECT run_id AS file, event_id AS line_no, CASE k % {len(FORMS) + 1}
   {' '.join(f"WHEN {i} THEN {SQL_STAMP} || ' - {lv} - ' || {_sql_text(p)}" for i, (p, lv) in enumerate(FORMS))}
-  ELSE '  continued trace ' || k END AS line FROM ev)"""
+  ELSE '  continued trace ' || k END AS line, k % {len(FORMS) + 1} AS form, timestamp AS written, event_id, k, printf('%.2f', value) AS v FROM ev)"""
 
 
 def rx(pattern: str, group: int = 1, column: str = "line") -> str:
     return f"nullif(regexp_extract({column}, '{pattern}', {group}), '')"
 
 
-SQL_NUMBER, SQL_STEP, SQL_TIME = logparse.NUMBER, logparse.STEP, logparse.TIMESTAMP
-TIME_CELL = f"TRY_CAST({rx(SQL_TIME)} AS TIMESTAMP)"
-STEP_CELLS = ", ".join(
-    f"TRY_CAST({rx(SQL_STEP, i)} AS {t}) AS {c}" for i, (c, t) in enumerate(
-        (("step", "BIGINT"), ("loss", "DOUBLE"), ("learning_rate", "DOUBLE"), ("throughput", "DOUBLE"), ("step_time", "DOUBLE")), 1)
-)
+# What each form of line says, from the values it was built of; no pattern of the library is used.
+TIME_CELL = f"CASE WHEN form <> {UNTIMED} THEN date_trunc('second', written) END"
+STEP_CELLS = """CASE WHEN form = 0 THEN event_id END AS step, CASE WHEN form = 0 THEN CAST(v AS DOUBLE) END AS loss,
+  CASE WHEN form = 0 THEN CAST(k || 'e-05' AS DOUBLE) END AS learning_rate, CASE WHEN form = 0 THEN CAST(v AS DOUBLE) END AS throughput,
+  CASE WHEN form = 0 THEN CAST('0.' || k AS DOUBLE) END AS step_time"""
+EVAL_FORMS = {
+    "loss": "CASE form WHEN 1 THEN k + 0.5 WHEN 9 THEN CAST(v AS DOUBLE) END",
+    "accuracy": "CASE WHEN form = 1 THEN CAST('0.' || k AS DOUBLE) END",
+    "f1": "CAST(NULL AS DOUBLE)", "precision": "CAST(NULL AS DOUBLE)", "recall": "CAST(NULL AS DOUBLE)",
+    "auc": "CASE WHEN form = 1 THEN CAST('0.' || k AS DOUBLE) END",
+    "custom": "CASE WHEN form = 1 THEN CAST(k AS DOUBLE) END",
+}
 
 
 def sql_eval(name: str) -> str:
-    found = f"regexp_extract_all(line, 'eval_{name}:\\s*{SQL_NUMBER}', 1)"
-    return f"TRY_CAST(nullif({found}[-1], '') AS DOUBLE) AS eval_{name}"
+    return f"CAST({EVAL_FORMS[name]} AS DOUBLE) AS eval_{name}"
 
 
 EVAL_CELLS = ", ".join(sql_eval(n) for n in ("loss", "accuracy", "f1", "precision", "recall"))
-TYPE_CELL = (f"CASE WHEN regexp_matches(line, '{logparse.EVAL}') THEN 'evaluation' "
-             f"WHEN regexp_matches(line, '{SQL_STEP}') THEN 'training_step' END AS metric_type")
-SQL_NAN, SQL_HIGH, SQL_OOM = logparse.NAN_LOSS, logparse.HIGH_LOSS, logparse.OUT_OF_MEMORY
-NAN_HIT, HIGH_HIT, OOM_HIT = (f"regexp_matches(line, '{p}')" for p in (SQL_NAN, SQL_HIGH, SQL_OOM))
-EVENT_CELLS = f"""CASE WHEN {NAN_HIT} THEN 1 END AS event_nan_loss, CASE WHEN {OOM_HIT} THEN 1 END AS event_oom,
-  CASE WHEN {HIGH_HIT} THEN 1 END AS event_high_loss, CASE WHEN lower(line) LIKE '%error%' THEN 1 END AS event_error,
-  CASE WHEN lower(line) LIKE '%warning%' THEN 1 END AS event_warning,
-  CASE WHEN {HIGH_HIT} THEN 'high_loss' WHEN {OOM_HIT} THEN 'oom_error' WHEN {NAN_HIT} THEN 'nan_loss' END AS anomaly_type,
-  CAST(CASE WHEN {HIGH_HIT} THEN {rx(SQL_HIGH)} WHEN {NAN_HIT} THEN {rx(SQL_NAN)} END AS BIGINT) AS anomaly_step,
-  CASE WHEN {HIGH_HIT} THEN {rx(SQL_HIGH, 2)} WHEN {NAN_HIT} THEN coalesce({rx(SQL_NAN, 2)}, 'NaN') END AS anomaly_value"""
-PHASE_CELL = "CASE " + " ".join(
-    f"WHEN regexp_matches(line, '{pattern}') THEN '{name}'" for name, pattern in logparse.PHASES
-) + " END AS phase"
+TYPE_CELL = "CASE WHEN form IN (1, 9) THEN 'evaluation' WHEN form = 0 THEN 'training_step' END AS metric_type"
+EVENT_CELLS = """CASE WHEN form = 2 THEN 1 END AS event_nan_loss, CASE WHEN form = 4 THEN 1 END AS event_oom,
+  CASE WHEN form = 3 THEN 1 END AS event_high_loss, CASE WHEN form IN (2, 4) THEN 1 END AS event_error,
+  CASE WHEN form = 3 THEN 1 END AS event_warning,
+  CASE form WHEN 2 THEN 'nan_loss' WHEN 3 THEN 'high_loss' WHEN 4 THEN 'oom_error' END AS anomaly_type,
+  CASE WHEN form IN (2, 3) THEN event_id END AS anomaly_step, CASE form WHEN 2 THEN 'NaN' WHEN 3 THEN v END AS anomaly_value"""
+PHASE_CELL = "CASE form WHEN 6 THEN 'train_begin' WHEN 7 THEN 'eval_end' END AS phase"
 RECORD_CELLS = f"{STEP_CELLS}, {EVAL_CELLS}, {TYPE_CELL}, {PHASE_CELL}, {EVENT_CELLS}, trim(line) AS raw_line, {sql_eval('auc')}"
 CARRIED = f"last_value({TIME_CELL} IGNORE NULLS) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS timestamp"
 
@@ -139,7 +138,7 @@ def log_step_parse(spark, sf_dir):
 
 
 @query("log_eval_parse", f"""WITH {SQL_LINES} SELECT line_no, {EVAL_CELLS}, {TYPE_CELL},
-  len(list_distinct(regexp_extract_all(line, '{logparse.EVAL}', 1))) AS n_metrics, {sql_eval('custom')}, {sql_eval('auc')} FROM lines""")
+  CASE form WHEN 1 THEN 5 WHEN 9 THEN 1 ELSE 0 END AS n_metrics, {sql_eval('custom')}, {sql_eval('auc')} FROM lines""")
 def log_eval_parse(spark, sf_dir):
     line = F.col("line")
     pairs = logparse.eval_map(line)
@@ -163,10 +162,10 @@ def log_phase(spark, sf_dir):
 
 @query("log_simple_parse", f"""WITH {SQL_LINES} SELECT line_no,
   CASE WHEN trim(line) LIKE '% - %' THEN TRY_CAST(split_part(trim(line), ' - ', 1) AS TIMESTAMP) END AS timestamp,
-  TRY_CAST({rx(logparse.SIMPLE_LOSS)} AS DOUBLE) AS loss,
-  TRY_CAST({rx(logparse.SIMPLE_ACCURACY)} AS DOUBLE) AS accuracy,
-  TRY_CAST({rx(logparse.SIMPLE_RATE)} AS DOUBLE) AS learning_rate,
-  TRY_CAST({rx(logparse.SIMPLE_STEP)} AS BIGINT) AS step, TRY_CAST({rx(logparse.SIMPLE_EPOCH)} AS BIGINT) AS epoch,
+  CASE WHEN form IN (0, 9) THEN CAST(v AS DOUBLE) WHEN form = 8 THEN 'nan'::DOUBLE END AS loss,
+  CASE WHEN form = 8 THEN CAST('0.' || k AS DOUBLE) END AS accuracy,
+  CASE form WHEN 0 THEN CAST(k || 'e-05' AS DOUBLE) WHEN 8 THEN 1.9e-05 END AS learning_rate,
+  CASE WHEN form IN (0, 8, 9) THEN event_id END AS step, CASE WHEN form = 8 THEN k END AS epoch,
   CASE WHEN line LIKE '%ERROR%' OR line LIKE '%CRITICAL%' THEN 'error' WHEN line LIKE '%WARNING%' THEN 'warning'
     WHEN lower(line) LIKE '%nan%' THEN 'anomaly' ELSE 'info' END AS event_type FROM lines""")
 def log_simple_parse(spark, sf_dir):
