@@ -12,11 +12,14 @@ kind do not overlap. Random spans that overlap another kind's are left out.
 Null text is empty and has no spans. At most ``sample`` documents train the
 models, those with the smallest hashed ids; counts are smoothed, so that no
 sample at all gives a ratio of zero and no random spans.
+A text with many matches takes work in proportion to them.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,10 +39,33 @@ SAMPLE = 2000
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 STATES = len(LETTERS) + 1
 SMOOTHING = 0.5
+#: Matches whose list grows step by step before it is joined to the others.
+CHUNK = 256
 #: Least log-likelihood ratio of a token, and per character.
 LEAST_RATIO, LEAST_PER_CHARACTER = 12.0, 0.5
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, also where lambdas read it per element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def in_chunks(items: Column, total: Callable[[Column], Column], carry: Callable[[Column], Column],
+              scan: Callable[[Column, Column], Column]) -> Column:
+    """Concatenated ``scan(chunk, value carried into it)`` over consecutive chunks of a non-empty array.
+
+    ``total`` sums up a chunk and ``carry`` the totals before it. An ``aggregate`` that grows a list copies it
+    at each step; within chunks these copies stay short, and the work grows with the array.
+    """
+    def chunk(xs: Column, k: Column) -> Column:
+        return F.slice(xs, k * CHUNK + 1, F.lit(CHUNK))
+
+    return let(items, lambda xs: let(
+        F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / CHUNK).cast("int")), lambda k: total(chunk(xs, k))),
+        lambda totals: F.flatten(F.transform(totals, lambda _, k: scan(
+            chunk(xs, k), carry(F.slice(totals, F.lit(1), k)))))))
+
+
 def with_matches(df: DataFrame, name: str, pattern: str, group: int, least: int, guard: Column) -> DataFrame:
     """Adds the array of (start, end, value) of all leftmost matches whose group has the least length.
 
@@ -52,17 +78,28 @@ def with_matches(df: DataFrame, name: str, pattern: str, group: int, least: int,
         "_v", F.when(some, F.regexp_extract_all("text", F.lit(pattern), F.lit(group))).otherwise(empty)
         if group else F.col("_m"))
     span = "struct<start:bigint,end:bigint,value:string>"
-    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{span}>").alias("out"))
+    none = F.array().cast(f"array<{span}>")
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["_g"])
-        end = start + F.length(x["_m"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["_v"].alias("value")).cast(span)
-        return F.when(x["_m"].isNull(), a).otherwise(F.struct(end.alias("at"), F.when(
-            F.length(x["_v"]) >= least, F.concat(a["out"], F.array(one))).otherwise(a["out"]).alias("out")))
+    def total(chunk: Column) -> Column:
+        return F.aggregate(chunk, F.lit(0).cast("long"), lambda a, x: a + F.length(x["_g"]) + F.length(x["_m"]))
 
-    spans = F.aggregate(F.arrays_zip("_g", "_m", "_v"), none, step, lambda a: a["out"])
-    return found.withColumn(name, spans).drop("_m", "_g", "_v")
+    def carry(totals: Column) -> Column:
+        return F.aggregate(totals, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def scan(chunk: Column, at: Column) -> Column:
+        def step(a: Column, x: Column) -> Column:
+            start = a["at"] + F.length(x["_g"])
+            end = start + F.length(x["_m"])
+            one = F.struct(start.alias("start"), end.alias("end"), x["_v"].alias("value")).cast(span)
+            return F.struct(end.alias("at"), F.when(
+                F.length(x["_v"]) >= least, F.concat(a["out"], F.array(one))).otherwise(a["out"]).alias("out"))
+
+        return F.aggregate(chunk, F.struct(at.alias("at"), none.alias("out")), step, lambda a: a["out"])
+
+    # Splitting gives one piece more than there are matches; it has no match after it.
+    pieces = F.slice(F.arrays_zip("_g", "_m", "_v"), F.lit(1), F.size("_m"))
+    return found.withColumn(name, F.when(some, in_chunks(pieces, total, carry, scan)).otherwise(none)).drop(
+        "_m", "_g", "_v")
 
 
 def base_spans(df: DataFrame) -> DataFrame:
@@ -97,11 +134,13 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> list[float]:
         F.broadcast(ids), "doc_id").select("text")
     rows = base_spans(texts)
     values = F.concat(*[F.transform(name, lambda x: x["value"]) for name, *_ in BASE])
+    rest = F.col("text")
+    for _, pattern, *_ in BASE:
+        rest = F.regexp_replace(rest, pattern, " ")
     rows = rows.select(F.array_distinct(values).alias("secret"),
-                       F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("word"))
-    inside = F.filter("word", lambda w: ~F.exists("secret", lambda s: F.contains(s, w) | F.contains(w, s)))
+                       F.array_distinct(F.regexp_extract_all(rest, F.lit(WORD), F.lit(0))).alias("word"))
     labelled = rows.select(F.explode("secret").alias("value"), F.lit(1).alias("label")).union(
-        rows.select(F.explode(F.array_distinct(inside)), F.lit(0)))
+        rows.select(F.explode("word"), F.lit(0)))
     pairs = labelled.select("label", F.explode(steps(F.col("value"))).alias("pair"))
     counts = {(r[0], r[1]): r[2] for r in pairs.groupBy("label", "pair").count().collect()}  # at most 2 * STATES^2
     if not any(label == 1 for label, _ in counts) or not any(label == 0 for label, _ in counts):
@@ -115,6 +154,19 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> list[float]:
     return table
 
 
+def before(spans: Column, field: str, limit: Column) -> Column:
+    """How many of the ordered spans have ``field`` below ``limit``, by halving."""
+    def halve(a: Column, _: Column) -> Column:
+        middle = F.floor((a["low"] + a["high"]) / 2).cast("int")
+        below = F.get(spans, middle)[field] < limit
+        return F.when(a["low"] >= a["high"], a).otherwise(F.struct(
+            F.when(below, middle + 1).otherwise(a["low"]).alias("low"),
+            F.when(below, a["high"]).otherwise(middle).alias("high")))
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+    return F.aggregate(rounds, F.struct(F.lit(0).alias("low"), F.size(spans).alias("high")), halve, lambda a: a["low"])
+
+
 def scanned(documents: DataFrame, model: list[float]) -> DataFrame:
     """``documents`` with base and all spans: arrays of (start, order, end, kind, value), sorted."""
     rows = base_spans(documents.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))))
@@ -132,7 +184,10 @@ def scanned(documents: DataFrame, model: list[float]) -> DataFrame:
 
     base = F.array_sort(F.concat(*[as_spans(name, k) for k, (name, *_) in enumerate(BASE)]))
     rows = rows.withColumn("_base", base)
-    free = F.filter("_token", lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])))
+    # Spans of one kind are apart and in order, so two binary searches count those that a token meets.
+    free = let(F.struct(*[F.col(name) for name, *_ in BASE]), lambda base: F.filter("_token", lambda x: ~reduce(
+        Column.__or__, [before(base[name], "start", x["end"]) > before(base[name], "end", x["start"] + 1)
+                        for name, *_ in BASE])))
     rows = rows.withColumn("_token", free)
     judged = F.transform("_token", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"),
                                                       x["value"].alias("value"), score(x).alias("ratio")))
@@ -163,14 +218,29 @@ def redact(documents: DataFrame, model: list[float], mark: str = "[REDACTED]") -
     # Scanned apart from the other columns' names, which may be anything.
     rows = scanned(documents.select(F.struct(*names).alias("_row"), F.col("text").alias("text")), model)
     spans = F.col("_spans")
-    merged = F.aggregate(spans, F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<string>").alias("out")),
-                         lambda a, x: F.struct(
-                             F.greatest(a["at"], x["end"] + 1).alias("at"),
-                             F.when(x["start"] + 1 < a["at"], a["out"]).otherwise(F.concat(a["out"], F.array(
-                                 F.substring(F.col("text"), a["at"], x["start"] + 1 - a["at"]), F.lit(mark)))).alias("out")))
-    rows = rows.withColumn("_merged", F.when(F.size(spans) > 0, merged))
-    text = F.when(F.col("_merged").isNull(), F.col("_row.text")).otherwise(F.concat(
-        F.array_join("_merged.out", ""), F.substring(F.col("text"), F.col("_merged.at"), F.length("text"))))
+
+    def total(chunk: Column) -> Column:
+        return F.array_max(F.transform(chunk, lambda x: x["end"] + 1))
+
+    def carry(totals: Column) -> Column:
+        return F.coalesce(F.array_max(totals), F.lit(1).cast("long"))
+
+    def scan(chunk: Column, at: Column) -> Column:
+        """What stays of the text between ``at`` and the last end, with a mark for each group of spans."""
+        # Substrings count from the text's beginning, so each chunk has its own part of it.
+        part = F.substring(F.col("text"), at, F.greatest(total(chunk) - at, F.lit(0)))
+        none = F.struct(at.alias("at"), F.array().cast("array<string>").alias("out"))
+        return let(F.struct(part.alias("part"), at.alias("from")), lambda p: F.aggregate(
+            chunk, none, lambda a, x: F.struct(
+                F.greatest(a["at"], x["end"] + 1).alias("at"),
+                F.when(x["start"] + 1 < a["at"], a["out"]).otherwise(F.concat(a["out"], F.array(
+                    F.substring(p["part"], a["at"] - p["from"] + 1, x["start"] + 1 - a["at"]), F.lit(mark)))).alias("out")),
+            lambda a: a["out"]))
+
+    rows = rows.withColumn("_merged", F.when(F.size(spans) > 0, in_chunks(spans, total, carry, scan)))
+    after = F.substring(F.col("text"), total(spans), F.length("text"))
+    text = F.when(F.col("_merged").isNull(), F.col("_row.text")).otherwise(
+        F.concat(F.array_join("_merged", ""), after))
     rows = rows.withColumn("_text", text)
     size = {"n_chars": F.when(F.col("_merged").isNull(), F.col("_row.n_chars")).otherwise(F.length("_text"))
             .cast(documents.schema["n_chars"].dataType)} if "n_chars" in names else {}
