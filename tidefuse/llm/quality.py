@@ -83,6 +83,13 @@ def repeated_words(words: np.ndarray, owner: np.ndarray, count: np.ndarray) -> n
     return np.maximum(near, far)
 
 
+def unspaced(data: np.ndarray) -> np.ndarray:
+    """First bytes of code points of Chinese, Japanese, Thai, Lao, Burmese and Khmer, by their UTF-8 ranges."""
+    after = np.append(data[1:], np.uint8(0)) if len(data) else data
+    return (((data >= 0xE3) & (data <= 0xE9)) | ((data == 0xE0) & (after >= 0xB8) & (after <= 0xBB))
+            | ((data == 0xE1) & (((after >= 0x80) & (after <= 0x82)) | (after == 0x9E) | (after == 0x9F))))
+
+
 def measures(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """Shares and means per text, with the number of words."""
     n = len(offsets) - 1
@@ -93,6 +100,8 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     symbol = ~(lower | upper | other | space | digit)
     run = np.zeros(len(data), bool)
     run[1:] = symbol[1:] & symbol[:-1]
+    # Code points, without those of scripts that put no spaces between words.
+    letter = ~space & ((data & 0xC0) != 0x80) & ~unspaced(data)
     size = np.maximum(1, np.diff(offsets)).astype(np.float64)
     words, owner = word_hashes(data, offsets)
     count = np.bincount(owner, minlength=n)
@@ -122,7 +131,7 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         "bare": np.bincount(owner[~has_letter], minlength=n) / some if len(starts) else np.zeros(n),
         "echo": np.bincount(owner[echo], minlength=n) / some,
         "repeated": np.where(count > 0, repeated_words(words, owner, count), 0.0),
-        "word_length": per_text(inside, offsets) / some,
+        "word_length": per_text(letter, offsets) / some,
         "lines": 1 - distinct(line_owner, line_hash, n) / np.maximum(1, lines) - (lines == 0),
     }
 
@@ -231,9 +240,11 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> dict:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r.tobytes() for r in x], pa.binary()), pa.array(y, pa.float64())], ["x", "y"])
 
-    # At most `sample` ids: broadcast, so that no text is shuffled.
+    # At most `sample` ids: broadcast, so that no other text is shuffled. Rows that repeat an id count
+    # once, with the text of the smallest hash, so that no more than `sample` rows reach the driver.
     chosen = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
-    rows = chosen.select("text").mapInArrow(run, "x binary, y double").limit(2 * sample).toArrow()
+    chosen = chosen.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = chosen.select("text").mapInArrow(run, "x binary, y double").toArrow()
     if rows.num_rows == 0:
         return model | {"weights": np.zeros(BUCKETS, np.float32), "bias": -1.0}
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float16).reshape(-1, BUCKETS).astype(np.float32)
