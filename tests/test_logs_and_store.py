@@ -401,3 +401,61 @@ def test_ranges_of_a_file_cut_lines_nowhere(tmp_path, monkeypatch):
     assert [x[2] for x in got] == lines
     with pytest.raises(ValueError, match="shrank"):
         reader.partitions({"sizes": json.dumps({"f": 5})}, {"sizes": json.dumps({"f": 4})})
+
+
+def read_by_scan(df):
+    """Rows of a plan without exchanges, and how many files and rows its scan read."""
+    got = df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return got, *(leaf.metrics().apply(name).value() for name in ("numFiles", "numOutputRows"))
+
+
+def test_files_that_cannot_match_are_not_read(spark):
+    root = scratch_path(spark, "zones")
+    cells = [("a", at(k), k, float("nan") if k == 7 else k / 2, f"e{k * 37 % 1000:03d}", None if k < 100 else k) for k in range(1000)]
+    store.append(batch(spark, cells, "n int, x double, e string, late int").repartition(5), root, chunk_rows=50, lookup=["e"])
+    assert store.read(spark, root).select("_metadata.file_path").distinct().count() == 20
+
+    def found(**filters):
+        got, files_read, rows_read = read_by_scan(store.query(spark, root, filters=filters))
+        return sorted(r.n for r in got), files_read, rows_read
+
+    # Rows lie in time order, so one value of a column that grows with time lies in one file of the batch.
+    assert found(n=421)[:2] == ([421], 1)
+    assert found(n=[421, 422, 901])[:2] == ([421, 422, 901], 2)
+    assert found(n=421.0)[:2] == ([421], 1)
+    assert found(n=5000) == ([], 0, 0) and found(x=0.25)[0] == []
+    assert found(late=10)[1] == 0 and found(late=150)[:2] == ([150], 1)
+    assert found(x=float("nan"))[0] == [7]
+    # Texts are spread over all files; Bloom filters leave out the row groups of nearly all others.
+    values, files_read, rows_read = found(e="e037")
+    assert values == [1] and rows_read <= 150
+    span = store.without_files(store.read(spark, root), root, at(100), at(149))
+    assert read_by_scan(span)[1:] == (1, 50)
+    with pytest.raises(ValueError, match="no column"):
+        store.query(spark, root, filters={"absent": 1})
+
+
+def test_zones_only_leave_out(spark):
+    root = scratch_path(spark, "zones")
+    long = "y" * 100
+    store.append(batch(spark, [("a", at(0), long + "1"), ("a", at(1), long + "2"), ("a", None, None)], "e string"), root, lookup=["e"])
+    # Texts of this batch have no ranges, of the next no column, and the last no values.
+    store.append(batch(spark, [("b", at(2), "z")], "e string"), root)
+    store.append(batch(spark, [("c", at(3), 1)], "n int"), root)
+    store.append(batch(spark, [("d", at(4), None)], "e string"), root, lookup=["e"])
+    for wanted, batches in ((long + "2", ["a"]), ("z", ["b"]), (["z", long + "1"], ["a", "b"]), ("q", [])):
+        assert sorted(r.batch_id for r in store.query(spark, root, filters={"e": wanted}).collect()) == batches
+    assert [r.batch_id for r in store.query(spark, root, filters={"n": 1}).collect()] == ["c"]
+    assert store.query(spark, root, filters={"e": None}).count() == 0
+    # A batch written again has new files, a dropped one none, a dataset without zones is read as a whole.
+    store.append(batch(spark, [("b", at(2), "w")], "e string"), root, lookup=["e"])
+    assert [r.batch_id for r in store.query(spark, root, filters={"e": "w"}).collect()] == ["b"]
+    store.drop_batches(spark, root, ["a"])
+    assert sorted(r.batch_id for r in store.query(spark, root, start=at(0)).collect()) == ["b", "c", "d"]
+    store._delete(spark, f"{root}/zones")
+    assert [r.batch_id for r in store.query(spark, root, filters={"e": "w"}).collect()] == ["b"]
+    store.drop_batches(spark, root, ["b"])
+    assert store.query(spark, root, filters={"e": "w"}).count() == 0
+    with pytest.raises(ValueError, match="lacks columns"):
+        store.append(batch(spark, [("b", at(2), "w")], "e string"), root, lookup=["f"])

@@ -1,12 +1,13 @@
-"""Stored datasets: parquet by batch with a small table of batch time ranges."""
+"""Stored datasets: parquet by batch, with small tables of the ranges in batches and in files."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import datetime
+from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +30,10 @@ MATRIX_SCHEMA = {
 }
 CHUNK_ROWS = 10_000
 FORMATS = ("parquet", "csv", "json")
+#: Types whose ranges are kept per file. Of texts only a beginning is, and only where asked for.
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+ZONED = (*NUMBERS, "timestamp_ntz", "date")
+TEXT_PREFIX = 64
 
 
 def conform(df: DataFrame, schema: Mapping[str, str]) -> DataFrame:
@@ -116,11 +121,29 @@ def fitted(df: DataFrame, root: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast(stored[c]) for c in [*other, *[c for c in void if c in stored]]})
 
 
+def file_zones(df: DataFrame, lookup: Sequence[str] = ()) -> DataFrame:
+    """Least and greatest value of each column in each file of a stored dataset.
+
+    Numbers and times always, texts among ``lookup`` by their first characters. Both ends are
+    null where a file has no value of the column.
+    """
+    types = {c: t for c, t in df.dtypes if t in ZONED or (t == "string" and c in lookup)}
+    types.pop("batch_id", None)
+    values = {c: F.col(f"`{c}`") if t in ZONED else F.substring(F.col(f"`{c}`"), 1, TEXT_PREFIX) for c, t in types.items()}
+    return df.groupBy("batch_id", F.col("_metadata.file_path").alias("file")).agg(
+        F.count("*").alias("record_count"),
+        *[F.struct(F.min(v).alias("low"), F.max(v).alias("high")).alias(f"zone_{c}") for c, v in values.items()])
+
+
 def append(
-    df: DataFrame, root: str, chunk_rows: int = CHUNK_ROWS, batch_ids: Sequence[str] | None = None
+    df: DataFrame, root: str, chunk_rows: int = CHUNK_ROWS, batch_ids: Sequence[str] | None = None,
+    lookup: Sequence[str] = (),
 ) -> None:
     """Write the batches of ``df``; a batch written again replaces itself.
 
+    Rows of a batch are sorted by time in each task, so that a file holds a narrow range of it.
+    Columns named in ``lookup`` get Bloom filters for equality; their row groups are left out on reading.
+
     Types are compared with the stored ones before anything is written, and the writing
     itself is given up as a whole on an error, so a bad batch leaves the dataset as it was.
     Rebalancing splits a dominant batch over tasks and joins up small ones. The index is
@@ -131,11 +154,17 @@ def append(
     df = fitted(df, root).withColumn("batch_id", F.when(
         F.col("batch_id").isNotNull() & known, F.col("batch_id").cast("string")).otherwise(F.raise_error(
             F.concat(F.lit("batch not named: "), F.coalesce(F.col("batch_id").cast("string"), F.lit("null"))))))
+    if unknown := [c for c in lookup if c not in df.columns]:
+        raise ValueError(f"batch lacks columns {unknown}")
     seen = Observation()
+    rows = df.observe(seen, F.collect_set("batch_id").alias("ids")).hint("rebalance", "batch_id")
+    rows = rows.sortWithinPartitions("batch_id", *[c for c in ("timestamp",) if c in df.columns])
     (
-        df.observe(seen, F.collect_set("batch_id").alias("ids")).hint("rebalance", "batch_id").write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", chunk_rows).option("compression", "zstd")
+        .options(**{f"parquet.bloom.filter.enabled#{c}": "true" for c in lookup})
+        .options(**{f"parquet.bloom.filter.expected.ndv#{c}": str(chunk_rows) for c in lookup})
         .partitionBy("batch_id").parquet(f"{root}/data")
     )
     # One id per folder that was written, which the driver has listed anyway.
@@ -148,10 +177,15 @@ def append(
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("batch_id").parquet(f"{root}/index")
     )
+    (
+        file_zones(written, lookup).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("batch_id").parquet(f"{root}/zones")
+    )
 
 
 def add_batches(df: DataFrame, root: str, name: str, required: Sequence[str] = ("timestamp",),
-                chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                chunk_rows: int = CHUNK_ROWS, lookup: Sequence[str] = ()) -> DataFrame:
     """Check, clean, write and index batches of a dataset of the catalog below ``root``; its new totals.
 
     A dataset that the catalog lacks, a required column that the batch lacks, or a type that does not
@@ -164,7 +198,7 @@ def add_batches(df: DataFrame, root: str, name: str, required: Sequence[str] = (
     if missing := [c for c in ("batch_id", *required) if c not in df.columns]:
         raise ValueError(f"batch lacks columns {missing}")
     folder = f"{root}/datasets/{name}"
-    append(prepare(df, entry["schema"]), folder, chunk_rows)
+    append(prepare(df, entry["schema"]), folder, chunk_rows, lookup=lookup)
     global_index(read_index(spark, folder)).write.mode("overwrite").parquet(f"{folder}/totals")
     return totals(spark, root, name)
 
@@ -190,6 +224,51 @@ def read_index(spark: SparkSession, root: str) -> DataFrame:
     return _read(spark, f"{root}/index")
 
 
+def _comparable(value: object, kind: str) -> bool:
+    """Whether a column of this type and the value compare as their ranges do."""
+    if kind in NUMBERS:
+        return isinstance(value, (int, float)) and not isinstance(value, bool)
+    return kind == "string" and isinstance(value, str)
+
+
+def without_files(
+    rows: DataFrame, root: str, start: datetime | None = None, end: datetime | None = None,
+    filters: Mapping[str, object] | None = None,
+) -> DataFrame:
+    """``rows`` of a stored dataset without the files that can hold no row in the range and of the filters.
+
+    Zones only leave out: a file that they lack, or that was moved, is read. The ids of files that go
+    come to the driver, which lists all files of the dataset in any case, and the scan drops them there.
+    """
+    spark = rows.sparkSession
+    if not _exists(spark, f"{root}/zones"):
+        return rows
+    zones = _read(spark, f"{root}/zones")
+    kinds = dict(rows.dtypes)
+    zoned = {c.removeprefix("zone_") for c in zones.columns if c.startswith("zone_")}
+    outside: list[Column] = []
+    if "timestamp" in zoned and kinds.get("timestamp") == "timestamp_ntz":
+        low, high = F.col("zone_timestamp.low"), F.col("zone_timestamp.high")
+        if start is not None:
+            outside.append(F.coalesce(high < F.lit(start).cast("timestamp_ntz"), F.lit(True)))
+        if end is not None:
+            outside.append(F.coalesce(low > F.lit(end).cast("timestamp_ntz"), F.lit(True)))
+    for name, wanted in (filters or {}).items():
+        values = wanted if isinstance(wanted, (list, tuple)) else [wanted]
+        if name not in zoned or not values or not all(_comparable(v, kinds.get(name, "")) for v in values):
+            continue
+        zone = F.col(f"`zone_{name}`")
+        cut = [F.lit(v[:TEXT_PREFIX] if isinstance(v, str) else v) for v in values]
+        # A file whose ends are unknown may be of a batch whose texts were not looked at.
+        known = F.lit(kinds[name] != "string") | zone["low"].isNotNull()
+        outside.append(known & ~F.coalesce(reduce(Column.__or__, [
+            (zone["low"] <= v) & (zone["high"] >= v) for v in cut]), F.lit(False)))
+    if not outside:
+        return rows
+    gone = [r.file for r in zones.where(reduce(Column.__or__, outside)).select("file").collect()]
+    return rows.where(~F.col("_metadata.file_path").isin(*gone)) if gone else rows
+
+
 def scan_batch(spark: SparkSession, root: str, batch_id: str, columns: Sequence[str]) -> DataFrame:
     return read(spark, root).where(F.col("batch_id") == batch_id).select(*columns)
 
@@ -225,8 +304,8 @@ def query(
     spark: SparkSession, root: str, start: datetime | None = None, end: datetime | None = None,
     **selection: object,
 ) -> DataFrame:
-    """Query a stored dataset; batches outside the time range are not listed for reading."""
-    rows = read(spark, root)
+    """Query a stored dataset; batches and files that can hold no wanted row are not read."""
+    rows = without_files(read(spark, root), root, start, end, selection.get("filters"))
     if start is not None or end is not None:
         # The index only leaves out: a batch that it lacks is read.
         outside = F.lit(False)
@@ -335,7 +414,9 @@ def _delete(spark: SparkSession, path: str) -> bool:
 def drop_batches(spark: SparkSession, root: str, batch_ids: Sequence[str]) -> None:
     """Drop the partitions of some batches; no other data is touched. An unknown batch is an error."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for part in ("index", "data"):
+    for part in ("zones", "index", "data"):
+        if part == "zones" and not _exists(spark, f"{root}/zones"):
+            continue
         folder = hadoop.Path(f"{root}/{part}")
         system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         # Folder names are escaped; they are compared as the ids they stand for.

@@ -237,6 +237,16 @@ def query_time_range(spark, sf_dir):
     return store.query(spark, stored(spark, sf_dir), START, END, columns=["event_id", "timestamp", "batch_id"])
 
 
+@query("query_lookup", f"""WITH {STORED_SQL} SELECT event_id, experiment_id, timestamp, train_step FROM stored
+WHERE experiment_id IN ('run_1', 'run_5') AND train_step >= 10 AND is_anomaly = 1 AND {SPAN_SQL}""")
+def query_lookup(spark, sf_dir):
+    """Equality and a time range on a stored dataset: ranges per file and Bloom filters leave out what cannot match."""
+    root = scratch_path(spark, "lookup")
+    store.append(stored_rows(spark, sf_dir), root, chunk_rows=200, lookup=["experiment_id"])
+    found = store.query(spark, root, START, END, filters={"experiment_id": ["run_1", "run_5"], "is_anomaly": 1})
+    return found.where("train_step >= 10").select("event_id", "experiment_id", "timestamp", "train_step")
+
+
 @query("query_filters", f"""WITH {STORED_SQL} SELECT event_id, model_type, is_anomaly FROM stored
 WHERE model_type IN ('bert', 'vit') AND is_anomaly = 1""")
 def query_filters(spark, sf_dir):
