@@ -52,7 +52,10 @@ MEASURES = ("symbols", "runs", "upper", "bare", "echo", "repeated", "word_length
 
 
 def per_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(values)])
+    """How many of a text's bytes are marked."""
+    # Running counts of the narrowest type, in place: they are the largest arrays of a batch.
+    total = np.zeros(len(values) + 1, np.int32 if len(values) < 2 ** 31 else np.int64)
+    np.cumsum(values, dtype=total.dtype, out=total[1:])
     return (total[offsets[1:]] - total[offsets[:-1]]).astype(np.float64)
 
 
@@ -90,6 +93,14 @@ def unspaced(data: np.ndarray) -> np.ndarray:
             | ((data == 0xE1) & (((after >= 0x80) & (after <= 0x82)) | (after == 0x9E) | (after == 0x9F))))
 
 
+def letters(data: np.ndarray, space: np.ndarray) -> np.ndarray:
+    """First bytes of code points that are no blanks, without scripts that put no spaces between words."""
+    out = unspaced(data)
+    out |= space
+    out |= (data & 0xC0) == 0x80
+    return np.logical_not(out, out=out)
+
+
 def measures(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """Shares and means per text, with the number of words."""
     n = len(offsets) - 1
@@ -100,8 +111,6 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     symbol = ~(lower | upper | other | space | digit)
     run = np.zeros(len(data), bool)
     run[1:] = symbol[1:] & symbol[:-1]
-    # Code points, without those of scripts that put no spaces between words.
-    letter = ~space & ((data & 0xC0) != 0x80) & ~unspaced(data)
     size = np.maximum(1, np.diff(offsets)).astype(np.float64)
     words, owner = word_hashes(data, offsets)
     count = np.bincount(owner, minlength=n)
@@ -131,7 +140,7 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         "bare": np.bincount(owner[~has_letter], minlength=n) / some if len(starts) else np.zeros(n),
         "echo": np.bincount(owner[echo], minlength=n) / some,
         "repeated": np.where(count > 0, repeated_words(words, owner, count), 0.0),
-        "word_length": per_text(letter, offsets) / some,
+        "word_length": per_text(letters(data, space), offsets) / some,
         "lines": 1 - distinct(line_owner, line_hash, n) / np.maximum(1, lines) - (lines == 0),
     }
 
