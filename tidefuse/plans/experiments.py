@@ -65,7 +65,8 @@ def update(plan: DataFrame, results: DataFrame, order: str = "end_time") -> Data
 
     Of several results of one experiment that with the greatest ``order`` counts, a missing
     order coming first; of equal ones the greatest by its columns, so that the result does
-    not depend on how rows are stored.
+    not depend on how rows are stored. Neither side is broadcast: plan and results grow with
+    the models, and the planner's estimate of an unfolded plan leaves out the unfolding.
     """
     if order not in results.columns:
         raise ValueError(f"results lack the column {order}, which says what the last result is")
@@ -74,7 +75,7 @@ def update(plan: DataFrame, results: DataFrame, order: str = "end_time") -> Data
     last = results.groupBy("experiment_id").agg(F.max(F.struct(*outcome)).alias("_last"))
     results = last.select("experiment_id", *[F.col("_last")[c].alias(c) for c in outcome])
     kept = plan.select(*[c for c in plan.columns if c not in outcome])
-    joined = kept.join(results, "experiment_id", "left")
+    joined = kept.hint("merge").join(results, "experiment_id", "left")
     status = (
         F.when(F.col("success"), F.lit("completed")).when(~F.col("success"), F.lit("failed"))
         .otherwise(F.col("status"))

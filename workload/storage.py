@@ -462,7 +462,8 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_part = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(
         F.count("*").alias("n"), F.sum("l_quantity").alias("q")
     )
-    run = table(spark, sf_dir, "part").join(per_part, "p_partkey").withColumn(
+    # A broadcast would be chosen by the compressed size of the part table's file.
+    run = table(spark, sf_dir, "part").hint("merge").join(per_part, "p_partkey").withColumn(
         "f", F.explode(F.array(F.lit("baseline"), F.lit("oom")))
     )
     name = F.concat_ws(" ", "p_name", "p_partkey")
