@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from tidefuse.plans import experiments
+from tidefuse.session import LISTING_SETTING
+from tidefuse.sources import files
 
 
 def plan_text(df) -> str:
@@ -17,3 +19,22 @@ def test_unfolded_plan_is_not_broadcast(spark, tmp_path):
     found = experiments.model_performance(experiments.update(plan, results))
     assert "Broadcast" not in plan_text(found)
     assert sorted(tuple(r) for r in found.collect()) == [(f"t{i}", 0.5, 0.0, 400) for i in range(3)]
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    """A task per folder costs more than the listing."""
+    for i in range(300):
+        (tmp_path / f"run {i}").mkdir()
+        if i % 3:
+            (tmp_path / f"run {i}" / "gpu_metrics.csv").write_text("x" * i)
+    (tmp_path / "notes.txt").write_text("no run")
+    before = spark.conf.get(LISTING_SETTING)
+    spark.sparkContext.setJobGroup("listing", "")
+    found = files.list_files(spark, str(tmp_path))
+    tracker = spark.sparkContext.statusTracker()
+    tasks = sum(tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < tasks <= 32 and spark.conf.get(LISTING_SETTING) == before
+    assert found.where("file <> 'notes.txt'").count() == 200
+    assert {r.run_id for r in files.list_runs(spark, str(tmp_path)).collect()} == {f"run {i}" for i in range(300)}
+    assert files.list_runs(spark, f"{tmp_path}/run 0").count() == 0

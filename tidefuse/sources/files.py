@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidefuse.session import listing
 from tidefuse.sources.logs import run_of_file
 
 # The files a run needs, and the mark of a stored matrix.
@@ -16,19 +17,23 @@ MATRIX_MARK = "_metadata.yaml"
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """Path, size and run of every file below a folder; contents are not read."""
-    return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-        .select("path", "length", run_of_file(F.col("path")).alias("run_id"),
-                F.element_at(F.split("path", "/"), -1).alias("file"))
-    )
+    with listing(spark):
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return found.select("path", "length", run_of_file(F.col("path")).alias("run_id"),
+                        F.element_at(F.split("path", "/"), -1).alias("file"))
 
 
 def list_runs(spark: SparkSession, path: str) -> DataFrame:
     """run_id of every folder right below ``path``, also of empty ones; files are not listed."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)
-    names = [s.getPath().getName() for s in found if s.isDirectory()]
-    return spark.createDataFrame([(n,) for n in names if not n.startswith(("_", "."))], "run_id string")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # One name per folder comes over; files, which are few, are told by a listing that gives files alone.
+    names = {p.getName() for p in hadoop.FileUtil.stat2Paths(system.listStatus(target))}
+    plain = system.listFiles(target, False)
+    while plain.hasNext():
+        names.discard(plain.next().getPath().getName())
+    return spark.createDataFrame([(n,) for n in sorted(names) if not n.startswith(("_", "."))], "run_id string")
 
 
 def run_completeness(files: DataFrame, required: Sequence[str] = REQUIRED_FILES,
