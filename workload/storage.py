@@ -89,10 +89,10 @@ def run_folders(spark: SparkSession, sf_dir: str) -> str:
     held = F.filter(names, lambda x, i: ((i == 0) | ((F.col("user_id") + i) % 7 != 0)))
     rows = ev.where("user_id % 11 <> 5").select("run", F.explode(held).alias("file"), "value")
     rows.repartition("run", "file").write.partitionBy("run", "file").text(root)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for row in ev.where("user_id % 11 = 5").select("run").distinct().collect():
-        folder = hadoop.Path(f"{root}/run={row['run']}")
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
+        system.mkdirs(path(f"{root}/run={row['run']}"))
     return root
 
 
