@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tidefuse.operators.blocks import scan
 from tidefuse.plans import experiments
 from tidefuse.session import LISTING_SETTING
 from tidefuse.sources import files
@@ -11,6 +14,12 @@ def plan_text(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def plan_text_after(df) -> str:
+    execution = df._jdf.queryExecution()
+    execution.toRdd().count()
+    return execution.executedPlan().toString()
+
+
 def test_unfolded_plan_is_not_broadcast(spark, tmp_path):
     spark.range(300).selectExpr("concat('m ', id) AS model_name", "concat('t', id % 3) AS model_type").write.parquet(f"{tmp_path}/models")
     plan = experiments.combine(spark.read.parquet(f"{tmp_path}/models"), ["d1", "d2"], ["f1", "f2", "f3"])
@@ -38,3 +47,14 @@ def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
     assert found.where("file <> 'notes.txt'").count() == 200
     assert {r.run_id for r in files.list_runs(spark, str(tmp_path)).collect()} == {f"run {i}" for i in range(300)}
     assert files.list_runs(spark, f"{tmp_path}/run 0").count() == 0
+
+
+def test_inputs_of_a_scan_are_evaluated_once(spark):
+    """No filter is made up of the expressions that a scan's rows come from."""
+    rows = spark.range(200).selectExpr("id % 3 AS run", "id", "CAST(id / 50 AS LONG) AS _blk",
+                                       "CASE WHEN id % 7 = 0 THEN get_json_object(concat('{\"k\": ', id, '}'), '$.k') END AS k")
+    found = scan(rows, ["run"], ["id"], last={"k": F.col("k")})
+    assert plan_text(found).count("get_json_object") <= 2  # one in each of the two passes, which share a shuffle
+    expected = {i: str(max((j for j in range(i + 1) if j % 7 == 0 and j % 3 == i % 3), default="None")) for i in range(200)}
+    assert {r.id: str(r.k) for r in found.collect()} == expected
+    assert "ReusedExchange" in plan_text_after(found)
