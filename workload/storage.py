@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidefuse.functions import texts
 from tidefuse.operators import rollup
 from tidefuse.plans import experiments
-from tidefuse.session import scratch_path
+from tidefuse.session import listing, scratch_path
 from tidefuse.sources import files, registry, rotate, samples, store
 from workload.base import (
     EV, devices, events, hosts, query, r6, records, rounded, sql_devices, sql_hosts, sql_records, table,
@@ -223,7 +223,9 @@ def sink_rotation(spark, sf_dir):
     path = scratch_path(spark, "rotated")
     wide = events(spark, sf_dir).select("event_id", "event_type", "timestamp", F.expr("repeat('x', CAST(k * 5 AS INT))").alias("pad"))
     rotate.rotate(wide, path, 200_000, ["timestamp", "event_id"])
-    read = spark.read.text(path).select("value", F.col("_metadata.file_size").alias("n"))
+    with listing(spark):
+        written = spark.read.text(path)
+    read = written.select("value", F.col("_metadata.file_size").alias("n"))
     fields = F.from_json("value", "event_id long, event_type string").alias("e")
     return read.select(fields, (F.col("n") <= 200_000).alias("bounded")).select("e.event_id", "e.event_type", "bounded")
 
