@@ -8,6 +8,7 @@ from tidefuse.operators.blocks import scan
 from tidefuse.plans import experiments
 from tidefuse.session import LISTING_SETTING
 from tidefuse.sources import files
+from tidefuse.streaming import tail
 
 
 def plan_text(df) -> str:
@@ -58,3 +59,19 @@ def test_inputs_of_a_scan_are_evaluated_once(spark):
     expected = {i: str(max((j for j in range(i + 1) if j % 7 == 0 and j % 3 == i % 3), default="None")) for i in range(200)}
     assert {r.id: str(r.k) for r in found.collect()} == expected
     assert "ReusedExchange" in plan_text_after(found)
+
+
+def test_backlog_takes_few_batches(spark, tmp_path):
+    """Two files a batch, but the number of batches does not grow with the files that wait."""
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    for have, batches in ((5, 3), (200, 49)):  # 195 new files of a folder of 200, four a batch
+        for i in range(have):
+            if not (folder / f"{i}.log").exists():
+                (folder / f"{i}.log").write_text(f"line {i}\nsame\n")
+        query = tail.append_to(tail.tail_lines(spark, str(folder), files_per_batch=2), f"{tmp_path}/out/d",
+                               f"{tmp_path}/out/c", {"availableNow": True})
+        query.awaitTermination()
+        assert len([p for p in query.recentProgress if p["numInputRows"]]) == batches
+        got = [r.line for r in spark.read.parquet(f"{tmp_path}/out/d").collect()]
+        assert sorted(got) == sorted([f"line {i}" for i in range(have)] + ["same"] * have)
