@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from helpers import at
 from tidefuse.operators.blocks import scan
 from tidefuse.plans import experiments
 from tidefuse.session import LISTING_SETTING
 from tidefuse.sources import files
-from tidefuse.streaming import tail
+from tidefuse.streaming import counters, tail
 
 
 def plan_text(df) -> str:
@@ -75,3 +76,19 @@ def test_backlog_takes_few_batches(spark, tmp_path):
         assert len([p for p in query.recentProgress if p["numInputRows"]]) == batches
         got = [r.line for r in spark.read.parquet(f"{tmp_path}/out/d").collect()]
         assert sorted(got) == sorted([f"line {i}" for i in range(have)] + ["same"] * have)
+
+
+def test_calls_and_state_do_not_grow_with_the_series(spark, tmp_path):
+    """Three thousand series in two arrivals, one state row a group; integers beyond 2 ** 53 stay beside nulls."""
+    big, schema = 2 ** 60 + 1, "run_id string, host_id long, timestamp timestamp_ntz, n long, bytes long"
+    for part in range(2):
+        cells = [("r" if i % 2 else None, i if i else None, at(100 * part + i % 7), big + i if i % 3 else None,
+                  i * (part + 1) if i % 5 else None) for i in range(3000)]
+        spark.createDataFrame(cells, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        counters.stream_counter_rates(stream, ["bytes"], f"{tmp_path}/out", trigger={"availableNow": True}).awaitTermination()
+    got = {(r.run_id, r.host_id, r.timestamp): (r.n, r.bytes, r.bytes_rate) for r in counters.read_rates(spark, f"{tmp_path}/out").collect()}
+    assert got == {("r" if i % 2 else "", i if i else None, at(100 * part + i % 7)): (
+        big + i if i % 3 else None, i * (part + 1) if i % 5 else None, 0.0 if not part else i / 100 if i % 5 else None)
+        for part in range(2) for i in range(3000)}
+    assert spark.read.format("statestore").load(f"{tmp_path}/out/checkpoint").count() <= counters.SERIES_GROUPS
