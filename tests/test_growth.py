@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from helpers import at
+from helpers import at, rows
 from tidefuse.operators.blocks import scan
 from tidefuse.plans import experiments
 from tidefuse.session import LISTING_SETTING
-from tidefuse.sources import files
+from tidefuse.sources import files, store
 from tidefuse.streaming import counters, tail
 
 
@@ -92,3 +93,26 @@ def test_calls_and_state_do_not_grow_with_the_series(spark, tmp_path):
         big + i if i % 3 else None, i * (part + 1) if i % 5 else None, 0.0 if not part else i / 100 if i % 5 else None)
         for part in range(2) for i in range(3000)}
     assert spark.read.format("statestore").load(f"{tmp_path}/out/checkpoint").count() <= counters.SERIES_GROUPS
+
+
+def test_files_left_out_are_one_text(spark, tmp_path, monkeypatch):
+    """No literal per file, and a quote or a backslash in a path is part of the name."""
+    cells = [("a", at(k), k) for k in range(60)] + [("b'c", at(k), k) for k in range(60, 90)]
+    batch = spark.createDataFrame(cells, "batch_id string, timestamp timestamp_ntz, n int").coalesce(1)
+    monkeypatch.setattr(store, "LISTED", 2, raising=False)
+    plain, odd = f"{tmp_path}/plain", f"{tmp_path}/it's"
+    for root in (plain, odd):
+        store.append(batch, root, chunk_rows=10)
+        assert store.read(spark, root).select("_metadata.file_path").distinct().count() == 9
+        assert set(rows(store.read_index(spark, root), "batch_id", "min_timestamp", "max_timestamp", "record_count", "anomaly_count")) == {
+            ("a", at(0), at(59), 60, None), ("b'c", at(60), at(89), 30, None)}
+        for n in (33, 75):
+            left = store.without_files(store.read(spark, root), root, filters={"n": n})
+            assert left.select("_metadata.file_path").distinct().count() == 1
+            assert [r.n for r in store.query(spark, root, filters={"n": n}).collect()] == [n]
+    store.drop_batches(spark, plain, ["b'c"])
+    literals = []
+    monkeypatch.setattr(store.F, "lit", lambda value, lit=F.lit: literals.append(value) or lit(value))
+    monkeypatch.setattr(Column, "isin", lambda self, *values: literals.extend(values))
+    assert [r.n for r in store.query(spark, plain, filters={"n": 33}).collect()] == [33]
+    assert not [v for v in literals if isinstance(v, str) and "parquet" in v]

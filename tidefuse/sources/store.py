@@ -34,6 +34,8 @@ FORMATS = ("parquet", "csv", "json")
 NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 ZONED = (*NUMBERS, "timestamp_ntz", "date")
 TEXT_PREFIX = 64
+#: File names of one list in a filter.
+LISTED = 10_000
 
 
 def conform(df: DataFrame, schema: Mapping[str, str]) -> DataFrame:
@@ -125,16 +127,23 @@ def file_zones(df: DataFrame, lookup: Sequence[str] = ()) -> DataFrame:
     """Least and greatest value of each column in each file of a stored dataset.
 
     Numbers and times always, texts among ``lookup`` by their first characters. Both ends are
-    null where a file has no value of the column.
+    null where a file has no value of the column. What the index tells of a batch is there per file.
     """
+    time = F.col("timestamp") if "timestamp" in df.columns else F.lit(None).cast("timestamp_ntz")
+    anomaly = F.col("is_anomaly") if "is_anomaly" in df.columns else F.lit(None)
     types = {c: t for c, t in df.dtypes if t in ZONED or (t == "string" and c in lookup)}
     types.pop("batch_id", None)
     values = {c: F.col(f"`{c}`") if t in ZONED else F.substring(F.col(f"`{c}`"), 1, TEXT_PREFIX) for c, t in types.items()}
     return df.groupBy("batch_id", F.col("_metadata.file_path").alias("file")).agg(
-        F.count("*").alias("record_count"),
+        F.min(time).alias("min_timestamp"), F.max(time).alias("max_timestamp"),
+        F.count("*").alias("record_count"), F.sum(anomaly.cast("long")).alias("anomaly_count"),
         *[F.struct(F.min(v).alias("low"), F.max(v).alias("high")).alias(f"zone_{c}") for c, v in values.items()])
 
 
+#: How the index of a batch comes from those of its files.
+INDEX_COLUMNS = {"min_timestamp": F.min, "max_timestamp": F.max, "record_count": F.sum, "anomaly_count": F.sum}
+
+
 def append(
     df: DataFrame, root: str, chunk_rows: int = CHUNK_ROWS, batch_ids: Sequence[str] | None = None,
     lookup: Sequence[str] = (),
@@ -171,16 +180,21 @@ def append(
     ids = sorted(seen.get["ids"] or [])
     if not ids:
         return
-    written = read(df.sparkSession, root).where(F.col("batch_id").isin(*ids))
+    # The written files have the columns of ``df``, so no footers are merged; they are read once, for the zones.
+    written = df.sparkSession.read.schema(df.schema).parquet(f"{root}/data").where(F.col("batch_id").isin(*ids))
+    zones = file_zones(written, lookup)
     (
-        batch_index(written).write.mode("overwrite")
+        zones.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id").parquet(f"{root}/index")
+        .partitionBy("batch_id").parquet(f"{root}/zones")
     )
+    per_file = zones.select("batch_id", *INDEX_COLUMNS).schema
     (
-        file_zones(written, lookup).write.mode("overwrite")
+        df.sparkSession.read.schema(per_file).parquet(f"{root}/zones").where(F.col("batch_id").isin(*ids))
+        .groupBy("batch_id").agg(*[how(c).alias(c) for c, how in INDEX_COLUMNS.items()])
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id").parquet(f"{root}/zones")
+        .partitionBy("batch_id").parquet(f"{root}/index")
     )
 
 
@@ -266,7 +280,16 @@ def without_files(
     if not outside:
         return rows
     gone = [r.file for r in zones.where(reduce(Column.__or__, outside)).select("file").collect()]
-    return rows.where(~F.col("_metadata.file_path").isin(*gone)) if gone else rows
+    return rows.where(not_named(gone)) if gone else rows
+
+
+def not_named(paths: Sequence[str]) -> Column:
+    """Whether a row is of none of these files. A list is one text: literals made one by one cost a call each."""
+    odd = [p for p in paths if "'" in p or "\\" in p]
+    plain = [p for p in paths if not ("'" in p or "\\" in p)] if odd else paths
+    lists = [", ".join(f"'{p}'" for p in plain[i:i + LISTED]) for i in range(0, len(plain), LISTED)]
+    kept = [F.expr(f"_metadata.file_path NOT IN ({texts})") for texts in lists]
+    return reduce(Column.__and__, [*kept, *([~F.col("_metadata.file_path").isin(*odd)] if odd else [])])
 
 
 def scan_batch(spark: SparkSession, root: str, batch_id: str, columns: Sequence[str]) -> DataFrame:
