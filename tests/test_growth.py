@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from helpers import at, rows
 from tidefuse.operators.blocks import scan
 from tidefuse.plans import experiments
-from tidefuse.session import LISTING_SETTING
+from tidefuse.session import LISTING_SETTING, scratch_path
 from tidefuse.sources import files, store
 from tidefuse.streaming import counters, tail
 
@@ -116,3 +116,14 @@ def test_files_left_out_are_one_text(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(Column, "isin", lambda self, *values: literals.extend(values))
     assert [r.n for r in store.query(spark, plain, filters={"n": 33}).collect()] == [33]
     assert not [v for v in literals if isinstance(v, str) and "parquet" in v]
+
+
+def test_log_tail_reads_a_backlog_in_bounded_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tail, "BACKLOG_BATCHES", 4, raising=False)
+    for i in range(30):
+        (tmp_path / f"{i}.log").write_text(f"line {i}\n")
+    out = scratch_path(spark, "tail")
+    query = tail.append_to(tail.tail_lines(spark, str(tmp_path), files_per_batch=3), f"{out}/d", f"{out}/c", {"availableNow": True})
+    query.awaitTermination()
+    assert [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]] == [8, 8, 8, 6]
+    assert spark.read.parquet(f"{out}/d").distinct().count() == 30
