@@ -11,6 +11,7 @@ from tidefuse.plans import experiments
 from tidefuse.session import LISTING_SETTING, scratch_path
 from tidefuse.sources import files, store
 from tidefuse.streaming import counters, tail
+from workload import streams
 
 
 def plan_text(df) -> str:
@@ -127,3 +128,17 @@ def test_log_tail_reads_a_backlog_in_bounded_batches(spark, tmp_path, monkeypatc
     query.awaitTermination()
     assert [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]] == [8, 8, 8, 6]
     assert spark.read.parquet(f"{out}/d").distinct().count() == 30
+
+
+def test_files_of_a_batch_are_listed_by_few_tasks(spark, tmp_path, monkeypatch):
+    """A task per file in each batch costs more than reading the files; the setting holds while the stream runs."""
+    for i in range(90):
+        (tmp_path / f"{i}.log").write_text(f"line {i}\n")
+    out, before, started = scratch_path(spark, "tail"), spark.conf.get(LISTING_SETTING), []
+    monkeypatch.setattr(tail, "append_to", lambda *given, start=tail.append_to: started.append(start(*given)) or started[0])
+    streams.drain(tail.tail_lines(spark, str(tmp_path), files_per_batch=45), out)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(started[0].runId) for s in tracker.getJobInfo(j).stageIds]
+    assert len(stages) >= 4 and max(s.numTasks for s in stages) <= 32
+    assert spark.conf.get(LISTING_SETTING) == before
+    assert sorted(r.line for r in spark.read.parquet(f"{out}/data").collect()) == sorted(f"line {i}" for i in range(90))
