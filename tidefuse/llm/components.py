@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefuse.llm.common import kept
+from tidefuse.llm.common import joined, kept
 
 
 def rank(node: str):
@@ -26,19 +26,19 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     edges = kept(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    joined = []
+    moves = []
     while not edges.isEmpty():
         best = edges.groupBy("a").agg(F.min(rank("b")).alias("m"))
         move = kept(best.select(F.col("a").alias("node"), F.least("m", rank("a"))["v"].alias("root")), "roots")
-        joined.append(move)
-        ends = edges.join(move.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a") \
-            .join(move.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+        moves.append(move)
+        ends = joined(edges, move.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
+        ends = joined(ends, move.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
         edges = kept(ends.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "edges")
-    if not joined:
+    if not moves:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     # The last roots first: a node's root of one round has a root of the next.
-    result = joined.pop()
-    while joined:
+    result = moves.pop()
+    while moves:
         later = result.select(F.col("node").alias("root"), F.col("root").alias("last"))
-        result = joined.pop().join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+        result = joined(moves.pop(), later, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
     return result

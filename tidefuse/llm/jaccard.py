@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidefuse.llm.common import forget, kept, slices, text_bytes
+from tidefuse.llm.common import forget, joined, kept, slices, text_bytes
 from tidefuse.llm.components import connected
 
 WORDS = 5
@@ -315,7 +315,7 @@ def linked(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     pairs = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
     left, right = (parts.select(F.col("node").alias(end), "fragment", F.col("shingles").alias(f"shingles_{end}"))
                    for end in ("a", "b"))
-    met = pairs.join(left, ["a", "fragment"]).join(right, ["b", "fragment"])
+    met = joined(joined(pairs, left, ["a", "fragment"]), right, ["b", "fragment"])
     partial = met.select("a", "b", "size_a", "size_b", F.size(F.array_intersect("shingles_a", "shingles_b")).alias("n"))
     total = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"))
     return total.where("100 * n >= 75 * (size_a + size_b - n)").select("a", "b")
@@ -369,7 +369,7 @@ def component_of(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
         return nodes.withColumn("root", F.col("node"))
     named = roots.select("node", F.col("root").alias("_root"))
-    return nodes.join(named, "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
+    return joined(nodes, named, "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
 
 
 def meeting(lists: DataFrame) -> DataFrame:
@@ -382,7 +382,7 @@ def meeting(lists: DataFrame) -> DataFrame:
     each = each.where("roots > 1").select(
         "shingle", "roots", F.col("largest.root").alias("largest"),
         *[F.col(f"first.{c}").alias(f"{c}_p") for c in ("node", "size", "place", "root")])
-    found = lists.join(each, "shingle")
+    found = joined(lists, each, "shingle")
     return found.withColumn("used", F.col("used") | (F.col("node") == F.col("node_p")))
 
 
@@ -394,8 +394,8 @@ def link_components(documents: DataFrame, profile: DataFrame) -> DataFrame:
     degrees = found.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     sets = profile.where("kind = 0 AND b > 0").groupBy(F.col("c").alias("node")).agg(
         F.min("a").alias("doc_id"), F.any_value("sketch").alias("sketch"), F.any_value("fine").alias("fine"))
-    named = kept(degrees.join(sets, "node"), "members")
-    lists = found.join(named.select("node", "degree"), "node").withColumns({"root": F.col("node"), "used": F.lit(False)})
+    named = kept(joined(degrees, sets, "node"), "members")
+    lists = joined(found, named.select("node", "degree"), "node").withColumns({"root": F.col("node"), "used": F.lit(False)})
     links, roots, before = [], None, None
 
     def sketch(end: str) -> DataFrame:
@@ -415,23 +415,23 @@ def link_components(documents: DataFrame, profile: DataFrame) -> DataFrame:
             met = now.where((F.col("root") != F.col("root_p")) & reachable("", "_p")).select(
                 F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("node_p").alias("a"),
                 F.col("size_p").alias("size_a")).distinct()
-            met = met.join(sketch("a"), "a").join(sketch("b"), "b").where(alike("_a", "_b"))
+            met = joined(joined(met, sketch("a"), "a"), sketch("b"), "b").where(alike("_a", "_b"))
             best = met.groupBy("b", "size_b").agg(F.min(F.struct(apart("_a", "_b").alias("apart"), "a", "size_a")).alias("m"))
             pairs = best.select("m.a", "b", "m.size_a", "size_b")
         else:
             side = ["node", "size", "place", "root", "sketch", "fine"]
-            drawn = now.join(named.select("node", "sketch", "fine"), "node")
+            drawn = joined(now, named.select("node", "sketch", "fine"), "node")
             outer = drawn.where("root <> largest").select(F.col("shingle").alias("_list"), *[F.col(c).alias(f"{c}_a") for c in side])
             every = drawn.select("shingle", "largest", *[F.col(c).alias(f"{c}_b") for c in side])
             # Two members outside the largest component meet from one end only.
             once = (F.col("root_b") == F.col("largest")) | (F.col("node_a") < F.col("node_b"))
-            met = outer.join(every, (F.col("_list") == F.col("shingle")) & once & (F.col("root_a") != F.col("root_b"))
-                             & reachable("_a", "_b") & alike("_a", "_b"))
+            met = joined(outer, every, (F.col("_list") == F.col("shingle")) & once & (F.col("root_a") != F.col("root_b"))
+                         & reachable("_a", "_b") & alike("_a", "_b"))
             pairs = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "size_a", "size_b").distinct()
         pairs = kept(pairs, "pairs")
         if not pairs.isEmpty():
             ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-            wanted = kept(ends.join(named.select("node", "doc_id"), "node"), "ends")
+            wanted = kept(joined(ends, named.select("node", "doc_id"), "node"), "ends")
             links.append(kept(linked(pairs, segments(documents, wanted, classes)), "links"))
             forget(wanted)
         forget(pairs)
@@ -454,8 +454,8 @@ def components(documents: DataFrame) -> DataFrame:
         F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("node"))
     nodes = members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     nodes = kept(component_of(nodes, kept(roots, "components")), "classes")
-    named = nodes.join(nodes.groupBy("root").agg(F.min("first").alias("component_id")), "root").select(
+    named = joined(nodes, nodes.groupBy("root").agg(F.min("first").alias("component_id")), "root").select(
         "node", "component_id")
-    return members.join(named, "node", "left").select(
+    return joined(members, named, "node", "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "node")
