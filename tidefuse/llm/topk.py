@@ -5,9 +5,10 @@ blocks of bounded size. A block of long vectors gives every query a first
 threshold: the k-th best product there. A bucket whose longest vector cannot
 reach a query's threshold is left out for it. In the others the threshold over
 both lengths is a cosine threshold, which is higher in buckets of shorter
-vectors; where it is high, candidates are those whose largest coordinate of the
-query lies in the range the cosine allows, elsewhere those long enough. Their
-products are computed in full.
+vectors; where it is high and leaves few, candidates are those whose largest
+coordinate of the query lies in the range the cosine allows, elsewhere those long
+enough. Their products are computed in full, as products of matrices, and what is
+found raises the thresholds for the rest.
 
 Queries are a set stated by the caller, against all rows, in blocks. Null
 vectors and those with null or non-finite components take no part; only vectors
@@ -19,6 +20,7 @@ results. Products must fit a long, else it is an error. Ties go to the smaller i
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,15 +28,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidefuse.llm.common import kept
+from tidefuse.llm.common import joined, kept
 
-BLOCK = 4096
-QUERY_BLOCK = 512
+#: Rows and values of a block of vectors, and of one of queries.
+BLOCK, BLOCK_VALUES = 1 << 15, 1 << 21
+QUERY_BLOCK, QUERY_VALUES = 1 << 13, 1 << 19
+#: Rows of a block and queries whose products are held at once.
+ROWS, QUERIES = 4096, 1024
 BUCKETS = 8
 #: From this local cosine threshold on, a bucket is pruned by a coordinate.
 COORDINATE_FROM = 0.5
+#: Candidates are taken one by one where this many times their number is no more than the block.
+FEW = 16
 SLACK = 1 - 1e-9
 EXACT = 2.0 ** 52
+EXACT_SINGLE = 2.0 ** 24 * SLACK
 
 
 def whole(vectors: DataFrame, vector: str = "embedding", scale: int = 256) -> DataFrame:
@@ -46,62 +54,158 @@ def whole(vectors: DataFrame, vector: str = "embedding", scale: int = 256) -> Da
                          F.transform(x, lambda v: F.floor(v * scale).cast("double")).alias("v"))
 
 
+def room(values: int, most: int, dim: int) -> int:
+    """Rows of a block: so many values, and ``most`` rows, at most."""
+    return max(256, min(most, values // max(dim, 1)))
+
+
 def packed(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row per block: its keys, ids, numbers of equal rows and vectors as bytes, longest first."""
 
     def run(block: pa.Table) -> pa.Table:
         order = np.argsort(-block["norm"].to_numpy(), kind="stable")
-        v = np.array(block["v"].to_pylist(), np.float64).reshape(block.num_rows, -1)[order]
+        v = block["v"].combine_chunks().flatten().to_numpy().reshape(block.num_rows, -1)[order]
         return pa.table({k: block[k][:1] for k in keys} | {
             "ids": pa.array([block["vec_id"].to_numpy()[order].tobytes()], pa.binary()),
             "copies": pa.array([block["copies"].to_numpy()[order].tobytes()], pa.binary()),
-            "data": pa.array([v.tobytes()], pa.binary())})
+            "data": pa.array([stored(v)], pa.binary())})
 
     kinds = ", ".join(f"{k} int" for k in keys)
     return rows.groupBy(*keys).applyInArrow(run, f"{kinds}, ids binary, copies binary, data binary")
 
 
+def stored(v: np.ndarray) -> bytes:
+    """Whole numbers as bytes with their shape and type, the narrowest one that holds them."""
+    most = np.abs(v).max(initial=0)
+    out = io.BytesIO()
+    np.save(out, v.astype(np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else np.float64))
+    return out.getvalue()
+
+
 def unpacked(ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    own = np.frombuffer(ids, np.int64)
-    return own, np.frombuffer(data, np.float64).reshape(len(own), -1)
+    return np.frombuffer(ids, np.int64), np.load(io.BytesIO(data)).astype(np.float64)
 
 
-def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Inner products, exact: in doubles while these hold every whole number that can occur, else in ints."""
+def lengths(v: np.ndarray) -> np.ndarray:
+    return np.linalg.norm(v, axis=1)
+
+
+def exact(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both in a type in which all products and their partial sums are exact: floats while these hold every whole number that can occur, else ints."""
+    # No partial sum is larger than the product of the lengths.
+    a, b = lengths(q).max(initial=0), lengths(v).max(initial=0)
+    if max(a, b, a * b) < EXACT_SINGLE:
+        return q.astype(np.float32), v.astype(np.float32)
     if np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * q.shape[1] < EXACT:
-        return (q @ v.T).astype(np.int64)
+        return q, v
     as_int = lambda x: np.array([[int(y) for y in row] for row in x.tolist()], object).reshape(x.shape)
-    return as_int(q) @ as_int(v).T
-
-
-def best(q_ids, q, q_copies, ids, v, copies, least: np.ndarray, k: int) -> tuple[list, list, list, list]:
-    """The k best of a block for each query, of those that reach its threshold, and how often each counts."""
-    q_norm, norm = np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1)
-    unit = v / np.maximum(norm, 1e-300)[:, None]
-    out = ([], [], [], [])
-    for i in range(len(q)):
-        use = slice(None)
-        if least[i] > 0:
-            need = least[i] * SLACK / max(q_norm[i], 1e-300)  # length that a candidate has at least
-            local = need / max(norm[0], 1e-300)
-            if local > 1:
-                continue
-            use = np.flatnonzero(norm >= need)
-            if local >= COORDINATE_FROM and len(use):
-                f = int(np.abs(q[i]).argmax())
-                x = q[i, f] / q_norm[i]
-                spread = np.sqrt(max(0.0, (1 - x * x) * (1 - local * local))) + 1e-9
-                use = use[np.abs(unit[use, f] - local * x) <= spread] if abs(x) <= local else \
-                    use[np.sign(x) * unit[use, f] >= abs(local * x) - spread]
-        score = products(q[i:i + 1], v[use])[0]
-        own, times = ids[use], copies[use]
-        good = np.flatnonzero((own != q_ids[i]) & (score >= least[i]))
-        good = good[np.lexsort((own[good], -score[good]))[:k]]
-        out[0].extend([int(q_ids[i])] * len(good))
-        out[1].extend(own[good].tolist())
-        out[2].extend(int(s) for s in score[good])
-        out[3].extend(np.minimum(k, q_copies[i] * times[good]).tolist())
-    return out
+    return as_int(q), as_int(v)
+
+
+def below(score: np.ndarray) -> np.ndarray:
+    """Thresholds from whole numbers, none larger than its number."""
+    found = score.astype(np.float64)
+    return np.where(np.abs(found) < EXACT, found, np.nextafter(found, -np.inf))
+
+
+def first_thresholds(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best product of each query, or -inf where there are fewer rows."""
+    least = np.full(len(q), -np.inf)
+    if len(v) >= k:
+        one, other = exact(q, v)
+        for start in range(0, len(q), QUERIES):
+            part = slice(start, start + QUERIES)
+            score = below(one[part] @ other.T)
+            score[q_ids[part, None] == ids] = -np.inf
+            least[part] = np.partition(score, -k, axis=1)[:, -k]
+    return least
+
+
+def in_range(unit: np.ndarray, reach: np.ndarray, q: np.ndarray, q_norm: np.ndarray, local: np.ndarray) -> dict[int, np.ndarray]:
+    """Candidates of the queries to which a coordinate leaves few: those in the range of the query's largest coordinate.
+
+    ``local`` has each query's cosine threshold, ``unit`` the block's directions, of which a query takes the first ``reach``.
+    """
+    tried = np.flatnonzero(local >= COORDINATE_FROM)
+    found: dict[int, np.ndarray] = {}
+    if not len(tried):
+        return found
+    f = np.abs(q[tried]).argmax(axis=1)
+    x, cut = q[tried, f] / q_norm[tried], np.minimum(local[tried], 1)
+    spread = np.sqrt(np.maximum(0.0, (1 - x * x) * (1 - cut * cut))) + 1e-9
+    low = np.where(x < -cut, -np.inf, cut * x - spread)
+    high = np.where(x > cut, np.inf, cut * x + spread)
+    least, most = unit.min(axis=0)[f], unit.max(axis=0)[f]
+    # Others would keep most of the block.
+    narrow = np.flatnonzero(np.minimum(high, most) - np.maximum(low, least) < (most - least) / 2)
+    for c in np.unique(f[narrow]):
+        order = np.argsort(unit[:, c])
+        values = unit[order, c]
+        own = narrow[f[narrow] == c]
+        begins, ends = np.searchsorted(values, low[own]), np.searchsorted(values, high[own], "right")
+        few = FEW * (ends - begins) <= reach[tried[own]]
+        for i, begin, end in zip(tried[own[few]].tolist(), begins[few], ends[few], strict=True):
+            rows = order[begin:end]
+            found[i] = rows[rows < reach[i]]
+    return found
+
+
+class Block:
+    """Vectors, longest first, with their lengths; those of one type that suits the queries are kept."""
+
+    def __init__(self, ids: bytes, copies: bytes, data: bytes):
+        self.ids, self.v = unpacked(ids, data)
+        self.copies, self.norm = np.frombuffer(copies, np.int64), lengths(self.v)
+
+
+def best(q_ids, q, q_copies, block: Block, least: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k best of a block for each query, of those that reach its threshold, and how often each counts.
+
+    Raises the thresholds by what is found.
+    """
+    q_norm = np.maximum(lengths(q), 1e-300)
+    one, other = exact(q, block.v)
+    step = QUERIES if one.dtype != object else 16
+    at, row, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, one.dtype if one.dtype == object else np.int64)
+    for start in range(0, len(block.v), ROWS):
+        norm, v = block.norm[start:start + ROWS], other[start:start + ROWS]
+        need = least * SLACK / q_norm  # length that a candidate has at least
+        reach = np.searchsorted(-norm, -need, side="right")
+        live = np.flatnonzero(reach)
+        few = {}
+        local = need[live] / max(norm[0], 1e-300)
+        if (local >= COORDINATE_FROM).any():
+            unit = block.v[start:start + ROWS] / np.maximum(norm, 1e-300)[:, None]
+            few = in_range(unit, reach[live], q[live], q_norm[live], local)
+        found = [(at, row, score)]
+
+        def keep(i: np.ndarray, j: np.ndarray, products: np.ndarray) -> None:
+            use = block.ids[start + j] != q_ids[i]
+            found.append((i[use], start + j[use], products[use].astype(score.dtype)))
+
+        for i, j in few.items():
+            products = v[j] @ one[live[i]]
+            good = np.flatnonzero((products >= least[live[i]]).astype(bool))
+            keep(np.full(len(good), live[i]), j[good], products[good])
+        live = np.delete(live, list(few))
+        live = live[np.argsort(reach[live], kind="stable")]
+        for k_ in range(0, len(live), step):
+            part = live[k_:k_ + step]
+            products = one[part] @ v[:reach[part[-1]]].T
+            # Thresholds of singles are exact in singles, as products are.
+            bound = least[part].astype(products.dtype if products.dtype != object else np.float64)
+            hit = np.flatnonzero((products >= bound[:, None]).astype(bool, copy=False))
+            keep(part[hit // products.shape[1]], hit % products.shape[1], products.ravel()[hit])
+        if len(found) == 1:
+            continue
+        at, row, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((block.ids[row], -score, at))
+        at, row, score = at[order], row[order], score[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        last = place == k - 1
+        least[at[last]] = np.maximum(least[at[last]], below(score[last]))
+        at, row, score = at[place < k], row[place < k], score[place < k]
+    return q_ids[at], block.ids[row], score, np.minimum(k, q_copies[at] * block.copies[row])
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, repeats: bool = False) -> DataFrame:
@@ -123,15 +227,20 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, repeats: bool = Fal
     sizes = shape.groupBy("dim", "bucket").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("longest")).collect()
     if not sizes:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+
+    def blocks_of(r) -> int:
+        return -(-r["n"] // room(BLOCK_VALUES, BLOCK, r["dim"]))
+
     blocks = F.lit(1)
     for r in sizes:
-        blocks = F.when((F.col("dim") == r["dim"]) & (F.col("bucket") == r["bucket"]), -(-r["n"] // BLOCK)) \
-            .otherwise(blocks)
+        blocks = F.when((F.col("dim") == r["dim"]) & (F.col("bucket") == r["bucket"]), blocks_of(r)).otherwise(blocks)
     numbered = shape.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), blocks).cast("int"))
     base = kept(packed(numbered, ["dim", "bucket", "block"]), "blocks")
     asked = shape.where(is_query)
-    groups = -(-asked.count() // QUERY_BLOCK) or 1
-    queries = packed(asked.withColumn("group", F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), F.lit(groups)).cast("int")),
+    groups = F.lit(1)
+    for r in asked.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect():
+        groups = F.when(F.col("dim") == r["dim"], -(-r["n"] // room(QUERY_VALUES, QUERY_BLOCK, r["dim"]))).otherwise(groups)
+    queries = packed(asked.withColumn("group", F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), groups).cast("int")),
                      ["dim", "group"]).withColumnsRenamed({"ids": "q_ids", "copies": "q_copies", "data": "q_data"})
     queries = kept(queries, "queries")
 
@@ -142,11 +251,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, repeats: bool = Fal
                 q_ids, q = unpacked(r["q_ids"], r["q_data"])
                 least = np.full(len(q), -np.inf)
                 if r["ids"] is not None:
-                    score = products(q, unpacked(r["ids"], r["data"])[1]).astype(np.float64)
-                    score[q_ids[:, None] == unpacked(r["ids"], r["data"])[0]] = -np.inf
-                    if score.shape[1] >= k:
-                        least = np.partition(score, -k, axis=1)[:, -k]
-                norm = np.maximum(np.linalg.norm(q, axis=1), 1e-300)
+                    ids, v = unpacked(r["ids"], r["data"])
+                    least = first_thresholds(q_ids, q, ids[:ROWS], v[:ROWS], k)
+                norm = np.maximum(lengths(q), 1e-300)
                 r["least"], r["shortest"] = least.tobytes(), float((least * SLACK / norm).min())
             yield pa.RecordBatch.from_pylist(
                 [{x: r[x] for x in ("dim", "group", "q_ids", "q_copies", "q_data", "least", "shortest")} for r in rows],
@@ -167,24 +274,29 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, repeats: bool = Fal
     # Buckets in which some query of the group can still find something, then all their blocks.
     tried = bounded.withColumn("at", F.explode(F.array(*[
         F.struct(F.lit(r["dim"]).alias("of"), F.lit(r["bucket"]).alias("bucket"),
-                 F.lit(-(-r["n"] // BLOCK)).alias("blocks"), F.lit(float(r["longest"])).alias("longest"))
+                 F.lit(blocks_of(r)).alias("blocks"), F.lit(float(r["longest"])).alias("longest"))
         for r in sizes]))).where("at.of = dim AND at.longest >= shortest")
     tried = tried.select("dim", "group", "q_ids", "q_copies", "q_data", "least", F.col("at.bucket").alias("bucket"),
                          F.explode(F.sequence(F.lit(0), F.col("at.blocks") - 1)).alias("block"))
 
-    sides = ["q_ids", "q_copies", "q_data", "ids", "copies", "data", "least"]
+    block = ["dim", "bucket", "block"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows of one block follow each other, and what a block gave a group's queries is known to the next one.
+        at, vectors_, known = None, None, {}
         for batch in batches:
             for r in range(batch.num_rows):
-                row = {x: batch.column(x)[r].as_py() for x in sides}
-                found = best(*unpacked(row["q_ids"], row["q_data"]), np.frombuffer(row["q_copies"], np.int64),
-                             *unpacked(row["ids"], row["data"]), np.frombuffer(row["copies"], np.int64),
-                             np.frombuffer(row["least"], np.float64), k)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found],
+                row = {x: batch.column(x)[r].as_py() for x in (*block, "group", "q_ids", "q_copies", "q_data")}
+                if (now := [row[x] for x in block]) != at:
+                    at, vectors_ = now, Block(*(batch.column(x)[r].as_py() for x in ("ids", "copies", "data")))
+                if (own := (row["dim"], row["group"])) not in known:
+                    known[own] = np.frombuffer(batch.column("least")[r].as_py(), np.float64).copy()
+                q_ids, q = unpacked(row["q_ids"], row["q_data"])
+                found = best(q_ids, q, np.frombuffer(row["q_copies"], np.int64), vectors_, known[own], k)
+                yield pa.RecordBatch.from_arrays([pa.array(x.tolist() if x.dtype == object else x, pa.int64()) for x in found],
                                                  ["query_id", "vec_id", "score", "n"])
 
-    met = tried.join(base, ["dim", "bucket", "block"]).select(*sides)
+    met = joined(tried, base, block).select(*block, "group", "q_ids", "q_copies", "q_data", "ids", "copies", "data", "least")
     found = met.mapInArrow(meet, "query_id long, vec_id long, score long, n long")
     found = found.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("n"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
