@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from helpers import at, rows
 from tidefuse.operators.blocks import scan
 from tidefuse.plans import experiments
-from tidefuse.session import LISTING_SETTING, scratch_path
+from tidefuse.session import LISTING_SETTING, few_tasks, scratch_path
 from tidefuse.sources import files, store
 from tidefuse.streaming import counters, tail
-from workload import streams
+from workload import storage, streams
 
 
 def plan_text(df) -> str:
@@ -142,3 +144,36 @@ def test_files_of_a_batch_are_listed_by_few_tasks(spark, tmp_path, monkeypatch):
     assert len(stages) >= 4 and max(s.numTasks for s in stages) <= 32
     assert spark.conf.get(LISTING_SETTING) == before
     assert sorted(r.line for r in spark.read.parquet(f"{out}/data").collect()) == sorted(f"line {i}" for i in range(90))
+
+
+def test_run_folders_are_made_once(spark, tmp_path):
+    """A local disk starts a process per folder and file made: a run's folder is made by one task, without checksum files."""
+    cells = [(i, at(i), i % 90, "view", 1.5, f'{{"k": {i}}}') for i in range(900)]
+    spark.createDataFrame(cells, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string") \
+        .write.parquet(f"{tmp_path}/events.parquet")
+    root = storage.run_folders(spark, str(tmp_path))
+    folder = Path(root.removeprefix("file:"))
+    assert not list(folder.rglob(".*.crc"))
+    tasks, lines = {}, {}
+    for f in folder.glob("run=*/file=*/*"):
+        tasks.setdefault(f.parts[-3], set()).add(f.name.split("-")[1])
+        lines[f.parts[-3], f.parts[-2]] = sorted(f.read_text().split())
+    assert all(len(t) == 1 for t in tasks.values())
+    assert lines == {(f"run={u}", f"file={name}"): sorted(f"{i},{i}" for i in range(u, 900, 90)) for u in range(90) if u % 11 != 5
+                     for k, name in enumerate(files.REQUIRED_FILES) if k == 0 or (u + k) % 7}
+    assert {r.run_id for r in files.list_runs(spark, root).collect()} == {f"run={u}" for u in range(90)}
+
+
+def test_many_files_are_told_by_few_tasks(spark, tmp_path):
+    """However little a task would take by size."""
+    for i in range(300):
+        (tmp_path / f"run {i}").mkdir()
+        (tmp_path / f"run {i}" / "gpu_metrics.csv").write_text("x" * (i + 1))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        found = files.list_files(spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() <= few_tasks(spark)
+        assert rows(files.file_inventory(found), "run_id", "files", "bytes") == sorted([(f"run {i}", 1, i + 1) for i in range(300)], key=repr)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefuse.session import listing
+from tidefuse.session import few_tasks, listing
 from tidefuse.sources.logs import run_of_file
 
 # The files a run needs, and the mark of a stored matrix.
@@ -19,7 +19,8 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     """Path, size and run of every file below a folder; contents are not read."""
     with listing(spark):
         found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return found.select("path", "length", run_of_file(F.col("path")).alias("run_id"),
+    # A task would take a few files, however small, and starting one costs more than that.
+    return found.coalesce(few_tasks(spark)).select("path", "length", run_of_file(F.col("path")).alias("run_id"),
                         F.element_at(F.split("path", "/"), -1).alias("file"))
 
 
@@ -28,11 +29,8 @@ def list_runs(spark: SparkSession, path: str) -> DataFrame:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     target = hadoop.Path(path)
     system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    # One name per folder comes over; files, which are few, are told by a listing that gives files alone.
-    names = {p.getName() for p in hadoop.FileUtil.stat2Paths(system.listStatus(target))}
-    plain = system.listFiles(target, False)
-    while plain.hasNext():
-        names.discard(plain.next().getPath().getName())
+    # Told by their statuses: a listing that gives files alone looks up the owner of every entry, by a process each on a local disk.
+    names = [e.getPath().getName() for e in system.listStatus(target) if e.isDirectory()]
     return spark.createDataFrame([(n,) for n in sorted(names) if not n.startswith(("_", "."))], "run_id string")
 
 

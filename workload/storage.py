@@ -81,6 +81,10 @@ def parse_device_csv(spark, sf_dir):
 
 # --- run folders ------------------------------------------------------------------
 
+#: A local disk starts a process per file that Hadoop makes, and a checksum file is one too. Other stores do not read this.
+LEAN_LOCAL_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def run_folders(spark: SparkSession, sf_dir: str) -> str:
     """A folder per user with up to three source files, written by Spark; some runs left an empty folder."""
     root = scratch_path(spark, "runs")
@@ -88,7 +92,8 @@ def run_folders(spark: SparkSession, sf_dir: str) -> str:
     names = F.array(*map(F.lit, files.REQUIRED_FILES))
     held = F.filter(names, lambda x, i: ((i == 0) | ((F.col("user_id") + i) % 7 != 0)))
     rows = ev.where("user_id % 11 <> 5").select("run", F.explode(held).alias("file"), "value")
-    rows.repartition("run", "file").write.partitionBy("run", "file").text(root)
+    # A run's files are written by one task, so that its folder is made once.
+    rows.repartition("run").write.partitionBy("run", "file").options(**LEAN_LOCAL_FILES).text(root)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     system = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for row in ev.where("user_id % 11 = 5").select("run").distinct().collect():
